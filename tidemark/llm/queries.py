@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, secrets, token_files
+from tidemark.llm import exact_dedup, packing, secrets, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": packing.op3_packing,
     "op4_token_files": token_files.op4_token_files,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_secret_scan": secrets.op8_secret_scan,
