@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import store, table
-from tidemark.llm.tokens import DROPPED, default_path, encoder
+from tidemark.llm.tokens import DROPPED, default_path, encoder, slices
 
 CAPACITY = 4096
 FILLER_EVERY = 16
@@ -69,7 +69,7 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
         room -= int(sizes[fits[k]])
 
 
-def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, gap: float = 2e-3, most: int = 3000) -> tuple[np.ndarray, np.ndarray]:
+def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, gap: float = 5e-3, most: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """``(patterns, amounts)`` of the linear program: columns cover the demand with the fewest sequences.
 
     Stops at optimality, or when the bound that the duals give is within ``gap`` of the value.
@@ -132,38 +132,36 @@ def cutting_plan(histogram: dict[int, int], edges: np.ndarray, capacity: int = C
     return rows, at
 
 
-def _crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
-
-
 def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY, filler_every: int = FILLER_EVERY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Step 1: whole sequences, items and filler documents."""
     edges = length_classes(capacity)
+    class_of = np.searchsorted(edges, np.arange(capacity + 1)).tolist()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer, DROPPED), TaskContext.get().partitionId()
-        end = np.array([end_id], enc.dtype).tobytes()
         local, count, full = np.zeros(len(edges), np.int64), 0, 0
         fields = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("cls", pa.int32()), ("part", pa.int32()), ("local", pa.int64()), ("sequence_id", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             rows = []
-            for lo in range(0, batch.num_rows, 64):
-                some = batch.slice(lo, 64)
-                for doc_id, raw in zip(some["doc_id"].to_pylist(), enc.encode(some["body"].to_pylist()), strict=True):
-                    raw += end
-                    ids = np.frombuffer(raw, enc.dtype)
-                    n = len(ids)
+            for some in slices(batch, "body"):
+                flat, lengths = enc.encode(some["body"])
+                flat = np.insert(flat, np.cumsum(lengths), enc.dtype.type(end_id)).astype("<u4")
+                lengths += 1
+                raw, at = memoryview(flat).cast("B"), 0
+                for doc_id, n in zip(some["doc_id"].to_pylist(), lengths.tolist(), strict=True):
+                    ids = raw[4 * at : 4 * (at + n)]
+                    at += n
                     count += 1
                     if count % filler_every == filler_every // 2:
-                        rows.append((FILLER, doc_id, 0, n, None, n, None, part, count, None, ids.astype("<u4").tobytes()))
+                        rows.append((FILLER, doc_id, 0, n, None, n, None, part, count, None, ids.tobytes()))
                         continue
                     whole = n // capacity * capacity
                     for start in range(0, whole, capacity):
-                        rows.append((FULL, doc_id, start, capacity, _crc(ids[start : start + capacity]), n, None, part, None, _FULL_BASE + (part << 32) + full, None))
+                        rows.append((FULL, doc_id, start, capacity, zlib.crc32(ids[4 * start : 4 * (start + capacity)]), n, None, part, None, _FULL_BASE + (part << 32) + full, None))
                         full += 1
                     if whole < n:
-                        cls = int(np.searchsorted(edges, n - whole))
-                        rows.append((ITEM, doc_id, whole, n - whole, _crc(ids[whole:]), n, cls, part, int(local[cls]), None, None))
+                        cls = class_of[n - whole]
+                        rows.append((ITEM, doc_id, whole, n - whole, zlib.crc32(ids[4 * whole :]), n, cls, part, int(local[cls]), None, None))
                         local[cls] += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import scratch_path, table
-from tidemark.llm.tokens import KEPT, default_path, encoder
+from tidemark.llm.tokens import KEPT, default_path, encoder, slices
 
 BLOCK = 512
 PERCENTILE = 0.98
@@ -68,6 +68,9 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], percent
     for w in np.unique(width):
         if w:
             rows = np.flatnonzero(width == w)
+            if w == 16:
+                packed[block_start[rows].astype(np.int64)[:, None] + np.arange(2 * BLOCK)] = (rest[rows] & 0xFFFF).astype("<u2").view(np.uint8)
+                continue
             bits = np.unpackbits((rest[rows] & ((1 << int(w)) - 1)).astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, bitorder="little", count=int(w))
             size = int(w) * (BLOCK // 8)
             packed[block_start[rows].astype(np.int64)[:, None] + np.arange(size)] = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
@@ -105,6 +108,9 @@ def unpack(payload: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
         if w:
             rows = np.flatnonzero(width == w)
             size = int(w) * (BLOCK // 8)
+            if w == 16:
+                grid[rows] = packed[block_start[rows][:, None] + np.arange(size)].view("<u2")
+                continue
             bits = np.unpackbits(packed[block_start[rows][:, None] + np.arange(size)], axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w))
             wide = np.packbits(bits, axis=2, bitorder="little")
             full = np.zeros((len(rows), BLOCK, 4), np.uint8)
@@ -123,33 +129,35 @@ def write_segments(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = encoder(tokenizer, KEPT), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], enc.dtype).tobytes()
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         doc_ids: list[int | None] = []
         lengths: list[int] = []
 
-        def flush() -> pa.RecordBatch:
+        def segment(docs_held: int, n: int) -> pa.RecordBatch:
+            """Flush the first documents that are held, with their ids."""
             nonlocal at
-            ids = np.frombuffer(b"".join(held), enc.dtype)
-            row = [[part], [at], [len(doc_ids)], [len(ids)], [pack(ids, doc_ids, lengths)]]
-            at += len(ids)
-            held.clear(), doc_ids.clear(), lengths.clear()
+            ids = np.concatenate(held) if len(held) > 1 else held[0]
+            row = [[part], [at], [docs_held], [n], [pack(ids[:n], doc_ids[:docs_held], lengths[:docs_held])]]
+            at += n
+            held[:] = [ids[n:]]
+            del doc_ids[:docs_held], lengths[:docs_held]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "part_start", "n_docs", "n_ids", "payload"])
 
-        total = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                some = batch.slice(lo, 64)
-                for doc_id, ids in zip(some["doc_id"].to_pylist(), enc.encode(some["body"].to_pylist()), strict=True):
-                    held.append(ids + end)
-                    doc_ids.append(doc_id)
-                    lengths.append(len(ids) // enc.dtype.itemsize + 1)
-                    total += lengths[-1]
-                    if total >= SEGMENT_IDS:
-                        yield flush()
-                        total = 0
+            for some in slices(batch, "body"):
+                ids, n = enc.encode(some["body"])
+                held.append(np.insert(ids, np.cumsum(n), enc.dtype.type(end_id)))
+                doc_ids += some["doc_id"].to_pylist()
+                lengths += (n + 1).tolist()
+                ends = np.cumsum(lengths)
+                done = 0
+                while len(ends) and ends[-1] - done >= SEGMENT_IDS:
+                    k = int(np.searchsorted(ends, done + SEGMENT_IDS)) + 1
+                    k_docs = k - int(np.searchsorted(ends, done, side="right"))
+                    yield segment(k_docs, int(ends[k - 1]) - done)
+                    done = int(ends[k - 1])
         if doc_ids:
-            yield flush()
+            yield segment(len(doc_ids), sum(lengths))
 
     rows.select("doc_id", "body").mapInArrow(encode, SEGMENTS).write.option("compression", "uncompressed").parquet(path)
 
