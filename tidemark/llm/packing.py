@@ -2,7 +2,7 @@
 
 1. Every text is encoded once.  Lengths beyond a sequence give whole sequences; what remains of each
    document is an item.  One document in 16 (by its place in its input split) is held back as filler.
-2. The histogram of item lengths, at most 256 classes at any scale, is the demand of a cutting-stock
+2. The histogram of item lengths, at most 144 classes at any scale, is the demand of a cutting-stock
    problem.  Its linear program is solved by column generation: a revised simplex whose columns are
    priced by a knapsack dynamic program over the dual values.  Pattern counts are rounded down and the
    rest, a number of items that does not grow with the input, is packed greedily.
@@ -40,11 +40,11 @@ _FULL_BASE, _GROUP_BASE = 1 << 60, 1 << 40
 
 
 def length_classes(capacity: int = CAPACITY) -> np.ndarray:
-    """Upper bounds: every length up to 64, then 32 for each doubling, so rounding up adds under 1/32."""
-    edges = list(range(1, min(64, capacity) + 1))
+    """Upper bounds: every length up to 32, then 16 for each doubling, so rounding up adds under 1/16."""
+    edges = list(range(1, min(32, capacity) + 1))
     while edges[-1] < capacity:
-        step = max(1, edges[-1] // 32)
-        edges += [min(edges[-1] + step * k, capacity) for k in range(1, 33)]
+        step = max(1, edges[-1] // 16)
+        edges += [min(edges[-1] + step * k, capacity) for k in range(1, 17)]
     return np.array(sorted(set(edges)))
 
 
@@ -69,7 +69,7 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
         room -= int(sizes[fits[k]])
 
 
-def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, gap: float = 5e-3, most: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, gap: float = 3e-3, most: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """``(patterns, amounts)`` of the linear program: columns cover the demand with the fewest sequences.
 
     Stops at optimality, or when the bound that the duals give is within ``gap`` of the value.
@@ -211,7 +211,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: i
     spark = docs.sparkSession
     encoded = store(encode_pieces(docs, tokenizer, end_id, capacity, filler_every, id_col, text_col), "encoded")
     items = encoded.where(F.col("kind") == ITEM)
-    histogram = {r["cls"]: r["n"] for r in items.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}  # 256 rows at most
+    histogram = {r["cls"]: r["n"] for r in items.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}  # 144 rows at most
     plan, sequences = cutting_plan(histogram, length_classes(capacity), capacity)
 
     counts = items.groupBy("cls", "part").agg(F.count(F.lit(1)).alias("n"))
