@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, packing, quality, secrets, token_files, toxicity
+from tidemark.llm import exact_dedup, line_dedup, packing, quality, secrets, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_packing": packing.op3_packing,
     "op4_token_files": token_files.op4_token_files,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op10_quality": quality.op10_quality,
 }
-ORACLES: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
