@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, line_dedup, packing, quality, secrets, token_files, toxicity
+from tidemark.llm import decontamination, exact_dedup, line_dedup, packing, quality, secrets, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_decontamination": decontamination.op9_decontamination,
     "op10_quality": quality.op10_quality,
 }
 ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
