@@ -138,6 +138,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return same.unionByName(other).drop("ld_doc")
 
 
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input with repeated lines taken out; a document that loses all its lines goes."""
+    out = dedup_lines(docs, id_col, text_col)
+    emptied = (F.size("ld_exact") + F.size("ld_near") > 0) & (F.trim(F.regexp_replace("ld_text", r"\s+", "")) == "")
+    return out.where(~emptied).withColumn(text_col, F.col("ld_text")).drop("ld_exact", "ld_near", "ld_text")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select(

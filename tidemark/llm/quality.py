@@ -164,26 +164,34 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
 
 
 def quality_scores(docs: DataFrame, model: AttentionModel | None, text_col: str = "text") -> DataFrame:
-    """The input with ``q_score double``.  Its text column must not be null."""
-    fields = T.StructType([*docs.schema.fields, T.StructField("q_score", T.DoubleType())])
+    """The input with ``q_score double`` (which replaces a column of that name)."""
+    names = [c for c in docs.columns if c != "q_score"]
+    fields = T.StructType([*(docs.schema[c] for c in names), T.StructField("q_score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, text_col):
+            body = pc.fill_null(pc.cast(batch[text_col], pa.string()), "")
+            for some in slices(batch.append_column("q_body", body), "q_body"):
                 if model is None:
                     chance = np.full(some.num_rows, 0.5)
                 else:
-                    rows, counts = passages(some[text_col])
+                    rows, counts = passages(some["q_body"])
                     chance = model.forward(rows.astype(np.float64), counts)["chance"]
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(chance)], names=[*some.schema.names, "q_score"])
+                yield pa.RecordBatch.from_arrays([*(some[c] for c in names), pa.array(chance)], names=[*names, "q_score"])
 
-    return docs.mapInArrow(score, fields)
+    return docs.select(*names).mapInArrow(score, fields)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input without the documents that the classifier rejects."""
+    scored = quality_scores(docs, train(docs, labels, id_col=id_col, text_col=text_col), text_col)
+    return scored.where(F.col("q_score") >= CUTOFF).drop("q_score")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, score, predicted)``, one row per input row."""
     model = train(docs, labels, id_col=id_col, text_col=text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("body"))
     scored = quality_scores(rows, model, "body").withColumnRenamed("q_score", "score")
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
 

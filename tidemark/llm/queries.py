@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, exact_dedup, line_dedup, packing, quality, secrets, token_files, toxicity
+import corpus_pipeline
+
+from tidemark.llm import decontamination, exact_dedup, line_dedup, ngram_join, packing, quality, secrets, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_packing": packing.op3_packing,
     "op4_token_files": token_files.op4_token_files,
@@ -17,5 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_quality": quality.op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
