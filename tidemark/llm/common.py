@@ -6,6 +6,7 @@ executor costs a re-run task and never a lost intermediate result.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -78,10 +79,38 @@ def drop_stored(df: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no plan refers to any more, instead of waiting for the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _slot(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(bits)), F.lit(1 << bits))
 
 
+class Bits:
+    """A fixed-size bit set over longs for Python workers."""
+
+    def __init__(self, bits: int, pages: dict[int, bytes]):
+        self.mask, self.pages = (1 << bits) - 1, pages
+
+    def holds(self, key: int) -> bool:
+        slot = key & self.mask
+        page = self.pages.get(slot >> 15)
+        return page is not None and bool(page[(slot & 32767) >> 3] >> (slot & 7) & 1)
+
+
+def bits_of(keys: DataFrame, column: str, n_keys: int | None = None) -> Bits:
+    """The low bits of evenly spread long keys as a bit set of at most 16 MiB, whatever the input."""
+    n = keys.count() if n_keys is None else n_keys
+    bits = min(MAX_FILTER_BITS, max(16, (16 * max(n, 1)).bit_length()))
+    slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    # slots count from 1 so that Spark's pages and positions are those of slot // 32768 and slot % 32768
+    pages = keys.select((slot + 1).alias("slot")).groupBy((F.expr("bitmap_bucket_number(slot)") - 1).alias("f_page")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("f_bits"))
+    return Bits(bits, {r["f_page"]: bytes(r["f_bits"]) for r in pages.collect()})
+
+
 class KeyFilter:
     """A one-hash Bloom filter of a key column, built by aggregation, never larger than 16 MiB.
 

@@ -1,4 +1,4 @@
-"""Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
+"""Line dedup by a deletion-neighbourhood join.
 
 A line repeats another if both are equal, or if both have at least ``MIN_NEAR`` characters and one edit
 (one character put in, left out or replaced) turns one into the other.  Of lines that repeat, the earliest
@@ -17,131 +17,228 @@ further.  Lines that are left emit all character variants, hashed:
 Each line takes the earliest owner of each variant by aggregation, never by listing pairs, so a variant
 that very many lines share costs one row for each line; the edit distance to that owner is then verified.
 
-Defined results: a null text counts as empty, has no lines and stays null; rows that repeat an id are
-separate documents, in the order of a hash of their text; null ids come last; identical rows share an
-order and keep the same lines; an empty table gives an empty result; other columns are kept as they are.
+Hashes are made where the texts are read, in Arrow batches; only hashes of lines are shuffled, and the text
+of those few lines that share block variants.
+
+Defined results: a null text counts as empty, has no lines and stays null; null ids come last; rows that
+repeat an id share one place in the order, so a line that only they have stays in each; an empty table
+gives an empty result; other columns are kept, but ``ld_`` names are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import KeyFilter, store, table
+from tidemark.llm.common import KeyFilter, bits_of, store, table
+from tidemark.llm.tokens import slices
 
 MIN_NEAR = 24
-BLOCKS = (2, 16)
-
-
-def _hash(*columns: Column) -> Column:
-    """128 bits, so that unequal keys that meet are not to be expected."""
-    return F.struct(F.xxhash64(F.lit(1), *columns).alias("a"), F.xxhash64(F.lit(2), *columns).alias("b"))
-
-
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(at, n, line)``: every line that is not empty; ``at`` orders occurrences over all documents."""
-    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    line = F.explode(F.transform(F.split(body, "\n", -1), lambda x, i: F.struct(i.alias("n"), F.trim(x).alias("line"))))
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.xxhash64(body).alias("tie"))
-    rows = docs.select(key.alias("doc"), line.alias("x"))
-    return rows.select("doc", F.col("x.n").alias("n"), F.col("x.line").alias("line")).where(F.col("line") != "")
-
-
-def _block_variants(size: Column, blocks: int) -> Column:
-    """The line without each of its blocks, for its own length and, as the longer of a pair, for one less."""
-
-    def of(m: Column, whole: Column) -> Column:
-        def one(j: Column) -> Column:
-            lo, hi = F.floor(j * m / blocks).cast("int"), F.floor((j + 1) * m / blocks).cast("int")
-            return _hash(m, j, F.substring(F.col("line"), F.lit(1), lo), F.substring(F.col("line"), hi + (whole - m) + 1, m - hi))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), one)
-
-    return F.concat(of(size, size), of(size - 1, size))
-
-
-def _with_partner(lines: DataFrame, blocks: int) -> DataFrame:
-    """Lines that share a block variant with another line."""
-    variants = lines.select("key", F.explode(_block_variants(F.length("line"), blocks)).alias("v"))
-    shared = store(variants.groupBy("v").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("v"), "variants")
-    keep = KeyFilter(shared, "v").keep(variants, F.col("v")).join(shared, "v", "left_semi").select("key").distinct()
-    keep = store(keep, "partners")
-    return store(KeyFilter(keep, "key").keep(lines, F.col("key")).join(keep, "key", "left_semi"), "lines")
-
-
-def _owners(lines: DataFrame) -> DataFrame:
-    """``(key, owner)``: for each line, earliest lines that share a character variant, to be verified."""
-    whole = F.col("line")
-    size = F.length(whole)
-    places = F.sequence(F.lit(1), size)
-    left_out = F.transform(places, lambda p: F.struct(p.alias("p"), F.concat(F.substring(whole, F.lit(1), p - 1), F.substring(whole, p + 1, size)).alias("v")))
-    deletions = lines.select("key", "first", "line", F.inline(left_out))
-    # replaced: one length, one position, equal remainders
-    replaced = deletions.groupBy(_hash(F.col("p"), F.col("v")).alias("h")).agg(F.min(F.struct("first", "key", "line")).alias("own"), F.max("key").alias("other"))
-    replaced = replaced.where(F.col("own.key") != F.col("other"))
-    replaced = store(replaced.select("h", "own"), "replaced")
-    of_replaced = KeyFilter(replaced, "h").keep(deletions.withColumn("h", _hash(F.col("p"), F.col("v"))), F.col("h")).join(replaced, "h").select("key", "first", "line", "own")
-    # put in: the shorter line is a variant of the longer; either may be the earlier
-    shorter = lines.select(_hash(whole).alias("h"), F.struct("first", "key", "line").alias("own"))
-    longer = deletions.select(_hash(F.col("v")).alias("h"), "key", "first", "line").dropDuplicates(["h", "key"])
-    longer = store(KeyFilter(shorter, "h").keep(longer, F.col("h")).join(shorter.select("h"), "h", "left_semi"), "longer")
-    of_longer = longer.join(shorter, "h").select("key", "first", "line", "own")
-    earliest = longer.groupBy("h").agg(F.min(F.struct("first", "key", "line")).alias("own"))
-    of_shorter = shorter.select("h", "own.key", "own.first", "own.line").join(earliest, "h").select("key", "first", "line", "own")
-    found = of_replaced.unionByName(of_longer).unionByName(of_shorter)
-    return found.where((F.col("own.first") < F.col("first")) & (F.levenshtein(F.col("line"), F.col("own.line"), 1) >= 0)).select("key").distinct()
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near: int = MIN_NEAR) -> tuple[DataFrame, DataFrame]:
-    """``(exact, near)``: occurrences ``(doc, n)`` that go because of an equal line, and of a line one edit away."""
-    rows = _rows(docs, id_col, text_col).select("doc", "n", _hash(F.col("line")).alias("key"), F.length("line").alias("size"))
-    rows = store(rows, "occurrences")
-    firsts = store(rows.groupBy("key", "size").agg(F.min(F.struct("doc", "n")).alias("first"), F.count(F.lit(1)).alias("times")), "firsts")
-    again = firsts.where("times > 1").select("key", "first")
-    exact = rows.join(again, "key").where(F.struct("doc", "n") != F.col("first")).select("doc", "n")
-
-    long = firsts.where(F.col("size") >= min_near)
-    text = _rows(docs, id_col, text_col).where(F.length("line") >= min_near).withColumn("key", _hash(F.col("line")))
-    own = text.select("doc", "n", "line", "key")
-    # halves are hashed where the text is; only lines that share one are gathered
-    halves = own.select("key", F.explode(_block_variants(F.length("line"), BLOCKS[0])).alias("v"))
-    shared = store(halves.groupBy("v").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("v"), "variants")
-    some = KeyFilter(shared, "v")
-    close = some.keep(halves, F.col("v")).join(shared, "v", "left_semi").select("key").distinct()
-    close = store(close, "close")
-    lines = KeyFilter(close, "key").keep(own, F.col("key")).groupBy("key").agg(F.min("line").alias("line"))
-    lines = store(lines.join(close, "key", "left_semi").join(long.select("key", "first"), "key"), "lines")
-    for blocks in BLOCKS[1:]:
-        lines = _with_partner(lines, blocks)
-    late = store(_owners(lines), "late")
-    near = rows.join(late, "key", "left_semi").select("doc", "n")
-    return exact, near
+BLOCKS = 16
+LAST = (1 << 63) - 1  # the place of a null id
+
+
+def line_key(line: str) -> bytes:
+    return xxhash.xxh3_128_digest(line.encode())
+
+
+def short_key(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
+def block_variants(line: str, blocks: int) -> list[int]:
+    """The line without each of its blocks, hashed: for its own length and, as the longer of a pair, for one less."""
+    out, size = [], len(line)
+    for m in (size, size - 1):
+        for j in range(blocks):
+            lo, hi = j * m // blocks, (j + 1) * m // blocks
+            rest = f"{m} {j} {line[:lo]}\0{line[hi + size - m:]}"
+            out.append(xxhash.xxh3_64_intdigest(rest.encode()) - (1 << 63))
+    return out
+
+
+def first_lines(text: str) -> dict[str, int]:
+    """Each line that is not empty, trimmed, with its first place."""
+    out: dict[str, int] = {}
+    for n, raw in enumerate(text.split("\n")):
+        if line := raw.strip(" "):
+            out.setdefault(line, n)
+    return out
+
+
+def _bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    place = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    return docs.select(place.alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+
+
+def _occurrences(min_near: int):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "body"):
+                ids, keys, halves = [], [], []
+                for doc, text in zip(some["id"].to_pylist(), some["body"].to_pylist(), strict=True):
+                    for line in first_lines(text):
+                        ids.append(doc)
+                        keys.append(line_key(line))
+                        halves.append(block_variants(line, 2) if len(line) >= min_near else [])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array([short_key(k) for k in keys], pa.int64()), pa.array(halves, pa.list_(pa.int64()))], names=["id", "key", "k", "halves"])
+
+    return build
+
+
+def _shared(variants: DataFrame) -> DataFrame:
+    """Rows of ``variants (k, i, v)`` whose variant belongs to another line too."""
+    shared = store(variants.groupBy("v").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select("v"), "variants")
+    return KeyFilter(shared, "v").keep(variants, F.col("v")).join(shared, "v", "left_semi")
+
+
+def _texts(bodies: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(k, key, first, line)`` of the lines in ``wanted (k)``."""
+    bits = bits_of(wanted, "k")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "body"):
+                rows = []
+                for doc, text in zip(some["id"].to_pylist(), some["body"].to_pylist(), strict=True):
+                    rows += [(short_key(key), key, doc, n, line) for line, n in first_lines(text).items() if bits.holds(short_key(key := line_key(line)))]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["k", "key", "id", "n", "line"])
+
+    found = bodies.mapInArrow(build, "k long, key binary, id long, n int, line string").join(wanted, "k", "left_semi")
+    # copies of a line combine in each task, so a very common line moves as few rows
+    return found.groupBy("key").agg(F.min("k").alias("k"), F.min(F.struct("id", "n")).alias("first"), F.min("line").alias("line"))
+
+
+def _build_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [block_variants(line, BLOCKS) for line in batch["line"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["k"], pa.array(rows, pa.list_(pa.int64()))], names=["k", "vs"])
+
+
+def char_variants(line: str, shared: list[int]) -> list[tuple[int, int]]:
+    """Hashed variants with one character deleted, from the blocks that the line shares with another.
+
+    Roles: 0 for a variant at its place (a replaced character), 1 for a variant as the shorter line of a
+    pair, 2 for the line itself as that shorter line.
+    """
+    size, places = len(line), set()
+    for i in shared:
+        m, j = size - i // BLOCKS, i % BLOCKS
+        lo, hi = j * m // BLOCKS, (j + 1) * m // BLOCKS + size - m
+        places.update(range(lo, min(hi + 1, size)))
+
+    def hashed(text: str) -> int:
+        return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
+
+    out = {(2, hashed(f"={line}"))}
+    for p in places:
+        rest = line[:p] + line[p + 1 :]
+        out |= {(0, hashed(f"{p}:{rest}")), (1, hashed(f"={rest}"))}
+    return sorted(out)
+
+
+def _build_chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ks, ids, ns, roles, hs = [], [], [], [], []
+        for k, doc, n, line, shared in zip(batch["k"].to_pylist(), batch["id"].to_pylist(), batch["n"].to_pylist(), batch["line"].to_pylist(), batch["shared"].to_pylist(), strict=True):
+            found = char_variants(line, shared)
+            ks += [k] * len(found)
+            ids += [doc] * len(found)
+            ns += [n] * len(found)
+            roles += [role for role, _ in found]
+            hs += [h for _, h in found]
+        yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(roles, pa.int32()), pa.array(hs, pa.int64())], names=["k", "id", "n", "role", "h"])
+
+
+def _late(lines: DataFrame) -> DataFrame:
+    """Keys of lines with an earlier line one edit away; each takes the earliest owner of each variant."""
+    rows = lines.select("k", "first.id", "first.n", "line", "shared").mapInArrow(_build_chars, "k long, id long, n int, role int, h long")
+    rows = store(rows, "chars")
+    owner = F.struct("id", "n", "k")
+    best = rows.groupBy("h").agg(*[F.min(F.when(F.col("role") == r, owner)).alias(f"own{r}") for r in range(3)], F.min("k").alias("low"), F.max("k").alias("high"))
+    best = store(best.where("low <> high").drop("low", "high"), "owners")
+    met = KeyFilter(best, "h").keep(rows, F.col("h")).join(best.hint("merge"), "h")
+    met = met.withColumn("own", F.when(F.col("role") == 0, F.col("own0")).when(F.col("role") == 1, F.col("own2")).otherwise(F.col("own1")))
+    pairs = store(met.where(F.col("own") < F.struct("id", "n", "k")).where("own.k <> k").select("k", F.col("own.k").alias("o")).distinct(), "pairs")
+    mine, other = lines.select("k", "key", "line"), lines.select(F.col("k").alias("o"), F.col("line").alias("own_line"))
+    both = pairs.join(mine.hint("merge"), "k").join(other.hint("merge"), "o")
+    return both.where(F.levenshtein("line", "own_line", 1) >= 0).select("key").distinct()
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near: int = MIN_NEAR) -> DataFrame:
+    """``(id, key, near)``: lines that go from a document because of earlier ones elsewhere."""
+    bodies = _bodies(docs, id_col, text_col)
+    found = store(bodies.mapInArrow(_occurrences(min_near), "id long, key binary, k long, halves array<long>"), "occurrences")
+    again = store(found.groupBy("key").agg(F.min("id").alias("own"), F.max("id").alias("last")).where("own <> last").select("key", "own"), "again")
+    exact = found.select("id", "key").join(again.hint("merge"), "key").where("id <> own").select("id", "key", F.lit(False).alias("near"))
+
+    close = store(_shared(found.select("k", F.explode("halves").alias("v"))).select("k").distinct(), "close")
+    lines = store(_texts(bodies, close), "lines")
+    blocks = store(lines.select("k", "line").mapInArrow(_build_blocks, "k long, vs array<long>"), "blocks")
+    closer = _shared(blocks.select("k", F.posexplode("vs").alias("i", "v"))).groupBy("k").agg(F.collect_set("i").alias("shared"))  # 32 at most
+    lines = store(lines.join(closer, "k"), "lines")
+    late = store(_late(lines), "late")
+    near = found.select("id", "key").join(late.hint("merge"), "key").select("id", "key", F.lit(True).alias("near"))
+    return exact.unionByName(near)
+
+
+def _without(names: list[str], text_col: str):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body = pc.fill_null(pc.cast(batch[text_col], pa.string()), "")
+            for some in slices(batch.append_column("ld_body", body), "ld_body"):
+                texts, exact, near = [], [], []
+                for original, text, gone, gone_near in zip(some[text_col].to_pylist(), some["ld_body"].to_pylist(), some["ld_gone"].to_pylist(), some["ld_late"].to_pylist(), strict=True):
+                    gone, gone_near, seen, kept, n_exact, n_near = set(gone or ()), set(gone_near or ()), set(), [], 0, 0
+                    for raw in text.split("\n"):
+                        line = raw.strip(" ")
+                        if line and line in seen:
+                            n_exact += 1
+                            continue
+                        if line:
+                            seen.add(line)
+                            if gone or gone_near:
+                                key = line_key(line)
+                                if key in gone:
+                                    n_exact += 1
+                                    continue
+                                if key in gone_near:
+                                    n_near += 1
+                                    continue
+                        kept.append(raw)
+                    texts.append("\n".join(kept) if n_exact + n_near else original)
+                    exact.append(n_exact)
+                    near.append(n_near)
+                yield pa.RecordBatch.from_arrays([*(some[c] for c in names), pa.array(texts, pa.string()), pa.array(exact, pa.int64()), pa.array(near, pa.int64())], names=[*names, "ld_text", "ld_exact", "ld_near"])
+
+    return build
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near: int = MIN_NEAR) -> DataFrame:
-    """The input with ``ld_exact`` and ``ld_near``, the line numbers to drop, and ``ld_text``, the text without them."""
-    exact, near = repeated_lines(docs, id_col, text_col, min_near)
-    gone = exact.select("doc", "n", F.lit(0).alias("kind")).unionByName(near.select("doc", "n", F.lit(1).alias("kind"))).groupBy("doc", "n").agg(F.min("kind").alias("kind"))
-    gone = gone.groupBy("doc").agg(F.collect_set(F.when(F.col("kind") == 0, F.col("n"))).alias("ld_exact"), F.collect_set(F.when(F.col("kind") == 1, F.col("n"))).alias("ld_near"))
-    gone = store(gone, "gone")
-    text = F.col(text_col).cast("string")
-    body = F.coalesce(text, F.lit(""))
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.xxhash64(body).alias("tie"))
-    none = F.array().cast("array<int>")
-    touched = KeyFilter(gone, "doc")
-    rows = docs.withColumn("ld_doc", key)
-    same = touched.drop(rows, F.col("ld_doc")).select("*", none.alias("ld_exact"), none.alias("ld_near"), text.alias("ld_text"))
-    other = touched.keep(rows, F.col("ld_doc")).join(gone.withColumnRenamed("doc", "ld_doc"), "ld_doc", "left")
-    other = other.withColumns({c: F.coalesce(c, none) for c in ("ld_exact", "ld_near")})
-    lines = F.filter(F.split(body, "\n", -1), lambda x, i: ~F.array_contains("ld_exact", i) & ~F.array_contains("ld_near", i))
-    other = other.withColumn("ld_text", F.when(F.size("ld_exact") + F.size("ld_near") == 0, text).otherwise(F.array_join(lines, "\n")))
-    return same.unionByName(other).drop("ld_doc")
+    """The input with ``ld_text``, the text without repeated lines, and ``ld_exact`` and ``ld_near``, their numbers."""
+    names = [c for c in docs.columns if not c.startswith("ld_")]
+    gone = repeated_lines(docs, id_col, text_col, min_near)
+    gone = gone.groupBy(F.col("id").alias("ld_id")).agg(F.collect_set(F.when(~F.col("near"), F.col("key"))).alias("ld_gone"), F.collect_set(F.when(F.col("near"), F.col("key"))).alias("ld_late"))
+    gone = store(gone, "gone")  # a row for each document with repeated lines, no longer than its lines
+    none = F.lit(None).cast("array<binary>")
+    rows, touched = docs.select(*names).withColumn("ld_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))), KeyFilter(gone, "ld_id")
+    same = touched.drop(rows, F.col("ld_id")).select(*names, none.alias("ld_gone"), none.alias("ld_late"))
+    other = touched.keep(rows, F.col("ld_id")).join(gone, "ld_id", "left").select(*names, "ld_gone", "ld_late")
+    fields = T.StructType([*(docs.schema[c] for c in names), T.StructField("ld_text", T.StringType()), T.StructField("ld_exact", T.LongType()), T.StructField("ld_near", T.LongType())])
+    return same.unionByName(other).mapInArrow(_without(names, text_col), fields)
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input with repeated lines taken out; a document that loses all its lines goes."""
     out = dedup_lines(docs, id_col, text_col)
-    emptied = (F.size("ld_exact") + F.size("ld_near") > 0) & (F.trim(F.regexp_replace("ld_text", r"\s+", "")) == "")
+    emptied = (F.col("ld_exact") + F.col("ld_near") > 0) & (F.trim(F.regexp_replace("ld_text", r"\s+", "")) == "")
     return out.where(~emptied).withColumn(text_col, F.col("ld_text")).drop("ld_exact", "ld_near", "ld_text")
 
 
@@ -149,7 +246,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"),
-        F.size("ld_exact").cast("long").alias("n_exact"), F.size("ld_near").cast("long").alias("n_near"), F.sha2(F.coalesce("ld_text", F.lit("")), 256).alias("text_sha256"),
+        F.col("ld_exact").alias("n_exact"), F.col("ld_near").alias("n_near"), F.sha2(F.coalesce("ld_text", F.lit("")), 256).alias("text_sha256"),
     )
 
 
