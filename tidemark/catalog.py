@@ -463,11 +463,11 @@ def ann_build_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-select event_type, quantile_cont(value, 0.5) as p50, quantile_cont(value, 0.95) as p95, quantile_cont(value, 0.99) as p99, round(avg(value), 9) as mean, max(value) as max
+select event_type, round(quantile_cont(value, 0.5), 9) as p50, round(quantile_cont(value, 0.95), 9) as p95, round(quantile_cont(value, 0.99), 9) as p99, round(avg(value), 9) as mean, max(value) as max
 from events group by event_type
 """)
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.percentiles(read(spark, sf_dir, "events"), "value", "event_type").withColumn("mean", F.round("mean", 9))
+    return stats.percentiles(read(spark, sf_dir, "events"), "value", "event_type").withColumns({c: F.round(c, 9) for c in ("p50", "p95", "p99", "mean")})
 
 
 @register("select o_orderpriority, round(sum(o_custkey) / sum(o_orderkey), 12) as per_second from orders group by o_orderpriority")
