@@ -31,6 +31,7 @@ class Client:
 
     def __init__(self, spark: SparkSession, root: str, config: ann.AnnConfig = ann.AnnConfig(), max_top_k: int = MAX_TOP_K, auto_compact: bool = False):
         self.spark, self.files, self.config, self.max_top_k, self.auto_compact = spark, open_files(spark, root), config, max_top_k, auto_compact
+        self.snapshots = plans.SnapshotCache(spark, self.files)
 
     def create_namespace(self, name: str, metric: str = vectors.COSINE, index_attributes: Iterable[str] = ()) -> Namespace:
         if metric not in vectors.METRICS:
@@ -144,7 +145,7 @@ class Namespace:
             raise DimensionMismatch(f"{self.name} holds {manifest.dimensions} dimensions, not {len(query)}")
         if manifest.metric == vectors.COSINE:
             query = vectors.normalized(query)
-        return plans.search(self.spark, self.client.files, manifest, query, top_k, filters, self.client.config, exact)
+        return plans.search(self.spark, self.client.files, manifest, query, top_k, filters, self.client.config, exact, self.client.snapshots)
 
     def results(self, found: DataFrame) -> list[dict[str, Any]]:
         """Query rows as JSON values; at most ``top_k`` of them."""

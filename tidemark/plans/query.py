@@ -41,6 +41,32 @@ def read_snapshot(spark: SparkSession, files: LocalFiles | HadoopFiles, manifest
     return Snapshot(*(spark.read.schema(log.schema(s)).parquet(f"{at}/{name}") for name, s in (("postings", POSTING), ("centroids", CENTROID), ("inverted", INVERTED))))
 
 
+class SnapshotCache:
+    """Tables of recent snapshots, which never change; those of small indexes are kept in memory once read.
+
+    Bounded by the number of snapshots and by their rows: larger ones are left to the page cache.
+    """
+
+    def __init__(self, spark: SparkSession, files: LocalFiles | HadoopFiles, most: int = 10, most_rows: int = 200_000):
+        self.spark, self.files, self.most, self.most_rows = spark, files, most, most_rows
+        self.held: dict[str, Snapshot] = {}
+
+    def get(self, manifest: Manifest) -> Snapshot | None:
+        key = manifest.snapshot
+        if key is None:
+            return None
+        if key not in self.held:
+            snapshot = read_snapshot(self.spark, self.files, manifest)
+            if manifest.indexed_rows <= self.most_rows:
+                snapshot = Snapshot(snapshot.postings.coalesce(8).persist(), snapshot.centroids, snapshot.inverted.coalesce(8).persist())
+            self.held[key] = snapshot
+            while len(self.held) > self.most:
+                old = self.held.pop(next(iter(self.held)))
+                old.postings.unpersist()
+                old.inverted.unpersist()
+        return self.held[key]
+
+
 def empty(spark: SparkSession, spec: str) -> DataFrame:
     return spark.createDataFrame([], log.schema(spec))
 
@@ -58,7 +84,7 @@ def live_rows(spark: SparkSession, files: LocalFiles | HadoopFiles, manifest: Ma
     return merge.merge(base, tail_state(spark, files, manifest)) if manifest.wal else base
 
 
-def search(spark: SparkSession, files: LocalFiles | HadoopFiles, manifest: Manifest, query: Sequence[float], k: int, filters: Mapping[str, str] | None = None, config: ann.AnnConfig = ann.AnnConfig(), exact: bool = False) -> DataFrame:
+def search(spark: SparkSession, files: LocalFiles | HadoopFiles, manifest: Manifest, query: Sequence[float], k: int, filters: Mapping[str, str] | None = None, config: ann.AnnConfig = ann.AnnConfig(), exact: bool = False, cache: SnapshotCache | None = None) -> DataFrame:
     """The nearest live rows ``(id, vector, attributes, timestamp, dist)``.
 
     Base rows come from the nearest postings; all of them are read if the index is small, the caller asks
@@ -66,7 +92,7 @@ def search(spark: SparkSession, files: LocalFiles | HadoopFiles, manifest: Manif
     limit, so a query returns ``k`` rows if there are as many.  Filters compare with attributes as they
     were indexed, for rows of the log as well.
     """
-    snapshot = read_snapshot(spark, files, manifest)
+    snapshot = cache.get(manifest) if cache else read_snapshot(spark, files, manifest)
     allowed = None
     if filters:
         if snapshot is None:
