@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from tidemark.llm import decontamination, exact_dedup, line_dedup, ngram_join, packing, quality, secrets, token_files, toxicity
+from tidemark.llm import decontamination, exact_dedup, line_dedup, ngram_join, packing, quality, secrets, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": token_files.op4_token_files,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_quality": quality.op10_quality,
