@@ -3,23 +3,23 @@
 Documents link when their sets of five-word shingles have a Jaccard similarity of at least 75/100.  Equal
 sets are one node, named by a 64-bit hash of the set.  The result names each document's component.
 
-*Tokens and order.*  A shingle is a 64-bit token; tokens of a document are ordered by value, but those of
-the *frequent* class (found in more than ``RARE`` nodes of several components) come last.  A linked pair
-shares its first common token within both prefixes of ``n - ceil(0.75 n) + 1`` tokens, its second within
-prefixes one longer, and so on.
+*Tokens and prefixes.*  A shingle is a 64-bit token.  A node indexes the smallest tokens of its set: its plain
+prefix ``n - ceil(0.75 n) + 1``, in which two linked sets must share a token, extended by a sixteenth of the
+set and to ``SHORT`` tokens at least.  Within extended prefixes a linked pair must share ``needed(n)`` tokens, not one.
 
-*Extended prefixes.*  Every node indexes an extended prefix (all tokens if it has few), so that after
-frequent tokens are moved to the end there are as many rare tokens as the prefix needs.
+*Classes.*  Tokens held by more than ``RARE`` nodes of several components are *frequent*; the order within an
+extended prefix is rare tokens first, frequent ones last.  By the prefix argument on extended prefixes, the
+first common token is among the first ``size - needed + 1`` of both sets.  So
 
-*Generators of candidates*, each complete for its case:
+1. rare tokens are indexed one by one, and
+2. a node whose first ``size - needed + 1`` tokens reach frequent ones meets others like it in the groups of
+   those tokens.  A group compares combinations of frequent tokens whole, not two at a time: its nodes' common
+   frequent tokens are counted by matrix products, in blocks of bounded size, and only pairs leave it that can
+   still reach the threshold.  (Indexing all combinations of two was built first and gave each pair of a large
+   family thousands of times.)
 
-1. rare tokens within the prefixes are indexed one by one;
-2. nodes whose prefix reaches frequent tokens index combinations of two of them, the first from the prefix
-   and the second from the prefix extended by one;
-3. long nodes whose extended prefix has too few rare tokens are joined on the tokens of their plain prefix.
-
-Candidates must differ in component, pass the size bound, and share enough prefix tokens that the rest of
-both documents could reach the threshold; the sets of those that are left are compared in full.
+Candidates must differ in component, pass the size bound, and share enough tokens that the rest of both
+documents could reach the threshold; the sets of those that are left are compared in full.
 
 *Stars first.*  Before that, each node is compared with one node for its shared tokens, in a few rounds,
 and what links is merged.  A token that only one component holds can give no new link and is dropped, so a
@@ -33,6 +33,7 @@ last); an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,15 +43,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import KeyFilter, drop_stored, store, table
+from tidemark.llm.common import KeyFilter, drop_stored, release, store, table
 from tidemark.llm.components import components
 from tidemark.llm.tokens import slices
 
 WORDS = 5
 THRESHOLD, SCALE = 75, 100
-RARE = 8
-SHORT = 96
-STAR_ROUNDS = 3
+RARE = 32
+SHORT = 128
+EXTRA = 16  # an extended prefix has a sixteenth of the set more, and twelve tokens
+STAR_ROUNDS = 2
+GROUP, COLUMNS = 1024, 4096
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SETS = "doc_id long, tie long, node long, n int, ext array<long>"
 
@@ -60,7 +63,23 @@ def prefix_length(n: int) -> int:
 
 
 def extended_length(n: int) -> int:
-    return n if n <= SHORT else min(n, prefix_length(n) + n // 10 + 12)
+    return min(n, max(SHORT, prefix_length(n) + n // EXTRA + 12))
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def needed(n: int) -> int:
+    """Tokens that the extended prefixes of a set of ``n`` and of any set linked to it share, at least."""
+    low, high = -(-THRESHOLD * n // SCALE), SCALE * n // THRESHOLD
+    if not n:
+        return 0
+
+    def rest(m: int) -> int:
+        return m - extended_length(m)
+
+    # the set whose extended prefix ends at the smaller token bounds what may be shared beyond it
+    least = min(-(-THRESHOLD * (n + m) // (SCALE + THRESHOLD)) - rest(m) for m in range(low, high + 1))
+    own = -(-THRESHOLD * (n + low) // (SCALE + THRESHOLD)) - rest(n)
+    return max(1, min(least, own))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -124,7 +143,7 @@ def _build_full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batch, "body"):
             sets = shingle_sets(some["body"])
             packed = [np.sort(s.view(np.uint64) & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.int64()), pa.array(packed, pa.binary())], names=["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([some["id"], pa.array([set_name(s) for s in sets], pa.int64()), pa.array(packed, pa.binary())], names=["id", "node", "tokens"])
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
@@ -152,7 +171,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     token, node, n = None, None, None  # the group that is open
     pending: tuple[int, int, int] | None = None  # its first row, until a second one comes
     for batch in batches:
-        t, d, m = (batch[c].to_numpy() for c in ("token", "node", "meta"))
+        t, d, m = (batch[c].to_numpy() for c in ("token", "node", "n"))
         if not len(t):
             continue
         new = np.ones(len(t), bool)
@@ -160,7 +179,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[0] = token is None or t[0] != token
         first = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
         pivot = np.where(first >= 0, d[first], 0 if node is None else node)
-        pivot_n = np.where(first >= 0, m[first] >> 32, 0 if n is None else n)
+        pivot_n = np.where(first >= 0, m[first], 0 if n is None else n)
         follows = ~new
         shared = follows.copy()
         shared[:-1] |= follows[1:]
@@ -169,10 +188,47 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shared[-1] = False
         out = [c[shared] for c in columns]
         if pending is not None and not new[0]:
-            out = [np.concatenate([[v], c]) for v, c in zip((*pending, pending[1], pending[2] >> 32), out, strict=True)]
+            out = [np.concatenate([[v], c]) for v, c in zip((*pending, *pending[1:]), out, strict=True)]
         pending = (int(t[-1]), int(d[-1]), int(m[-1])) if new[-1] else None if len(t) > 1 or not new[0] else pending
         token, node, n = int(t[-1]), int(pivot[-1]), int(pivot_n[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["token", "node", "meta", "pivot", "pivot_n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["token", "node", "n", "pivot", "pivot_n"])
+
+
+def _close_pairs(group: pa.Table) -> pa.Table:
+    """Pairs of one group, or of two of its blocks, whose common frequent tokens leave the threshold within reach.
+
+    Common tokens are counted for all pairs at once, by products of 0/1 matrices in slices of tokens, so only
+    pairs that pass leave the task, and of the groups that a pair shares only the first one's.
+    """
+    lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
+    node, comp, n, r, beyond, rank, block = (group[c].to_numpy() for c in ("node", "comp", "n", "r", "beyond", "rank", "block"))
+    lists = group["tokens"].combine_chunks()
+    f = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    distinct, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    row = np.repeat(np.arange(len(node)), f)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(f) - f, f)
+    earlier = place < rank[row]  # tokens whose groups come before this one
+    common, before = (np.zeros((len(node), len(node)), np.float32) for _ in range(2))
+    order = np.argsort(column, kind="stable")
+    row, column, earlier = row[order], column[order], earlier[order]
+    for first in range(0, len(distinct), COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        part = np.zeros((len(node), min(COLUMNS, len(distinct) - first)), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        common += part @ part.T
+        part[row[a:b][~earlier[a:b]], column[a:b][~earlier[a:b]] - first] = 0
+        before += part @ part.T
+    total = n[:, None].astype(np.int64) + n[None, :]
+    need = -(-THRESHOLD * total // (SCALE + THRESHOLD))
+    # besides: rare tokens, and what lies beyond the extended prefix that ends first; others are in one component
+    reach = common + np.minimum(r[:, None], r[None, :]) + np.maximum(beyond[:, None], beyond[None, :]) >= need
+    reach &= SCALE * np.minimum(n[:, None], n[None, :]).astype(np.int64) >= THRESHOLD * np.maximum(n[:, None], n[None, :]).astype(np.int64)
+    reach &= (node[:, None] < node[None, :]) & (comp[:, None] != comp[None, :])
+    reach &= before == 0
+    if lo != hi:
+        reach &= block[:, None] != block[None, :]
+    x, y = np.nonzero(reach)
+    return pa.table({"node_a": pa.array(node[x], pa.int64()), "node_b": pa.array(node[y], pa.int64())})
 
 
 def _size_ok(a: str, b: str) -> Column:
@@ -191,28 +247,28 @@ class Join:
         held = sets.where("n > 0").select("node", "n", "ext")
         once = again.drop(held, F.col("node"))
         copies = again.keep(held, F.col("node")).groupBy("node", "n").agg(F.first("ext").alias("ext"))
-        index = once.unionByName(copies).select("node", "n", F.posexplode("ext").alias("pos", "token"))
-        index = index.select("token", "node", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("meta"))
+        index = once.unionByName(copies).select(F.explode("ext").alias("token"), "node", "n")
         index = index.repartition("token").sortWithinPartitions("token", "node")
-        self.shared = store(index.mapInArrow(_groups, "token long, node long, meta long, pivot long, pivot_n long"), "shared")
-        self.sets = sets
+        self.shared = store(index.mapInArrow(_groups, "token long, node long, n int, pivot long, pivot_n int"), "shared")
+        drop_stored(sets)
+        release(self.bodies.sparkSession)
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
-    def full_sets(self, wanted: DataFrame) -> DataFrame:
-        """``(node, tokens)`` of the nodes in ``wanted (node)`` (and of a few others)."""
-        ids = store(wanted.join(self.nodes, "node").select(F.coalesce("first_id", F.lit(-1)).alias("id")), "wanted")
-        some = KeyFilter(ids, "id").keep(self.bodies, F.coalesce("doc_id", F.lit(-1).cast("long")))
-        return some.select("body").mapInArrow(_build_full, "node long, tokens binary")
-
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """Pairs ``(a, b)`` whose whole sets are similar enough."""
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = store(self.full_sets(wanted), "full")
-        left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-        both = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-        found = store(both.mapInArrow(_compare, "a long, b long"), "links")
+        """Pairs ``(a, b)`` whose whole sets are similar enough.  One document of each node is read again."""
+        ids = self.nodes.select("node", F.coalesce("first_id", F.lit(-1)).alias("id"))
+        named = pairs.join(ids.select(F.col("node").alias("a"), F.col("id").alias("a_id")), "a").join(ids.select(F.col("node").alias("b"), F.col("id").alias("b_id")), "b")
+        named = store(named, "named")
+        wanted = store(named.select(F.col("a_id").alias("id")).unionByName(named.select(F.col("b_id").alias("id"))).distinct(), "wanted")
+        some = KeyFilter(wanted, "id").keep(self.bodies, F.coalesce("doc_id", F.lit(-1).cast("long")))
+        some = some.select(F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"), "body")
+        sets = store(some.mapInArrow(_build_full, "id long, node long, tokens binary"), "full")
+        left = named.join(sets.select(F.col("node").alias("a"), F.col("id").alias("a_id"), F.col("tokens").alias("x")), ["a", "a_id"])
+        both = left.join(sets.select(F.col("node").alias("b"), F.col("id").alias("b_id"), F.col("tokens").alias("y")), ["b", "b_id"]).select("a", "b", "x", "y")
+        found = store(both.mapInArrow(_compare, "a long, b long").distinct(), "links")
         drop_stored(sets)
+        release(self.bodies.sparkSession)
         return found
 
     def add(self, found: DataFrame) -> None:
@@ -229,15 +285,19 @@ class Join:
         """Rounds in which each node is compared with the node with which most of its tokens lead it."""
         for k in range(STAR_ROUNDS):
             if k == 0:
-                led = self.shared.where("node <> pivot").select("node", F.shiftright("meta", 32).alias("n"), "pivot", "pivot_n")
+                led = self.shared.where("node <> pivot").select("node", "n", "pivot", "pivot_n")
             else:
-                rows = self.labelled(self.shared.select("token", "node", "meta"))
-                rows = rows.select("token", "node", F.shiftright("meta", 32).alias("n"), "comp")
-                chosen = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "comp")).alias("p"))
-                chosen = store(chosen.where("low <> high").select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.comp").alias("pivot_comp")), "pivots")
+                rows = self.labelled(self.shared.select("token", "node", "n"))
+                kinds = rows.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+                rows = store(rows.join(store(kinds.select("token", "times"), "kinds").hint("merge"), "token"), "mixed")
+                # the node whose tokens most others share is most like all of them: the original of many copies
+                liked = store(rows.groupBy("node").agg((F.sum("times") / F.first("n")).alias("liked")), "liked")
+                rows = rows.join(liked.hint("merge"), "node")
+                chosen = rows.groupBy("token").agg(F.max(F.struct("liked", "node", "n", "comp")).alias("p"))
+                chosen = store(chosen.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.comp").alias("pivot_comp")), "pivots")
                 led = rows.join(chosen.hint("merge"), "token").where("comp <> pivot_comp").select("node", "n", "pivot", "pivot_n")
             led = led.where(_size_ok("n", "pivot_n")).groupBy("node", "n", "pivot").agg(F.count(F.lit(1)).alias("m"))
-            best = led.where(F.col("m") * 20 >= F.col("n")).groupBy("node").agg(F.max(F.struct("m", "pivot")).alias("x"))
+            best = led.where(F.col("m") * 10 >= F.col("n")).groupBy("node").agg(F.max(F.struct("m", "pivot")).alias("x"))
             pairs = store(best.select(F.col("node").alias("a"), F.col("x.pivot").alias("b")), "pairs")
             found = self.verify(pairs)
             if not found.isEmpty():
@@ -246,61 +306,47 @@ class Join:
                 break
 
     def candidates(self) -> DataFrame:
-        """All pairs that could link two components: generators 1 to 3."""
-        rows = self.labelled(self.shared.select("token", "node", "meta"))
-        rows = rows.select("token", "node", "comp", F.shiftright("meta", 32).cast("int").alias("n"), F.col("meta").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
+        """All pairs that could link two components."""
+        rows = self.labelled(self.shared.select("token", "node", "n"))
         kinds = rows.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        kinds = store(kinds.select("token", (F.col("times") > RARE).alias("frequent")), "kinds")
-        p = (F.col("n") - F.ceil(THRESHOLD * F.col("n") / SCALE) + 1).cast("int")
-        e = F.when(F.col("n") <= SHORT, F.col("n")).otherwise(F.least(F.col("n"), p + F.floor(F.col("n") / 10).cast("int") + 12)).cast("int")
-        rows = store(rows.join(kinds.hint("merge"), "token").withColumns({"p": p, "e": e}), "mixed")
-        # where the prefix ends once frequent tokens are passed over
-        moved = rows.where("frequent").groupBy("node", "n", "p", "e").agg(F.array_sort(F.collect_list("pos")).alias("at"))
-        end = F.aggregate("at", F.col("p"), lambda b, x: F.when(x < b, b + 1).otherwise(b))
-        moved = store(moved.select("node", end.alias("end"), (end > F.col("e")).alias("reaches"), (F.col("e") < F.col("n")).alias("long")), "moved")
-        rows = rows.join(moved, "node", "left").withColumns({"end": F.coalesce("end", "p"), "reaches": F.coalesce("reaches", F.lit(False)), "long": F.coalesce("long", F.lit(False))})
-        rows = store(rows, "classed")
-
-        def paired(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-            names = ("node", "comp", "n", "p", "last", "free")
-            x = left.select(*on, *[F.col(c).alias(f"{c}_a") for c in names])
-            y = right.select(*on, *[F.col(c).alias(f"{c}_b") for c in names])
-            met = x.join(y, on).where((F.col("comp_a") != F.col("comp_b")) & _size_ok("n_a", "n_b"))
-            swap = F.col("node_a") > F.col("node_b")
-
-            def side(c: str, other: str, c2: str) -> Column:
-                return F.when(swap, F.col(f"{c}_{other}")).otherwise(F.col(f"{c}_{c2}"))
-
-            ordered = met.select(*[side(c, "b", "a").alias(f"{c}_a") for c in names], *[side(c, "a", "b").alias(f"{c}_b") for c in names], *on).distinct()
-            ordered = ordered.groupBy(*[f"{c}_{s}" for s in "ab" for c in names if c != "comp"]).agg(F.count(F.lit(1)).alias("m"))
-            need = F.ceil(THRESHOLD * (F.col("n_a") + F.col("n_b")) / (SCALE + THRESHOLD))
-            rest = F.when(F.col("last_a") <= F.col("last_b"), F.col("n_a") - F.col("p_a")).otherwise(F.col("n_b") - F.col("p_b"))
-            return ordered.where(F.col("free_a") | F.col("free_b") | (F.col("m") + rest >= need)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-
-        # 1. rare tokens.  ``last`` is the last token of the prefix; nodes that reach frequent tokens are free of the count bound
-        ends = self.sets.where("n > 0").join(rows.select("node", "end", "reaches").distinct(), "node")
-        ends = ends.select("node", F.when(~F.col("reaches"), F.element_at("ext", F.col("end"))).alias("last")).groupBy("node").agg(F.first("last").alias("last"))
-        ends = store(ends, "ends")
-        rows = rows.join(ends, "node").withColumn("free", F.col("reaches")).withColumn("last", F.coalesce("last", F.lit(0).cast("long")))
-        rows = store(rows, "ready")
-        rare = rows.where(~F.col("frequent") & (F.col("pos") < F.col("end")))
-        found = paired(rare, rare.where("true"), ["token"])
-        # 2. two frequent tokens, of short nodes
-        reach = rows.where("reaches and not long")
-        order = reach.groupBy("node", "comp", "n", "p", "last", "free").agg(F.array_sort(F.collect_list(F.when(F.col("frequent"), F.col("token")))).alias("q"))
-        rares = F.col("n") - F.size("q")  # every other token of a short node is rare
-        into = F.greatest(F.lit(0), F.col("p") - rares)
-        firsts, seconds = F.slice("q", 1, into), F.slice("q", 1, into + 1)
-        combos = F.flatten(F.transform(firsts, lambda t: F.transform(F.filter(seconds, lambda u: u > t), lambda u: F.struct(t.alias("t"), u.alias("u")))))
-        combined = order.select("node", "comp", "n", "p", "last", "free", F.explode(combos).alias("combo"))
-        found = found.unionByName(paired(combined, combined.where("true"), ["combo"]))
-        # 3. long nodes with too few rare tokens, on the plain prefix
-        plain = rows.where("pos < p")
-        plain_last = self.sets.join(rows.select("node").distinct(), "node", "left_semi").where("n > 0").select("node", F.element_at("ext", F.expr("cast(n - ceil(75 * n / 100) + 1 as int)")).alias("l")).groupBy("node").agg(F.first("l").alias("l"))
-        plain = plain.join(plain_last, "node").withColumn("last", F.col("l")).withColumn("free", F.lit(False))
-        hard = plain.where("reaches and long")
-        found = found.unionByName(paired(hard, plain, ["token"]).where("a <> b"))
-        return store(found.distinct(), "candidates")
+        kinds = store(kinds.select("token", "times"), "kinds")
+        rows = store(rows.join(kinds.hint("merge"), "token"), "mixed")
+        frequent = F.col("times") > RARE
+        # every other token of the extended prefix comes before the frequent ones
+        most = store(rows.where(frequent).groupBy("node", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("q")), "frequent")
+        sizes = F.udf(lambda n: [extended_length(n), needed(n)], "array<int>")
+        most = most.join(store(most.select("n").distinct().withColumn("en", sizes("n")), "sizes"), "n")
+        rare = rows.where(~frequent).groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("r"))
+        most = store(most.join(rare, "node", "left").withColumn("r", F.coalesce("r", F.lit(0))), "most")
+        free = rows.where(~frequent).join(most.select("node", F.size("q").alias("f")), "node", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+        names = ("node", "comp", "n", "f")
+
+        def met(left: DataFrame, on: str) -> DataFrame:
+            x = left.select(on, *[F.col(c).alias(f"{c}_a") for c in names])
+            y = left.select(on, *[F.col(c).alias(f"{c}_b") for c in names])
+            return x.join(y, on).where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _size_ok("n_a", "n_b"))
+
+        single = met(free, "token").groupBy("node_a", "node_b", "n_a", "n_b", "f_a", "f_b").agg(F.count(F.lit(1)).alias("m"))
+        need = F.ceil(THRESHOLD * (F.col("n_a") + F.col("n_b")) / (SCALE + THRESHOLD))
+
+        def rest(n: str) -> Column:
+            plain = F.col(n) - F.ceil(THRESHOLD * F.col(n) / SCALE) + 1
+            return F.col(n) - F.least(F.col(n), F.greatest(F.lit(SHORT), plain + F.floor(F.col(n) / EXTRA) + 12))
+
+        single = single.where(F.col("m") + F.least("f_a", "f_b") + F.greatest(rest("n_a"), rest("n_b")) >= need)
+        # frequent tokens among the first size - needed + 1, which lead nodes into groups of bounded size
+        into = F.greatest(F.lit(0), F.size("q") - F.element_at("en", 2) + 1)
+        tokens = F.transform("q", lambda t: t["token"])
+        led = most.select("node", "comp", "n", "r", (F.col("n") - F.element_at("en", 1)).alias("beyond"), tokens.alias("tokens"), F.posexplode(F.transform(F.slice("q", 1, into), lambda t: t["token"])).alias("rank", "token"))
+        led = store(led, "led")
+        groups = led.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        groups = store(groups.select("token", F.ceil(F.col("size") / GROUP).cast("int").alias("blocks")), "groups")
+        led = led.join(groups.hint("merge"), "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        led = led.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        led = led.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp", "n", "r", "beyond", "rank", "tokens")
+        double = led.groupBy("token", "lo", "hi").applyInArrow(_close_pairs, "node_a long, node_b long")
+        found = single.select("node_a", "node_b").unionByName(double)
+        return store(found.distinct().select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "candidates")
 
     def result(self) -> DataFrame:
         """``(doc_id, tie, n_shingles, component_id)``; ``tie`` is a hash of the text."""
