@@ -16,6 +16,10 @@ def test_oracle(spark):
     same(exact_dedup.op6_exact_dedup(spark, FOLDER), exact_dedup.ORACLE, FOLDER)
 
 
+def test_secret_oracle(spark):
+    same(secrets.op8_secret_scan(spark, FOLDER), secrets.ORACLE, FOLDER)
+
+
 def expected(rows):
     groups = {}
     for i, t in rows:

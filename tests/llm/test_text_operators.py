@@ -7,7 +7,7 @@ import pytest
 import zlib
 
 import corpus_pipeline
-from tests.compare import duck
+from tests.compare import duck, same
 from tests.llm.conftest import frame
 from tidemark.llm import decontamination, line_dedup, ngram_join, quality, toxicity
 from tidemark.llm.components import components
@@ -80,6 +80,10 @@ def test_ngram_join_on_families(spark, monkeypatch):
         assert joined(frame(spark, rows)) == want
 
 
+def test_ngram_oracle(spark):
+    same(ngram_join.op1_ngram_join(spark, SMALL), ngram_join.ORACLE, SMALL)
+
+
 def test_needed_is_a_lower_bound():
     for n in (1, 2, 5, 20, 96, 128, 129, 150, 200, 300, 550, 900):
         e = ngram_join.extended_length

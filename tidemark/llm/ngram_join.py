@@ -397,3 +397,21 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
+
+
+ORACLE = """
+with recursive w as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents
+),
+s as (
+    select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+        else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as shingles from w
+),
+n as (select doc_id, len(shingles) as n_shingles from s),
+x as (select doc_id, unnest(shingles) as shingle from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common from x a join x b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * common >= 75 * (na.n_shingles + nb.n_shingles - common)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as comp from documents union select e.b, r.comp from r join e on e.a = r.doc_id)
+select n.doc_id, n.n_shingles, min(comp) as component_id from r join n on n.doc_id = r.doc_id group by 1, 2
+"""

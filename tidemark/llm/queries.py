@@ -23,6 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": quality.op10_quality,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_secret_scan": secrets.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

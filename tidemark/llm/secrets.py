@@ -140,3 +140,40 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str =
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def _oracle_spans(rank: int, rule: Rule) -> str:
+    """Spans of one rule in SQL: gaps between matches and matches alternate."""
+    pattern = _either_case(rule.pattern).replace("'", "''")
+    gaps, found = f"string_split_regex(body, '{pattern}')", f"regexp_extract_all(body, '{pattern}')"
+    return f"""list_filter(list_transform(range(1, len({found}) + 1), lambda i: {{
+        s: cast(list_sum(list_transform({gaps}[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform({found}[1:i - 1], lambda m: length(m))), 0) as bigint),
+        k: {rank}, m: {found}[i], g: regexp_extract_all(body, '{pattern}', {rule.group})[i], kind: '{rule.kind}'}}), lambda x: length(x.g) >= {rule.least})"""
+
+
+def _either_case(pattern: str) -> str:
+    """``(?i)`` folds beyond ASCII in the other engine, so letters outside classes and escapes are spelled out."""
+    if not pattern.startswith("(?i)"):
+        return pattern
+    out, in_class, k = "", False, 4
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            size = 4 if pattern[k + 1] == "x" else 2
+            out, k = out + pattern[k : k + size], k + size
+            continue
+        in_class = (in_class or c == "[") and c != "]"
+        out += f"[{c}{c.upper()}]" if c.isalpha() and not in_class else c
+        k += 1
+    return out
+
+
+_NUMBERED = [(KINDS.index(rule.kind), rule) for version in sorted(RULES) for rule in RULES[version]]
+ORACLE = f"""
+with d as (select doc_id, coalesce(text, '') as body from documents),
+f as (select doc_id, list_sort(list_concat({", ".join(_oracle_spans(rank, rule) for rank, rule in _NUMBERED)})) as found from d)
+select doc_id, {", ".join(f"len(list_filter(found, lambda x: x.kind = '{kind}')) as n_{kind}" for kind in BASE)},
+    sha256(coalesce(array_to_string(list_transform(list_filter(found, lambda x: x.k < {len(BASE)}), lambda x: x.kind || ':' || x.s || ':' || (x.s + length(x.m))), ','), '')) as base_sha256,
+    coalesce(array_to_string(list_transform(found, lambda x: x.kind || ':' || x.s || ':' || (x.s + length(x.m))), ','), '') as spans
+from f
+"""
