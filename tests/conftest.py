@@ -14,7 +14,6 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
-        .config("spark.executorEnv.PYTHONPATH", str(Path(__file__).resolve().parents[1]))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import attrs, ids, names, vectors
 from tidemark.operators import ann, inverted, merge, replay, stats, topk
+from tidemark.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +33,7 @@ def register(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

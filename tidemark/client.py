@@ -18,6 +18,7 @@ from tidemark.operators import ann
 from tidemark.operators.replay import DELETE, PATCH, UPSERT
 from tidemark.plans import compact as compaction
 from tidemark.plans import query as plans
+from tidemark.session import ship_package
 from tidemark.sources import log
 from tidemark.sources.files import open_files
 from tidemark.sources.manifest import Manifest, Manifests, WalFile
@@ -31,6 +32,7 @@ class Client:
 
     def __init__(self, spark: SparkSession, root: str, config: ann.AnnConfig = ann.AnnConfig(), max_top_k: int = MAX_TOP_K, auto_compact: bool = False):
         self.spark, self.files, self.config, self.max_top_k, self.auto_compact = spark, open_files(spark, root), config, max_top_k, auto_compact
+        ship_package(spark)
         self.snapshots = plans.SnapshotCache(spark, self.files)
 
     def create_namespace(self, name: str, metric: str = vectors.COSINE, index_attributes: Iterable[str] = ()) -> Namespace:
