@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 #: Rows that pass to Python workers at a time; Spark's default is too many for long texts.
-ARROW_ROWS = 2048
+ARROW_ROWS = 512
 _shipped: set[str] = set()
 
 
