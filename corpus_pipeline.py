@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontamination, line_dedup, ngram_join, packing, quality
 from tidemark.llm.common import store, table
 from tidemark.llm.tokens import default_path
+from tidemark.session import ship_package
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,12 +23,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document or place has."""
+    ship_package(spark)
     out = line_dedup.without_repeated_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar documents."""
+    ship_package(spark)
     return ngram_join.one_of_each(docs)
 
 
@@ -39,6 +42,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    ship_package(spark)
     return packing.pack_documents(docs, default_path("word_bpe_49k.json"))
 
 

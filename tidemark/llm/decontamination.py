@@ -48,7 +48,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 class Templates:
     """Words to template codes, remembered within a worker."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         self.known: dict[str, tuple[int, int, bool]] = {}
         self.most = most
 
@@ -183,7 +183,7 @@ def _matcher(held: list[tuple[int, str]], names: list[str], text_col: str, cover
         index, templates = Benchmark(held), Templates()
         for batch in batches:
             texts = pc.fill_null(pc.cast(batch[text_col], pa.string()), "")
-            for some in slices(batch.append_column("dc_body", texts), "dc_body"):
+            for some in slices(batch.append_column("dc_body", texts), "dc_body", 1 << 21):
                 found = index.matches(templates, some["dc_body"])
                 columns = [[[] for _ in range(some.num_rows)], [None] * some.num_rows, [0.0] * some.num_rows, [False] * some.num_rows]
                 if "dc_item" in some.schema.names:  # an earlier block's results

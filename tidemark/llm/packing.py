@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import store, table
-from tidemark.llm.tokens import DROPPED, default_path, encoder, slices
+from tidemark.llm.tokens import DROPPED, default_path, encoder, gathered, slices
 
 CAPACITY = 4096
 FILLER_EVERY = 16
@@ -141,9 +141,9 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: in
         enc, part = encoder(tokenizer, DROPPED), TaskContext.get().partitionId()
         local, count, full = np.zeros(len(edges), np.int64), 0, 0
         fields = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("cls", pa.int32()), ("part", pa.int32()), ("local", pa.int64()), ("sequence_id", pa.int64()), ("ids", pa.binary())])
-        for batch in batches:
+        for batch in gathered(batches, "body", 1 << 21):
             rows = []
-            for some in slices(batch, "body"):
+            for some in slices(batch, "body", keep=True):
                 flat, lengths = enc.encode(some["body"])
                 flat = np.insert(flat, np.cumsum(lengths), enc.dtype.type(end_id)).astype("<u4")
                 lengths += 1

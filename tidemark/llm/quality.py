@@ -33,6 +33,7 @@ MAX_DOCS = 4000
 MAX_PASSAGES = 64
 HIDDEN, GATES = 16, 8
 CUTOFF = 0.3
+SLICE = 1 << 21  # bytes of text whose features are made at a time
 #: Byte classes, each a feature: upper, lower, digit, stop, shout, bar, symbol, beyond ASCII, line feed.
 _CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:", b"!?", b"|", b"#$%&*@^~<>{}[]\\/=+_`", bytes(range(128, 256)), b"\n\r")
 _CLASS_OF = np.full(256, len(_CLASSES), np.int64)
@@ -144,7 +145,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: i
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 5, part: int = 0, id_col: str = "doc_id", text_col: str = "text") -> AttentionModel | None:
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, "body"):
+            for some in slices(batch, "body", SLICE):
                 rows, counts = passages(some["body"])
                 at, bags = 0, []
                 for n in counts.tolist():
@@ -171,7 +172,7 @@ def quality_scores(docs: DataFrame, model: AttentionModel | None, text_col: str
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body = pc.fill_null(pc.cast(batch[text_col], pa.string()), "")
-            for some in slices(batch.append_column("q_body", body), "q_body"):
+            for some in slices(batch.append_column("q_body", body), "q_body", SLICE):
                 if model is None:
                     chance = np.full(some.num_rows, 0.5)
                 else:

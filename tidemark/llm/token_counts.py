@@ -16,7 +16,6 @@ one; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
-from tidemark.llm.tokens import default_path, slices
+from tidemark.llm.tokens import default_path, gathered, held, slices
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -140,10 +139,9 @@ class Counter:
         return total - np.where(first, self.word(BLANK)[1], 0)
 
 
-@functools.lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
     """One counter for each worker process."""
-    return Counter(read_vocabulary(path))
+    return held(("counter", path), lambda: Counter(read_vocabulary(path)))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,8 +149,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(vocabulary)
-        for batch in batches:
-            for some in slices(batch, "body"):
+        for batch in gathered(batches, "body", 1 << 22):
+            for some in slices(batch, "body", keep=True):
                 yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array(own.counts(some["body"]))], names=["doc_id", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))

@@ -10,10 +10,11 @@ differently, are handed to the tokenizer whole.
 
 from __future__ import annotations
 
-import functools
+import contextlib
+import ctypes
 import os
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +86,7 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of texts (no nulls), one text after another, and the number of ids of each."""
-        if len(self.cache) > CACHE_CHUNKS:
+        if len(self.cache) > (CACHE_CHUNKS // 3 if self.drop else CACHE_CHUNKS):  # case and blanks make chunks many
             self.old, self.cache = self.cache, {}
         odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         words = pc.split_pattern(self._cut(texts.filter(pa.array(~odd))), CUT)
@@ -127,17 +128,54 @@ def _latin(text: str) -> bool:
     return text.isascii() or max(text) <= "\xff"
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about 4 MB of text; a longer text is a piece of its own."""
+#: What a worker process keeps from one task to the next: one operator's large object at a time.
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Small batches joined up to about ``most`` bytes of text, in which chunks repeat more often."""
+    waiting: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        waiting.append(batch)
+        size += batch[column].nbytes
+        if size >= most:
+            yield pa.concat_batches(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``most`` bytes of text; a longer text is a piece of its own.
+
+    Unless it is to be kept, what an earlier operator left in this worker is dropped.
+    """
+    if not keep:
+        _held.clear()
     size = np.cumsum(pc.binary_length(batch[column]).to_numpy(zero_copy_only=False))
     lo = 0
     while lo < batch.num_rows:
         hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, side="right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
+    _trim()
+
+
+def _trim() -> None:
+    """Give freed memory back, so that a worker that is used again does not hold on to an earlier task's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str, white_space: str) -> ChunkEncoder:
     """One encoder for each worker process."""
-    return ChunkEncoder(path, white_space)
+    return held(("encoder", path, white_space), lambda: ChunkEncoder(path, white_space))
