@@ -143,8 +143,8 @@ def write_segments(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
             del doc_ids[:docs_held], lengths[:docs_held]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "part_start", "n_docs", "n_ids", "payload"])
 
-        for batch in gathered(batches, "body", 1 << 22):
-            for some in slices(batch, "body", keep=True):
+        for batch in gathered(batches, "body", 1 << 23):
+            for some in slices(batch, "body", 1 << 23, keep=True):
                 ids, n = enc.encode(some["body"])
                 held.append(np.insert(ids, np.cumsum(n), enc.dtype.type(end_id)))
                 doc_ids += some["doc_id"].to_pylist()

@@ -28,7 +28,7 @@ CUT = "\x01"
 _CONTROL = "\x01\x1c\x1d\x1e\x1f"
 _BLANK = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Chunks in one generation of the cache; two generations are held.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 550_000
 
 
 def default_path(name: str) -> str:
@@ -86,7 +86,7 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of texts (no nulls), one text after another, and the number of ids of each."""
-        if len(self.cache) > (CACHE_CHUNKS // 3 if self.drop else CACHE_CHUNKS):  # case and blanks make chunks many
+        if len(self.cache) > (CACHE_CHUNKS // 5 if self.drop else CACHE_CHUNKS):  # case and blanks make chunks many
             self.old, self.cache = self.cache, {}
         odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         words = pc.split_pattern(self._cut(texts.filter(pa.array(~odd))), CUT)
