@@ -7,6 +7,7 @@ from tidemark.client import Client
 from tidemark.errors import DimensionMismatch, DistanceMetricConflict, IndexNotBuilt, InvalidRequest, NamespaceExists, NamespaceNotFound
 from tidemark.functions import names, vectors
 from tidemark.operators.ann import AnnConfig
+from tidemark.plans import query as plans
 from tidemark.sources import log
 from tidemark.sources.manifest import Manifest, WalFile
 from tidemark.streaming.ingest import ingest, read_records
@@ -232,6 +233,29 @@ def test_recall(client):
     assert hits == 50  # small indexes are scanned whole
 
 
+def test_recall_of_probed_postings(client, monkeypatch):
+    client.config = AnnConfig(rounds=2)
+    space = client.create_namespace("probed")
+    data = rows(10_500, dims=16, seed=7)
+    for i, r in enumerate(data):
+        r["attributes"] = {"rare": "yes" if i % 800 == 0 else "no"}
+    space.upsert(data)
+    space.compact(force=True)
+    m = space.manifest()
+    assert m.indexed_rows > plans.EXACT_ROWS and 1 <= m.fanout(10) <= m.fanout(100) and m.fanout(1000) is None
+    assert Manifest.from_json(m.to_json()) == m
+    x = np.array([vectors.normalized(r["vector"]) for r in data])
+    hits = 0
+    for q in np.random.default_rng(8).normal(size=(30, 16)):  # none is a row
+        truth = np.argsort(-(x @ q), kind="stable")[:10]
+        hits += len(set(map(int, found(space, q.tolist()))) & set(truth.tolist()))
+    assert hits >= 0.88 * 300  # 0.9 less the error of 30 queries
+    monkeypatch.setattr(plans, "SELECTIVE_IDS", 0)  # so that the filter is answered from probed postings
+    assert len(found(space, data[0]["vector"], filters={"rare": "yes"})) == 10
+    space.delete([i for i in range(10_500) if i % 800 == 0 and i > 4000])
+    assert len(found(space, data[0]["vector"], filters={"rare": "yes"})) == 6
+
+
 def test_stream_equals_batch(client, spark, tmp_path):
     space, same = client.create_namespace("streamed"), client.create_namespace("batched")
     same.upsert(rows(30), timestamp=100)

@@ -73,3 +73,17 @@ def test_recall_at_full_fanout(spark):
     assert {r["id"] for r in full.collect()} == truth
     some = ann.search(postings, centroids, x[0].astype(np.float32).tolist(), 10, config)
     assert len({r["id"] for r in some.collect()} & truth) >= 4
+
+
+def test_places_give_the_recall_of_a_search(spark):
+    x = np.random.default_rng(3).normal(size=(400, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "id long, vector array<float>")
+    postings, centroids = ann.build(rows, ann.AnnConfig(max_posting_size=60, min_posting_size=5, rounds=2))
+    postings = postings.cache()
+    queries = rows.where("id % 50 = 0").selectExpr("id as query_id", "vector as query_vector")
+    places = ann.neighbour_places(postings, centroids, queries, 10).collect()
+    assert len(places) == 80
+    for q in (0, 100, 350):
+        got = {r["id"] for r in ann.search(postings, centroids, x[q].astype(np.float32).tolist(), 11, ann.AnnConfig(search_fanout=3)).collect()}
+        assert got & {p["id"] for p in places if p["query_id"] == q} == {p["id"] for p in places if p["query_id"] == q and p["place"] <= 3}

@@ -7,6 +7,8 @@ order differ and a latest-per-key shortcut would fail.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -461,6 +463,27 @@ def ann_build_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.posting_sizes(postings)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Written to the shared checkpoint folder, or one of our own in local mode, and read back; removed when the application ends."""
+    spark = df.sparkSession
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()}/tidemark-index-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@register()
+def ann_recall_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall at 10 of a built index at the fan-out chosen for it: every row whose id is divisible by 50 against brute force."""
+    postings, centroids = ann.build(embedded(spark, sf_dir).select("id", "vector"), settle=settled)
+    queries = postings.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    places = settled(ann.neighbour_places(postings, centroids, queries, 10))
+    fanout = ann.least_fanout(ann.recall_by_fanout(places, 10))
+    found = F.count_if(F.col("place") <= fanout) / F.count(F.lit(1))
+    return places.agg(F.countDistinct("query_id").alias("queries"), F.lit(centroids.count()).alias("postings"), F.lit(fanout).alias("fanout"), found.alias("recall"))
+
+
 # reports, ids, attributes, names
 
 

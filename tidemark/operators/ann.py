@@ -15,15 +15,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.vectors import COSINE, EUCLIDEAN, distance, literal, wide
-from tidemark.operators.topk import topk
+from tidemark.operators.topk import batch_topk, topk
 
 #: Centroids that are shipped to every task; above this a two-level build is needed: 100,000 x 128 dimensions is 100 MB.
 MAX_CENTROIDS = 100_000
+#: Share of the true neighbours that a search has to find.
+RECALL = 0.9
 
 
 @dataclass(frozen=True)
@@ -197,6 +199,60 @@ def probe_ids(centroids: DataFrame, query: Sequence[float], fanout: int, metric:
     return [r["posting_id"] for r in topk(centroids, query, fanout, metric, "posting_id", "centroid").collect()]
 
 
+def probe_order(centroids: DataFrame, query: Sequence[float], metric: str = COSINE) -> list[tuple[int, int]]:
+    """``(posting id, rows)`` of all postings, nearest first."""
+    return [(r["posting_id"], r["n"]) for r in topk(centroids, query, MAX_CENTROIDS, metric, "posting_id", "centroid").collect()]
+
+
+def neighbour_places(postings: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, metric: str = COSINE) -> DataFrame:
+    """``(query_id, id, rank, place)``: the ``k`` true neighbours of each query other than itself, by brute force.
+
+    ``place`` counts from 1 how near the neighbour's posting is to the query among all postings.  A search
+    compares all rows of the postings it probes, so it finds a true neighbour if and only if its place is
+    within the fan-out: the places give the recall at every fan-out.
+    """
+    truth = batch_topk(postings, queries, k + 1, metric).where("query_id <> id")
+    truth = truth.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= k).drop("dist")
+    held, matrix = _matrix(centroids)
+    rows = truth.join(postings.select("id", "posting_id"), "id").join(queries.select("query_id", "query_vector"), "query_id")
+    rows = rows.select("query_id", "id", "rank", "posting_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+    fields = T.StructType([*(rows.schema[c] for c in ("query_id", "id", "rank")), T.StructField("place", T.IntegerType())])
+    step = max(1, (1 << 21) // max(1, len(held)))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                some = batch.slice(lo, step)
+                x = some["query_vector"].flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1)
+                dist = _distances(x, matrix, metric)
+                at = np.searchsorted(held, some["posting_id"].to_numpy())
+                own = dist[np.arange(len(x)), at][:, None]
+                before = (dist < own) | ((dist == own) & (np.arange(len(held))[None, :] < at[:, None]))
+                yield pa.RecordBatch.from_arrays([some["query_id"], some["id"], some["rank"], pa.array(before.sum(axis=1).astype(np.int32) + 1)], names=["query_id", "id", "rank", "place"])
+
+    return rows.mapInArrow(placed, fields)
+
+
+def recall_by_fanout(places: DataFrame, k: int) -> list[tuple[int, float, float]]:
+    """``(fan-out, recall, its standard error)`` for the fan-outs at which recall at ``k`` changes.
+
+    The error is of the mean over queries, bounded by that of independent queries of one variance.
+    """
+    near = places.where(F.col("rank") <= k)
+    total = near.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("query_id").alias("queries")).first()
+    out, found = [], 0
+    for r in near.groupBy("place").agg(F.count(F.lit(1)).alias("n")).orderBy("place").collect():  # at most a row for each centroid
+        found += r["n"]
+        recall = found / total["n"]
+        out.append((r["place"], recall, math.sqrt(recall * (1 - recall) / total["queries"])))
+    return out
+
+
+def least_fanout(curve: Sequence[tuple[int, float, float]], target: float = RECALL) -> int | None:
+    """The least fan-out whose recall reaches the target by one standard error; None without a measurement."""
+    return next((fanout for fanout, recall, error in curve if recall - error >= target), None)
+
+
 def search(postings: DataFrame, centroids: DataFrame, query: Sequence[float], k: int, config: AnnConfig = AnnConfig(), metric: str = COSINE) -> DataFrame:
     """The nearest rows of the probed postings; literal ids prune the files that are read."""
     return topk(postings.where(F.col("posting_id").isin(probe_ids(centroids, query, config.search_fanout, metric))), query, k, metric)

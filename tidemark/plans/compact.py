@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import replace as with_values
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,16 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import ann, inverted, merge
 from tidemark.operators.replay import MAX_FOLDED, replay
-from tidemark.plans.query import ROW, empty, read_snapshot
+from tidemark.plans.query import EXACT_ROWS, ROW, empty, read_snapshot
 from tidemark.sources import log
 from tidemark.sources.files import HadoopFiles, LocalFiles
 from tidemark.sources.manifest import Manifest, Manifests
 
+#: Numbers of rows asked for whose fan-outs are measured; queries for more are exact.
+MEASURED_K = (10, 100)
+#: Rows that are asked for as queries to choose a fan-out: every 50th by hash, as ids need not be numbers, and no more than this.
+MEASURED_QUERIES = 1000
+
 
 def compact(spark: SparkSession, files: LocalFiles | HadoopFiles, manifests: Manifests, config: ann.AnnConfig = ann.AnnConfig(), force: bool = False) -> Manifest | None:
     """One cycle, or None if there is nothing to do (or one commit only, unless forced)."""
@@ -47,6 +53,7 @@ def compact(spark: SparkSession, files: LocalFiles | HadoopFiles, manifests: Man
     _write(centroids, f"{at}/centroids")
     _write(index.repartitionByRange("field", "key").sortWithinPartitions("field", "key").select("key", "id", "field"), f"{at}/inverted")
     rows = spark.read.parquet(f"{at}/postings").agg(F.count(F.lit(1))).first()[0]
+    fanouts = measured_fanouts(spark.read.schema(postings.schema).parquet(f"{at}/postings"), spark.read.schema(centroids.schema).parquet(f"{at}/centroids"), rows, manifest.metric, settle) if rows > EXACT_ROWS else ()
     files.delete(f"{run}/work")
     gone = {w.key for w in taken}
 
@@ -55,11 +62,21 @@ def compact(spark: SparkSession, files: LocalFiles | HadoopFiles, manifests: Man
             files.delete(run)
             raise RuntimeError("another compaction was faster")
         retired = (*now.retired, *sorted(gone), *([now.snapshot] if now.snapshot else []))
-        return with_values(now, snapshot=run, indexed_rows=rows, wal=tuple(w for w in now.wal if w.key not in gone), retired=retired)
+        return with_values(now, snapshot=run, indexed_rows=rows, fanouts=fanouts, wal=tuple(w for w in now.wal if w.key not in gone), retired=retired)
 
     return manifests.commit(swap)
 
 
+def measured_fanouts(postings: DataFrame, centroids: DataFrame, n_rows: int, metric: str, settle: Callable[[DataFrame], DataFrame]) -> tuple[tuple[int, int], ...]:
+    """``(k, fan-out)``: the postings to probe so that recall at ``k``, measured against brute force, reaches the target."""
+    keyed = postings.select(F.concat_ws(":", F.hex("id.bytes"), F.col("id.id_type").cast("string")).alias("id"), "vector", "posting_id")
+    share = max(50, -(-n_rows // MEASURED_QUERIES))
+    queries = settle(keyed.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")))
+    places = settle(ann.neighbour_places(keyed, centroids, queries, MEASURED_K[-1], metric))
+    chosen = [(k, ann.least_fanout(ann.recall_by_fanout(places, k))) for k in MEASURED_K]
+    return tuple((k, fanout) for k, fanout in chosen if fanout is not None)
+
+
 def _write(df: DataFrame, path: str) -> None:
     """Sorted files, so that row group statistics prune postings and fields."""
     df.write.parquet(path)

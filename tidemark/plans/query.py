@@ -87,8 +87,9 @@ def live_rows(spark: SparkSession, files: LocalFiles | HadoopFiles, manifest: Ma
 def search(spark: SparkSession, files: LocalFiles | HadoopFiles, manifest: Manifest, query: Sequence[float], k: int, filters: Mapping[str, str] | None = None, config: ann.AnnConfig = ann.AnnConfig(), exact: bool = False, cache: SnapshotCache | None = None) -> DataFrame:
     """The nearest live rows ``(id, vector, attributes, timestamp, dist)``.
 
-    Base rows come from the nearest postings; all of them are read if the index is small, the caller asks
-    for it, or a filter leaves few enough ids.  Tombstones, patches and newer rows are applied before the
+    Base rows come from the nearest postings, as many as the measured recall of the snapshot asks for, and
+    further ones until ``k`` rows are left; all of them are read if the index is small or has no measured
+    fan-out for ``k``, the caller asks for it, or a filter leaves few enough ids.  Tombstones, patches and newer rows are applied before the
     limit, so a query returns ``k`` rows if there are as many.  Filters compare with attributes as they
     were indexed, for rows of the log as well.
     """
@@ -100,24 +101,36 @@ def search(spark: SparkSession, files: LocalFiles | HadoopFiles, manifest: Manif
         allowed = inverted.matching(snapshot.inverted, filters)
         if not exact and manifest.indexed_rows > EXACT_ROWS:
             exact = allowed.limit(SELECTIVE_IDS + 1).count() <= SELECTIVE_IDS
-    base = empty(spark, ROW)
-    newer = None
-    if snapshot is not None:
-        postings = snapshot.postings
-        if not exact and manifest.indexed_rows > EXACT_ROWS:
-            fanout = max(config.search_fanout, config.search_fanout * manifest.indexed_rows // (100 * config.max_posting_size))
-            probed = ann.probe_ids(snapshot.centroids, query, fanout, manifest.metric)
-            newer = postings.select("id", F.col("timestamp").alias("base_ts"))
-            postings = postings.where(F.col("posting_id").isin(probed))
-        base = postings.drop("posting_id")
-        if allowed is not None:
-            base = base.join(allowed, "id", "left_semi").select(*base.columns)
-    rows = base
+    order: list[tuple[int, int]] = []
+    fanout = None if exact or snapshot is None or manifest.indexed_rows <= EXACT_ROWS else manifest.fanout(k)
+    if fanout is not None:  # without a measured fan-out the scan is exact
+        order = ann.probe_order(snapshot.centroids, query, manifest.metric)
+        fanout = max(fanout, config.search_fanout)
+        while fanout < len(order) and sum(n for _, n in order[:fanout]) < k:
+            fanout += 1
+    state = None
     if manifest.wal:
         state = tail_state(spark, files, manifest)
         if allowed is not None:
             state = state.join(allowed, "id", "left_semi").select(*state.columns)
+
+    def merged(probed: list[int] | None) -> tuple[DataFrame, DataFrame]:
+        base = empty(spark, ROW)
+        if snapshot is not None:
+            base = (snapshot.postings if probed is None else snapshot.postings.where(F.col("posting_id").isin(probed))).drop("posting_id")
+            if allowed is not None:
+                base = base.join(allowed, "id", "left_semi").select(*base.columns)
+        if state is None:
+            return base, base
         rows = merge.merge(base, state)
-        if newer is not None:  # a row of the log may be older than one in a posting that was not probed
-            rows = rows.join(newer.withColumnRenamed("id", "base_id"), (F.col("id") == F.col("base_id")) & (F.col("base_ts") > F.col("timestamp")), "left_anti")
-    return topk.topk(rows, query, k, manifest.metric)
+        if probed is not None:  # a row of the log may be older than one in a posting that was not probed
+            newer = snapshot.postings.select(F.col("id").alias("base_id"), F.col("timestamp").alias("base_ts"))
+            rows = rows.join(newer, (F.col("id") == F.col("base_id")) & (F.col("base_ts") > F.col("timestamp")), "left_anti")
+        return base, rows
+
+    while fanout is not None and fanout < len(order):
+        base, rows = merged([p for p, _ in order[:fanout]])
+        if allowed is None and state is None or all(df.limit(k).count() >= k for df in (base, rows)):
+            return topk.topk(rows, query, k, manifest.metric)
+        fanout *= 2  # filters or the log left too few of the probed rows
+    return topk.topk(merged(None)[1], query, k, manifest.metric)

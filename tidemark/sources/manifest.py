@@ -39,6 +39,7 @@ class Manifest:
     dimensions: int | None = None
     metric: str = COSINE
     index_attributes: tuple[str, ...] = ()
+    fanouts: tuple[tuple[int, int], ...] = ()  #: ``(k, postings to probe)`` as measured on the snapshot, k ascending
     retired: tuple[str, ...] = field(default=())  #: keys that the next sweep may delete
 
     @property
@@ -53,13 +54,17 @@ class Manifest:
     def index_status(self) -> str:
         return "updating" if self.wal else "up-to-date"
 
+    def fanout(self, k: int) -> int | None:
+        """Postings to probe for ``k`` rows; None if that was not measured."""
+        return next((fanout for most, fanout in self.fanouts if k <= most), None)
+
     def to_json(self) -> bytes:
         return json.dumps(asdict(self), indent=1).encode()
 
     @staticmethod
     def from_json(raw: bytes) -> Manifest:
         values = json.loads(raw)
-        return Manifest(**values | {"wal": tuple(WalFile(**w) for w in values["wal"]), "index_attributes": tuple(values["index_attributes"]), "retired": tuple(values["retired"])})
+        return Manifest(**values | {"wal": tuple(WalFile(**w) for w in values["wal"]), "index_attributes": tuple(values["index_attributes"]), "retired": tuple(values["retired"]), "fanouts": tuple(tuple(f) for f in values.get("fanouts", ()))})
 
 
 class Manifests:
