@@ -24,3 +24,9 @@ def test_entry(spark):
 def test_topk_plan_has_no_exchange(spark):
     plan = catalog.QUERIES["knn_cosine_top10"](spark, FOLDER)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_maintenance_is_over_all_events(spark):
+    n = sum(r["n"] for r in catalog.QUERIES["inverted_maintenance_whole"](spark, FOLDER).collect())
+    ids = [r[0] for r in catalog.read(spark, FOLDER, "events").select("event_id").collect()]
+    assert n == sum(i % 20 != 0 for i in ids) > len(ids) * 0.9

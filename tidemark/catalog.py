@@ -192,6 +192,21 @@ def inverted_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inverted.postings(inverted.maintain(base, touched.select(F.col("event_id").alias("id")), live))
 
 
+@register("""
+with kept as (select event_id, event_type as key from events where event_id % 10 <> 0),
+new as (select event_id, event_type || '!' as key from events where event_id % 10 = 0 and event_id % 20 <> 0)
+select 'event_type' as field, key, count(*) as n from (select * from kept union all select * from new) group by key
+""")
+def inverted_maintenance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``inverted_maintenance``, over all events; ``event_id`` only chooses which rows are touched and which of them live."""
+    events = read(spark, sf_dir, "events")
+    base = inverted.build(events.select(F.col("event_id").alias("id"), attrs.keyed(events, ["event_type"]).alias("attributes")))
+    touched = events.where("event_id % 10 = 0").withColumn("event_type", F.concat("event_type", F.lit("!")))
+    live = touched.where("event_id % 20 <> 0")
+    live = live.select(F.col("event_id").alias("id"), attrs.keyed(live, ["event_type"]).alias("attributes"))
+    return inverted.postings(inverted.maintain(base, touched.select(F.col("event_id").alias("id")), live))
+
+
 # log replay
 
 _LOG = """
