@@ -205,6 +205,15 @@ def test_decontamination(spark, odd, nothing):
     assert decontamination.contamination(odd, spark.createDataFrame([], "item_id long, text string")).count() == odd.count()
 
 
+def test_decontamination_finds_copies_of_slots_and_of_other_case(spark):
+    slots = "mix 3 kg 4 g 5 lb 6 oz 7 kg 8 g 9 lb 10 oz"
+    lettered = "A long rope hangs from the high tower and a short one lies in a box while Anna ties a knot"
+    rows = [(1, f"Then {slots} at once"), (2, f"so {lettered.lower()} it is"), (3, "then mix 13 kg 14 g 15 lb 16 oz 17 kg 18 g 19 lb 20 oz"), (4, f"Then {slots.upper()} at once")]
+    found = judged(spark, rows, [(1, slots), (2, lettered)])
+    assert {i: list(r.dc_items) for i, r in found.items() if r.dc_items} == {1: [1], 2: [2], 4: [1]}
+    assert found[1].dc_coverage == 1 and not found[1].dc_changed
+
+
 def test_benchmark_blocks_give_the_same(spark, monkeypatch):
     docs, benchmark = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "benchmark"))
     key = lambda df: sorted((r.doc_id, tuple(r.dc_items), r.dc_item, r.dc_coverage) for r in df.collect())

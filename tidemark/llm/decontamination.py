@@ -6,6 +6,8 @@ benchmark item is hashed; windows of every whole document are looked up in that
 item and alignment, compared word for word, and kept only if their slots are consistent: within an
 alignment each slot value of the item stands for one value in the document and the other way round.  So a
 question with other numbers and names is found, and text that fills the same template at random is not.
+Slot values are compared without case.  Windows with fewer than ``LEAST_FIXED`` words outside slots say too
+little as templates; they are looked up word for word, and count if their words are equal but for case.
 
 A document is contaminated by an item if matched windows cover at least ``COVERAGE`` of the item's words.
 
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,25 +51,26 @@ class Templates:
     """Words to template codes, remembered within a worker."""
 
     def __init__(self, most: int = 100_000):
-        self.known: dict[str, tuple[int, int, bool]] = {}
+        self.known: dict[str, tuple[int, int, bool, int]] = {}
         self.most = most
 
-    def code(self, word: str) -> tuple[int, int, bool]:
-        """``(code, flags, ends a sentence)``; flags: 1 for a capitalised word."""
+    def code(self, word: str) -> tuple[int, int, bool, int]:
+        """``(code, flags, ends a sentence, verbatim code)``; flags: 1 for a capitalised word."""
         found = self.known.get(word)
         if found is None:
             core = word.strip(_EDGE)
+            exact = xxhash.xxh64_intdigest(core.lower()) | 4
             if _NUMBER.fullmatch(core):
                 code = NUMBER
             elif core.lower() in UNITS:
                 code = UNIT
             else:
-                code = xxhash.xxh64_intdigest(core.lower()) | 4 if core else NOTHING
-            found = self.known[word] = code, int(len(core) > 1 and core[0].isupper() and core[1:].islower()), word.rstrip("\"')]}*#&$%@").endswith((".", "!", "?", ":"))
+                code = exact if core else NOTHING
+            found = self.known[word] = code, int(len(core) > 1 and core[0].isupper() and core[1:].islower()), word.rstrip("\"')]}*#&$%@").endswith((".", "!", "?", ":")), exact
         return found
 
-    def sequences(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """``(codes, word numbers, starts, words)`` of a batch; ``starts`` has one entry more than texts."""
+    def sequences(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """``(codes, word numbers, starts, words, verbatim codes)`` of a batch; ``starts`` has one entry more than texts."""
         if len(self.known) > self.most:
             self.known.clear()
         words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
@@ -86,7 +89,7 @@ class Templates:
         opens[1:] = ends[index[:-1]]
         opens[starts[:-1][starts[:-1] < len(codes)]] = True
         codes = np.where(capital[index] & ~opens & (codes > 3), np.uint64(NAME), codes)
-        return codes, index, starts, distinct
+        return codes, index, starts, distinct, np.array([r[3] for r in read], np.uint64)[index]
 
 
 def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -101,35 +104,42 @@ def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _fixed(codes: np.ndarray, size: int) -> np.ndarray:
+    """Words that are no slots in each run of ``size`` codes."""
+    return np.convolve(codes > 3, np.ones(size, int), "valid")
+
+
 class Benchmark:
     """The window table of one block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(item, codes, words) for item, codes, words in self._read(items) if len(codes) >= LEAST_WORDS]
-        self.by_size: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]] = {}
+        self.items = [(item, codes, words, exact) for item, codes, words, exact in self._read(items) if len(codes) >= LEAST_WORDS]
+        self.by_size = self._tables(lambda codes, _, size: (window_hashes(codes, size), _fixed(codes, size) >= LEAST_FIXED))
+        #: Windows of few fixed words, which are looked up word for word.
+        self.exact_by_size = self._tables(lambda codes, exact, size: (window_hashes(exact, size), _fixed(codes, size) < LEAST_FIXED))
+
+    def _tables(self, windows: Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]) -> dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]]:
         tables: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, (_, codes, _) in enumerate(self.items):
+        for k, (_, codes, _, exact) in enumerate(self.items):
             size = min(WINDOW, len(codes))
-            fixed = np.convolve(codes > 3, np.ones(size, int), "valid")
-            for at, h in enumerate(window_hashes(codes, size).tolist()):
-                if fixed[at] >= LEAST_FIXED:
-                    tables[size][h].append((k, at))
-        for size, held in tables.items():
-            self.by_size[size] = np.array(sorted(held), np.uint64), dict(held)
+            hashes, wanted = windows(codes, exact, size)
+            for at in np.flatnonzero(wanted).tolist():
+                tables[size][int(hashes[at])].append((k, at))
+        return {size: (np.array(sorted(held), np.uint64), dict(held)) for size, held in tables.items()}
 
     @staticmethod
-    def _read(items: list[tuple[int, str]]) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+    def _read(items: list[tuple[int, str]]) -> Iterator[tuple[int, np.ndarray, list[str], np.ndarray]]:
         templates = Templates()
-        codes, index, starts, words = templates.sequences(pa.array([text for _, text in items], pa.string()))
+        codes, index, starts, words, exact = templates.sequences(pa.array([text for _, text in items], pa.string()))
         for k, (item, _) in enumerate(items):
             lo, hi = int(starts[k]), int(starts[k + 1])
-            yield item, codes[lo:hi], [words[i].strip(_EDGE) for i in index[lo:hi].tolist()]
+            yield item, codes[lo:hi], [words[i].strip(_EDGE).lower() for i in index[lo:hi].tolist()], exact[lo:hi]
 
-    def matches(self, templates: Templates, texts: pa.Array) -> dict[int, list[tuple[int, float, bool]]]:
-        """For each text with matches: ``(item, coverage, re-parameterised)``."""
-        codes, index, starts, words = templates.sequences(texts)
-        hits: dict[tuple[int, int, int], list[int]] = defaultdict(list)  # text, item, alignment: places in the item
-        for size, (known, held) in self.by_size.items():
+    @staticmethod
+    def _hits(tables: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]], codes: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int, int], list[int]]:
+        """Places in the item by ``(text, item, alignment)``."""
+        hits: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+        for size, (known, held) in tables.items():
             hashes = window_hashes(codes, size)
             if not len(hashes):
                 continue
@@ -140,20 +150,33 @@ class Benchmark:
             for t, p in zip(text[inside].tolist(), at[inside].tolist(), strict=True):
                 for item, q in held[int(hashes[p])]:
                     hits[t, item, p - q].append(q)
+        return hits
+
+    def matches(self, templates: Templates, texts: pa.Array) -> dict[int, list[tuple[int, float, bool]]]:
+        """For each text with matches: ``(item, coverage, re-parameterised)``."""
+        codes, index, starts, words, exact = templates.sequences(texts)
+        hits = self._hits(self.by_size, codes, starts)
         covered: dict[tuple[int, int], tuple[set[int], bool]] = {}
         for (t, k, shift), places in hits.items():
-            _, own, own_words = self.items[k]
+            _, own, own_words, _ = self.items[k]
             size = min(WINDOW, len(own))
             cells = sorted({q + j for q in places for j in range(size)})
             if not all(codes[c + shift] == own[c] for c in cells):  # two templates under one hash
                 continue
-            there = {c: words[index[c + shift]].strip(_EDGE) for c in cells if own[c] <= 3}
+            there = {c: words[index[c + shift]].strip(_EDGE).lower() for c in cells if own[c] <= 3}
             forth, back = {}, {}
             if not all(forth.setdefault((own[c], own_words[c]), v) == v and back.setdefault((own[c], v), own_words[c]) == own_words[c] for c, v in there.items()):
                 continue
             changed = any(v != own_words[c] for c, v in there.items())
             seen, other = covered.get((t, k), (set(), False))
             covered[t, k] = seen | set(cells), other or changed
+        for (t, k, shift), places in self._hits(self.exact_by_size, exact, starts).items():
+            own = self.items[k][3]
+            size = min(WINDOW, len(own))
+            cells = {q + j for q in places for j in range(size)}
+            if all(exact[c + shift] == own[c] for c in cells):
+                seen, other = covered.get((t, k), (set(), False))
+                covered[t, k] = seen | cells, other
         out: dict[int, list[tuple[int, float, bool]]] = defaultdict(list)
         for (t, k), (cells, changed) in covered.items():
             out[t].append((self.items[k][0], len(cells) / len(self.items[k][1]), changed))
