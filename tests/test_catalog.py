@@ -3,6 +3,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.compare import same
 from tidemark import catalog
+from tidemark.operators import topk
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -30,3 +31,12 @@ def test_maintenance_is_over_all_events(spark):
     n = sum(r["n"] for r in catalog.QUERIES["inverted_maintenance_whole"](spark, FOLDER).collect())
     ids = [r[0] for r in catalog.read(spark, FOLDER, "events").select("event_id").collect()]
     assert n == sum(i % 20 != 0 for i in ids) > len(ids) * 0.9
+
+
+@pytest.mark.parametrize("name, k", [("knn_batch_top5_whole", 5), ("knn_batch_l2sq_top7_whole", 7)])
+def test_batch_queries_grow_with_the_table(spark, monkeypatch, name, k):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)  # several blocks
+    got = catalog.QUERIES[name](spark, FOLDER)
+    asked = {r.id for r in catalog.embedded(spark, FOLDER).select("id").collect() if r.id % 50 == 0}
+    assert {r.query_id for r in got.select("query_id").collect()} == asked and got.count() == k * len(asked)
+    same(got, catalog.ORACLES[name], FOLDER)

@@ -93,6 +93,34 @@ def knn_batch_l2sq_top7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.batch_topk(rows, queries, 7, vectors.EUCLIDEAN)
 
 
+@register("""
+with q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 50 = 0),
+d as (select query_id, vec_id as id, 1 - list_dot_product(embedding::double[], q) as dist from embeddings, q)
+select query_id, id, dist, rank from (
+    select *, cast(row_number() over (partition by query_id order by dist, id) as integer) as rank from d
+) where rank <= 5
+""")
+def knn_batch_top5_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``knn_batch_top5``, for every row whose id is divisible by 50."""
+    rows = embedded(spark, sf_dir)
+    queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return topk.batch_topk(rows, queries, 5)
+
+
+@register(f"""
+with q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 50 = 0),
+d as (select query_id, vec_id as id, {_EUCLIDEAN} as dist from embeddings, q)
+select query_id, id, dist, rank from (
+    select *, cast(row_number() over (partition by query_id order by dist, id) as integer) as rank from d
+) where rank <= 7
+""")
+def knn_batch_l2sq_top7_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``knn_batch_l2sq_top7``, for every row whose id is divisible by 50."""
+    rows = embedded(spark, sf_dir)
+    queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return topk.batch_topk(rows, queries, 7, vectors.EUCLIDEAN)
+
+
 @register(_NEAREST.format(dist=_COSINE, where="where label = 3"))
 def knn_filtered_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embedded(spark, sf_dir)
