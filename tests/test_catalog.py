@@ -40,3 +40,16 @@ def test_batch_queries_grow_with_the_table(spark, monkeypatch, name, k):
     asked = {r.id for r in catalog.embedded(spark, FOLDER).select("id").collect() if r.id % 50 == 0}
     assert {r.query_id for r in got.select("query_id").collect()} == asked and got.count() == k * len(asked)
     same(got, catalog.ORACLES[name], FOLDER)
+
+
+def test_every_delete_masks(spark):
+    log = [r for r in catalog.event_log(spark, FOLDER).select("wal_seq", "op", "id", "timestamp").collect()]
+    half = max(r.wal_seq for r in log) * 19 // 20
+    dead = {}
+    for r in log:
+        if r.op == "D" and r.wal_seq > half:
+            dead[r.id] = max(dead.get(r.id, r.timestamp), r.timestamp)
+    shown = catalog.QUERIES["mask_tombstones_whole"](spark, FOLDER).collect()
+    assert dead and shown and all(r.id not in dead or dead[r.id] < r.timestamp for r in shown)
+    both = {r.kind: r.n for r in catalog.QUERIES["touched_and_deleted_whole"](spark, FOLDER).collect()}
+    assert both["touched"] == len({r.id for r in log if r.op in "UD"})

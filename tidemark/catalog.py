@@ -334,8 +334,11 @@ union all select 'deleted', count(*) from (select id from dead except select id
 union all select 'both', count(*) from (select id from dead intersect select id from live)
 """)
 def touched_and_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = event_log(spark, sf_dir)
-    live, dead = log.where("op = 'U' and wal_seq % 2 = 0").select("id"), log.where("op = 'D'").select("id")
+    return _kinds(event_log(spark, sf_dir), "op = 'U' and wal_seq % 2 = 0")
+
+
+def _kinds(log: DataFrame, upserts: str) -> DataFrame:
+    live, dead = log.where(upserts).select("id"), log.where("op = 'D'").select("id")
 
     def n(kind: str, df: DataFrame) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
@@ -343,6 +346,18 @@ def touched_and_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n("touched", live.unionByName(dead).distinct()).unionByName(n("deleted", dead.distinct().join(live, "id", "left_anti"))).unionByName(n("both", dead.intersect(live)))
 
 
+@register(f"""
+with {_LOG},
+live as (select distinct id from log where op = 'U'), dead as (select distinct id from log where op = 'D')
+select 'touched' as kind, count(*) as n from (select id from live union select id from dead)
+union all select 'deleted', count(*) from (select id from dead except select id from live)
+union all select 'both', count(*) from (select id from dead intersect select id from live)
+""")
+def touched_and_deleted_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``touched_and_deleted``, with all upserts of the log."""
+    return _kinds(event_log(spark, sf_dir), "op = 'U'")
+
+
 # merge on read: the first half of the log is the base, the second the tail
 
 _HALF = "(select max(event_id) // 2 from events)"
@@ -353,16 +368,19 @@ tail as (select id, ts as timestamp, seq as src from (select *, row_number() ove
 dead as (select id, max(ts) as del_ts from log where op = 'D' and seq > {_HALF} and seq % 29 = 0 group by id),
 late as (select id, ts as pend_ts, seq as pat from (select *, row_number() over (partition by id order by ts desc, seq desc) as rn from log where op = 'P' and seq > {_HALF}) where rn = 1)"""
 
+#: With every delete of the tail, which is a twentieth of the log here: half of the log deletes nearly all rows of the base.
+_WHOLE = _BASE.replace(" and seq % 29 = 0", "").replace(_HALF, "(select max(event_id) * 19 // 20 from events)")
+
 
-def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _halves(spark: SparkSession, sf_dir: str, deletes: str = "op = 'D' and wal_seq % 29 = 0", of: tuple[int, int] = (1, 2)) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     log = event_log(spark, sf_dir)
-    half = log.agg(F.max("wal_seq")).first()[0] // 2
+    half = log.agg(F.max("wal_seq")).first()[0] * of[0] // of[1]
     first, second = log.where(F.col("wal_seq") <= half), log.where(F.col("wal_seq") > half)
 
     def newest(df: DataFrame, op: str) -> DataFrame:
         return stats.latest(df.where(F.col("op") == op), "id", F.desc("timestamp"), F.desc("wal_seq")).select("id", "timestamp", "attributes")
 
-    dead = second.where("op = 'D' and wal_seq % 29 = 0").groupBy("id").agg(F.max("timestamp").alias("del_ts"))
+    dead = second.where(deletes).groupBy("id").agg(F.max("timestamp").alias("del_ts"))
     late = newest(second, "P").select("id", F.col("timestamp").alias("pend_ts"), F.col("attributes").alias("pend"))
     return newest(first, "U"), newest(second, "U"), dead, late
 
@@ -401,6 +419,26 @@ def merge_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(merge.merge(base, state))
 
 
+@register(_WHOLE + " select id, timestamp, src, -1::bigint as pat from base where not exists (select 1 from dead where dead.id = base.id and del_ts >= timestamp)")
+def mask_tombstones_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``mask_tombstones``, with every delete of the tail."""
+    base, _, dead, _ = _halves(spark, sf_dir, "op = 'D'", (19, 20))
+    return _shown(merge.mask_tombstones(base, dead))
+
+
+@register(_WHOLE + """
+, b as (select base.id, case when pend_ts >= timestamp then pend_ts else timestamp end as timestamp, src, case when pend_ts >= timestamp then pat else -1 end as pat
+    from base left join late on late.id = base.id where not exists (select 1 from dead where dead.id = base.id and del_ts >= base.timestamp)),
+u as (select *, 1 as o from b union all select id, timestamp, src, -1, 0 from tail)
+select id, timestamp, src, pat from (select *, row_number() over (partition by id order by timestamp desc, o) as rn from u) where rn = 1
+""")
+def merge_on_read_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``merge_on_read``, with every delete of the tail."""
+    base, tail, dead, late = _halves(spark, sf_dir, "op = 'D'", (19, 20))
+    state = tail.join(dead, "id", "full_outer").join(late, "id", "full_outer")
+    return _shown(merge.merge(base, state))
+
+
 @register(_BASE + " select id, timestamp, src from tail")
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_halves(spark, sf_dir)[1]).drop("pat")
