@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -50,3 +51,16 @@ def test_odd_rows(spark, odd, odd_rows, nothing):
     want = library(token_counts.read_vocabulary(PATH))([t or "" for _, t in odd_rows])
     assert got == Counter((i, n) for (i, _), n in zip(odd_rows, want, strict=True))
     assert token_counts.count_tokens(nothing, PATH).count() == 0
+
+
+def test_counts_are_not_the_bpe_of_the_file(own):
+    """The figures that the README gives for the distance between this unigram model and the file's own encoding."""
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
+    bpe = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=PATH).encode(texts)]
+    unigram = own.counts(pa.array(texts)).tolist()
+    readme = (Path(__file__).resolve().parents[2] / "README.md").read_text()
+    assert f"{sum(a != b for a, b in zip(unigram, bpe, strict=True))} of {len(texts)} documents" in readme
+    assert f"{sum(unigram):,} pieces against {sum(bpe):,}" in readme

@@ -1,7 +1,8 @@
 """Token counts by a count-only Viterbi pass over a unigram vocabulary.
 
 The vocabulary's pieces and scores are read from a given file and taken as a unigram model with byte
-fallback.  An Aho-Corasick automaton enumerates all pieces that end at each place of a word; dynamic
+fallback.  The default file is a BPE vocabulary whose scores are merge ranks: its counts are those of a
+synthetic unigram model, not of the file's own encoding (see the README).  An Aho-Corasick automaton enumerates all pieces that end at each place of a word; dynamic
 programming keeps, for each place, the best score and the number of pieces on its path, and no back
 pointers.  Ties follow the tokenizers library: places are relaxed from the left and only a strictly better
 score replaces, so of equal paths to a place the one whose last piece starts first stays.  A character that
