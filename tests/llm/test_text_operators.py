@@ -73,10 +73,11 @@ def test_ngram_join_on_families(spark, monkeypatch):
     rng.shuffle(rows)
     rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
     want = brute_components(rows)
-    for rare, rounds in ((32, 2), (3, 0), (1, 1)):
+    for rare, rounds, combine, before in ((32, 2, 24, 4), (3, 0, 24, 4), (1, 1, 1000, 2), (1, 0, 1000, 4), (2, 0, 0, 1)):
         monkeypatch.setattr(ngram_join, "RARE", rare)
         monkeypatch.setattr(ngram_join, "STAR_ROUNDS", rounds)
-        monkeypatch.setattr(ngram_join, "GROUP", 16 if rare == 1 else 1024)
+        monkeypatch.setattr(ngram_join, "COMBINE", combine)
+        monkeypatch.setattr(ngram_join, "BEFORE", before)
         assert joined(frame(spark, rows)) == want
 
 
@@ -84,6 +85,21 @@ def test_ngram_oracle(spark):
     same(ngram_join.op1_ngram_join(spark, SMALL), ngram_join.ORACLE, SMALL)
 
 
+def test_common_at_most():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        x, y = (np.sort(rng.integers(0, 40, rng.integers(0, 60)).astype(np.uint16)) for _ in range(2))
+        assert ngram_join.common_at_most(x, y) == sum((Counter(x.tolist()) & Counter(y.tolist())).values())
+
+
+def test_ngram_join_of_one_hot_row(spark):
+    """A row repeated very often, a boilerplate page with a changing word, and a page that only looks like it."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words))] * 400 + [(10 + k, " ".join([*words[:30], f"own{k}", *words[31:]])) for k in range(120)]
+    rows += [(1000 + k, " ".join([*words[:40], *[f"x{k}{j}" for j in range(20)]])) for k in range(120)]
+    assert joined(frame(spark, rows)) == brute_components(rows)
+
+
 def test_needed_is_a_lower_bound():
     for n in (1, 2, 5, 20, 96, 128, 129, 150, 200, 300, 550, 900):
         e = ngram_join.extended_length

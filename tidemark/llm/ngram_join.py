@@ -3,38 +3,42 @@
 Documents link when their sets of five-word shingles have a Jaccard similarity of at least 75/100.  Equal
 sets are one node, named by a 64-bit hash of the set.  The result names each document's component.
 
-*Tokens and prefixes.*  A shingle is a 64-bit token.  A node indexes the smallest tokens of its set: its plain
-prefix ``n - ceil(0.75 n) + 1``, in which two linked sets must share a token, extended by a sixteenth of the
-set and to ``SHORT`` tokens at least.  Within extended prefixes a linked pair must share ``needed(n)`` tokens, not one.
+*Tokens and prefixes.*  A shingle is a 64-bit token.  A node indexes the smallest tokens of its set, its extended
+prefix: the plain prefix ``n - ceil(0.75 n) + 1``, a sixteenth of the set and twelve tokens, ``SHORT`` at least.
+Within their extended prefixes two linked sets share ``needed(n)`` tokens.  Tokens that one node holds are
+dropped; so are nodes with fewer than ``needed`` tokens left, which leaves further tokens with one node only, and
+so on while it pays.  What stays is ordered rarest first, so frequent tokens leave the prefixes: two linked nodes
+share a token among the first ``size - needed + 1`` of both, and ``k`` tokens among the first ``size - needed + k``.
 
-*Classes.*  Tokens held by more than ``RARE`` nodes of several components are *frequent*; the order within an
-extended prefix is rare tokens first, frequent ones last.  By the prefix argument on extended prefixes, the
-first common token is among the first ``size - needed + 1`` of both sets.  So
+*Classes.*  The first common token of a pair decides under which key it meets:
 
-1. rare tokens are indexed one by one, and
-2. a node whose first ``size - needed + 1`` tokens reach frequent ones meets others like it in the groups of
-   those tokens.  A group compares combinations of frequent tokens whole, not two at a time: its nodes' common
-   frequent tokens are counted by matrix products, in blocks of bounded size, and only pairs leave it that can
-   still reach the threshold.  (Indexing all combinations of two was built first and gave each pair of a large
-   family thousands of times.)
+1. a rare token, held by at most ``RARE`` nodes, is a key by itself;
+2. a frequent token is a key together with a second one that follows it within the longer prefix (``k = 2``);
+3. where more than ``COMBINE`` tokens follow it on average, as within a family of near copies, whose members
+   share most combinations, it is a key by itself.
 
-Candidates must differ in component, pass the size bound, and share enough tokens that the rest of both
-documents could reach the threshold; the sets of those that are left are compared in full.
+Each entry carries the ``BEFORE`` tokens in front of its key's tokens.  If two entries have one of those in
+common, then the pair has an earlier common token and meets there, so a pair is listed about once and not once
+for each common token or combination.
+
+*Verification* goes in two steps: a bound from 16-bit values of all tokens of both sets, which is never below
+the true intersection, and the whole 64-bit tokens for the pairs that the bound lets through.
 
 *Stars first.*  Before that, each node is compared with one node for its shared tokens, in a few rounds,
 and what links is merged.  A token that only one component holds can give no new link and is dropped, so a
 group of thousands of near copies costs a few rows for each copy and its pairs are never listed.
 
 Defined results: a null text counts as empty; a text without words has an empty set, links with nothing and
-is its own component; a text with fewer than five words has its whole sequence as its one shingle; rows
-that repeat an id or a text are linked like any others and a component is named by its smallest id (nulls
-last); an empty table gives an empty result; other columns are ignored.
+is its own component; a text with fewer than five words has its whole sequence as its one shingle; very long
+texts count whole; rows that repeat an id or a text are linked like any others and a component is named by its
+smallest id (nulls last), so ties need no order; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +57,9 @@ RARE = 32
 SHORT = 128
 EXTRA = 16  # an extended prefix has a sixteenth of the set more, and twelve tokens
 STAR_ROUNDS = 2
-GROUP, COLUMNS = 1024, 4096
+COMBINE = 24
+BEFORE = 4
+ENTRIES = 1 << 17  # tokens of profiles that a worker expands at a time
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SETS = "doc_id long, tie long, node long, n int, ext array<long>"
 
@@ -138,97 +144,135 @@ def _build_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _build_full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole sets as sorted 48-bit values of six bytes each."""
+    """Whole sets: sorted 64-bit tokens."""
     for batch in batches:
         for some in slices(batch, "body"):
             sets = shingle_sets(some["body"])
-            packed = [np.sort(s.view(np.uint64) & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([some["id"], pa.array([set_name(s) for s in sets], pa.int64()), pa.array(packed, pa.binary())], names=["id", "node", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return wide.view(np.uint64)[:, 0]
+def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The low 16 bits of each token, sorted; equal ones stay."""
+    for batch in batches:
+        low = [np.sort(np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint16)).tobytes() for x in batch["tokens"]]
+        yield pa.RecordBatch.from_arrays([batch["node"], pa.array(low, pa.binary())], names=["node", "tokens"])
+
+
+def common_at_most(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted lists in which a value may repeat."""
+    both = np.concatenate([x, y])
+    side = np.concatenate([np.zeros(len(x), np.int8), np.ones(len(y), np.int8)])
+    order = np.argsort(both, kind="stable")
+    both, side = both[order], side[order]
+    starts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+    if not len(starts):
+        return 0
+    ones = np.add.reduceat(side, starts, dtype=np.int64)
+    return int(np.minimum(ones, np.diff(np.append(starts, len(both))) - ones).sum())
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-    for batch in batches:
-        keep = []
-        for k, (a, b, x, y) in enumerate(zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["x"], batch["y"], strict=True)):
-            if b != last[0]:
-                last = b, _unpacked(y.as_py())
-            own = _unpacked(x.as_py())
-            both = len(own) + len(last[1]) - len(np.unique(np.concatenate([own, last[1]])))
-            if SCALE * both >= THRESHOLD * (len(own) + len(last[1]) - both):
-                keep.append(k)
-        yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(keep, pa.int64())), batch["b"].take(pa.array(keep, pa.int64()))], names=["a", "b"])
+def _compare(kind: type) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs whose lists, of numbers of this kind, are similar enough."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k, (x, y) in enumerate(zip(batch["x"], batch["y"], strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
+                both = common_at_most(x, y)
+                if SCALE * both >= THRESHOLD * (len(x) + len(y) - both):
+                    keep.append(k)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return compare
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of tokens that several nodes hold, with the group's first node; reads sorted rows as a stream."""
-    token, node, n = None, None, None  # the group that is open
-    pending: tuple[int, int, int] | None = None  # its first row, until a second one comes
+    """Rows of tokens that several nodes hold, with what the node's size needs; reads sorted rows as a stream."""
+    token: int | None = None  # of the row before
+    pending: pa.RecordBatch | None = None  # the first row of a group, until a second one comes
     for batch in batches:
-        t, d, m = (batch[c].to_numpy() for c in ("token", "node", "n"))
-        if not len(t):
+        if not batch.num_rows:
             continue
+        t = batch["token"].to_numpy()
         new = np.ones(len(t), bool)
         new[1:] = t[1:] != t[:-1]
         new[0] = token is None or t[0] != token
-        first = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
-        pivot = np.where(first >= 0, d[first], 0 if node is None else node)
-        pivot_n = np.where(first >= 0, m[first], 0 if n is None else n)
-        follows = ~new
-        shared = follows.copy()
-        shared[:-1] |= follows[1:]
-        columns = [t, d, m, pivot, pivot_n]
-        if new[-1]:  # not known yet whether others follow
-            shared[-1] = False
-        out = [c[shared] for c in columns]
+        shared = ~new
+        shared[:-1] |= ~new[1:]
+        out = [batch.filter(pa.array(shared))]
         if pending is not None and not new[0]:
-            out = [np.concatenate([[v], c]) for v, c in zip((*pending, *pending[1:]), out, strict=True)]
-        pending = (int(t[-1]), int(d[-1]), int(m[-1])) if new[-1] else None if len(t) > 1 or not new[0] else pending
-        token, node, n = int(t[-1]), int(pivot[-1]), int(pivot_n[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["token", "node", "n", "pivot", "pivot_n"])
-
+            out.insert(0, pending)
+        # not known yet whether others follow the last row
+        pending = batch.slice(len(t) - 1) if new[-1] else None
+        token = int(t[-1])
+        for part in out:
+            sizes, which = np.unique(part["n"].to_numpy(), return_inverse=True)
+            need = np.array([needed(n) for n in sizes.tolist()], np.int32)[which]
+            yield pa.RecordBatch.from_arrays([part["token"], part["node"], part["n"], pa.array(need, pa.int32())], names=["token", "node", "n", "need"])
+
+
+def _some_lists(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of profiles of at most ``ENTRIES`` tokens, or of one profile: their tokens, where each one's begin, and the lengths of their prefixes."""
+    size = pc.list_value_length(batch["q"]).to_numpy().astype(np.int64)
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + ENTRIES, "right")))
+        some = batch.slice(lo, hi - lo)
+        starts = np.cumsum(size[lo:hi]) - size[lo:hi]
+        yield some, some["q"].flatten().to_numpy(), starts, size[lo:hi] - some["need"].to_numpy() + 1
+        lo = hi
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers ``start, start + 1, ...`` of each stretch, one after another."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
+def _lists(values: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """For each end, the ``length`` values before it."""
+    bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values[_spread(ends - lengths, lengths)], pa.int64()))
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each token of each node's prefix."""
+    for batch in batches:
+        for some, tokens, starts, into in _some_lists(batch):
+            row = np.repeat(np.arange(len(into)), into)
+            pos = _spread(np.zeros(len(into), np.int64), into)
+            at = starts[row] + pos
+            columns = [some[c].take(pa.array(row)) for c in ("node", "n", "comp", "liked")]
+            columns += [pa.array(tokens[at], pa.int64()), pa.array(pos, pa.int32()), pa.array(into[row] - pos, pa.int32()), _lists(tokens, at, np.minimum(pos, BEFORE))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "comp", "liked", "token", "pos", "behind", "before"])
 
-def _close_pairs(group: pa.Table) -> pa.Table:
-    """Pairs of one group, or of two of its blocks, whose common frequent tokens leave the threshold within reach.
 
-    Common tokens are counted for all pairs at once, by products of 0/1 matrices in slices of tokens, so only
-    pairs that pass leave the task, and of the groups that a pair shares only the first one's.
-    """
-    lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
-    node, comp, n, r, beyond, rank, block = (group[c].to_numpy() for c in ("node", "comp", "n", "r", "beyond", "rank", "block"))
-    lists = group["tokens"].combine_chunks()
-    f = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    distinct, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    row = np.repeat(np.arange(len(node)), f)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(f) - f, f)
-    earlier = place < rank[row]  # tokens whose groups come before this one
-    common, before = (np.zeros((len(node), len(node)), np.float32) for _ in range(2))
-    order = np.argsort(column, kind="stable")
-    row, column, earlier = row[order], column[order], earlier[order]
-    for first in range(0, len(distinct), COLUMNS):
-        a, b = np.searchsorted(column, [first, first + COLUMNS])
-        part = np.zeros((len(node), min(COLUMNS, len(distinct) - first)), np.float32)
-        part[row[a:b], column[a:b] - first] = 1
-        common += part @ part.T
-        part[row[a:b][~earlier[a:b]], column[a:b][~earlier[a:b]] - first] = 0
-        before += part @ part.T
-    total = n[:, None].astype(np.int64) + n[None, :]
-    need = -(-THRESHOLD * total // (SCALE + THRESHOLD))
-    # besides: rare tokens, and what lies beyond the extended prefix that ends first; others are in one component
-    reach = common + np.minimum(r[:, None], r[None, :]) + np.maximum(beyond[:, None], beyond[None, :]) >= need
-    reach &= SCALE * np.minimum(n[:, None], n[None, :]).astype(np.int64) >= THRESHOLD * np.maximum(n[:, None], n[None, :]).astype(np.int64)
-    reach &= (node[:, None] < node[None, :]) & (comp[:, None] != comp[None, :])
-    reach &= before == 0
-    if lo != hi:
-        reach &= block[:, None] != block[None, :]
-    x, y = np.nonzero(reach)
-    return pa.table({"node_a": pa.array(node[x], pa.int64()), "node_b": pa.array(node[y], pa.int64())})
+def _combinations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chosen token of a node and each token that follows it in the longer prefix."""
+    for batch in batches:
+        for some, tokens, starts, into in _some_lists(batch):
+            chosen = pc.list_value_length(some["chosen"]).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(into)), chosen)
+            pos = some["chosen"].flatten().to_numpy().astype(np.int64)
+            # (row, first, second) for each second one, in pieces
+            lengths = into[row] - pos
+            for lo in range(0, len(row), ENTRIES // 16):
+                r, p, k = row[lo : lo + ENTRIES // 16], pos[lo : lo + ENTRIES // 16], lengths[lo : lo + ENTRIES // 16]
+                first = np.repeat(np.arange(len(r)), k)
+                gap = _spread(np.zeros(len(r), np.int64), k)
+                at = (starts[r] + p)[first]
+                second = at + 1 + gap
+                front, between = np.minimum(p[first], BEFORE), np.minimum(gap, BEFORE)
+                place = np.empty(2 * len(at), np.int64)
+                place[0::2], place[1::2] = at - front, second - between
+                width = np.empty(2 * len(at), np.int64)
+                width[0::2], width[1::2] = front, between
+                bounds = np.concatenate([[0], np.cumsum(front + between)]).astype(np.int32)
+                before = pa.ListArray.from_arrays(pa.array(bounds), pa.array(tokens[_spread(place, width)], pa.int64()))
+                columns = [some[c].take(pa.array(r[first])) for c in ("node", "n", "comp")]
+                columns += [pa.array(tokens[at], pa.int64()), pa.array(tokens[second], pa.int64()), before]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "comp", "token", "second", "before"])
 
 
 def _size_ok(a: str, b: str) -> Column:
@@ -243,37 +287,79 @@ class Join:
         sets = store(self.bodies.mapInArrow(_build_sets, SETS), "sets")
         self.rows = store(sets.select("doc_id", "tie", "node", "n"), "rows")
         self.nodes = store(self.rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "nodes")
-        again = KeyFilter(self.nodes.where("copies > 1"), "node")
-        held = sets.where("n > 0").select("node", "n", "ext")
-        once = again.drop(held, F.col("node"))
-        copies = again.keep(held, F.col("node")).groupBy("node", "n").agg(F.first("ext").alias("ext"))
-        index = once.unionByName(copies).select(F.explode("ext").alias("token"), "node", "n")
-        index = index.repartition("token").sortWithinPartitions("token", "node")
-        self.shared = store(index.mapInArrow(_groups, "token long, node long, n int, pivot long, pivot_n int"), "shared")
+        self.again = KeyFilter(self.nodes.where("copies > 1"), "node")
+        held = sets.where("n > 1").select("node", "n", "ext")  # sets of one token are equal or have nothing in common
+        copies = self.again.keep(held, F.col("node")).groupBy("node", "n").agg(F.first("ext").alias("ext"))
+        index = self.again.drop(held, F.col("node")).unionByName(copies).select(F.explode("ext").alias("token"), "node", "n")
+        index = index.repartition("token").sortWithinPartitions("token")
+        shared = store(index.mapInArrow(_groups, "token long, node long, n int, need int"), "shared")
         drop_stored(sets)
         release(self.bodies.sparkSession)
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
+        alive = store(shared.groupBy("node").agg(F.count(F.lit(1)).alias("f"), F.first("need").alias("need")).where("f >= need").select("node"), "alive")
+        self.profiles = self.narrowed(KeyFilter(alive, "node").keep(shared, F.col("node")))
+        drop_stored(shared)
+        self.sets = self.whole_sets()
+        self.coarse = store(self.sets.mapInArrow(_coarse, "node long, tokens binary"), "coarse")
+        release(self.bodies.sparkSession)
+
+    def narrowed(self, rows: DataFrame, size: int | None = None) -> DataFrame:
+        """``(node, n, need, comp, liked, q)`` of nodes that may link to another component: ``q``, their tokens that two components hold, rarest first.
+
+        ``size``: the number of rows.  Goes on while an eighth of them goes.
+        """
+        while True:
+            rows = self.labelled(rows.select("token", "node", "n", "need"))
+            kinds = rows.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+            rows = rows.join(kinds.select("token", "times").hint("merge"), "token")
+            lists = rows.groupBy("node", "n", "need", "comp").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("q"), F.sum("times").alias("held"))
+            # the node whose tokens most others share is most like all of them: the original of many copies
+            lists = lists.where("size(q) >= need").select("node", "n", "need", "comp", (F.col("held") / F.col("n")).alias("liked"), F.col("q.token").alias("q"))
+            lists = store(lists, "profiles")
+            left = lists.agg(F.sum(F.size("q"))).first()[0] or 0
+            if size is None or left * 8 > size * 7 or not left:
+                self.size = left
+                return lists
+            size = left
+            rows = self.entries(lists)
+
+    @staticmethod
+    def entries(lists: DataFrame) -> DataFrame:
+        return lists.select("node", "n", "need", F.explode("q").alias("token"))
+
+    def whole_sets(self) -> DataFrame:
+        """``(node, tokens)`` of the profiles' nodes; one document of each is read again."""
+        ids = self.nodes.join(self.profiles.select("node"), "node", "left_semi").select("node", F.coalesce("first_id", F.lit(-1)).alias("id"))
+        ids = store(ids, "wanted")
+        some = KeyFilter(ids, "id").keep(self.bodies, F.coalesce("doc_id", F.lit(-1).cast("long"))).select("body")
+        full = store(KeyFilter(ids, "node").keep(some.mapInArrow(_build_full, "node long, tokens binary"), F.col("node")), "full")
+        twice = store(full.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("node"), "twice")
+        if twice.isEmpty():
+            return full
+        repeated = KeyFilter(twice, "node")  # rows that repeat an id, or that the filters let through
+        one = repeated.keep(full, F.col("node")).groupBy("node").agg(F.first("tokens").alias("tokens"))
+        out = store(repeated.drop(full, F.col("node")).unionByName(one), "full")
+        drop_stored(full)
+        return out
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """Pairs ``(a, b)`` whose whole sets are similar enough.  One document of each node is read again."""
-        ids = self.nodes.select("node", F.coalesce("first_id", F.lit(-1)).alias("id"))
-        named = pairs.join(ids.select(F.col("node").alias("a"), F.col("id").alias("a_id")), "a").join(ids.select(F.col("node").alias("b"), F.col("id").alias("b_id")), "b")
-        named = store(named, "named")
-        wanted = store(named.select(F.col("a_id").alias("id")).unionByName(named.select(F.col("b_id").alias("id"))).distinct(), "wanted")
-        some = KeyFilter(wanted, "id").keep(self.bodies, F.coalesce("doc_id", F.lit(-1).cast("long")))
-        some = some.select(F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"), "body")
-        sets = store(some.mapInArrow(_build_full, "id long, node long, tokens binary"), "full")
-        left = named.join(sets.select(F.col("node").alias("a"), F.col("id").alias("a_id"), F.col("tokens").alias("x")), ["a", "a_id"])
-        both = left.join(sets.select(F.col("node").alias("b"), F.col("id").alias("b_id"), F.col("tokens").alias("y")), ["b", "b_id"]).select("a", "b", "x", "y")
-        found = store(both.mapInArrow(_compare, "a long, b long").distinct(), "links")
-        drop_stored(sets)
+        """Pairs ``(a, b)`` whose whole sets are similar enough."""
+        for label, sets, kind in (("likely", self.coarse, np.uint16), ("links", self.sets, np.uint64)):
+            left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a")
+            both = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
+            pairs = store(both.mapInArrow(_compare(kind), "a long, b long"), label)
         release(self.bodies.sparkSession)
-        return found
+        return pairs
 
-    def add(self, found: DataFrame) -> None:
+    def add(self, pairs: DataFrame) -> bool:
+        """Verify pairs and merge what links; says whether anything did."""
+        found = self.verify(pairs)
+        if found.isEmpty():
+            return False
         self.links = found if self.links is None else self.links.unionByName(found)
         self.labels = store(components(self.links), "labels")
+        return True
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         """``rows`` with ``comp``, a node's component so far."""
@@ -281,77 +367,47 @@ class Join:
             return rows.withColumn("comp", F.col("node"))
         return rows.join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
+    def prefixes(self) -> DataFrame:
+        """A row for each token of the nodes' prefixes; ``before``: the tokens in front, ``behind``: how many follow in the longer prefix."""
+        return self.profiles.mapInArrow(_prefixes, "node long, n int, comp long, liked double, token long, pos int, behind int, before array<long>")
+
     def stars(self) -> None:
         """Rounds in which each node is compared with the node with which most of its tokens lead it."""
-        for k in range(STAR_ROUNDS):
-            if k == 0:
-                led = self.shared.where("node <> pivot").select("node", "n", "pivot", "pivot_n")
-            else:
-                rows = self.labelled(self.shared.select("token", "node", "n"))
-                kinds = rows.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-                rows = store(rows.join(store(kinds.select("token", "times"), "kinds").hint("merge"), "token"), "mixed")
-                # the node whose tokens most others share is most like all of them: the original of many copies
-                liked = store(rows.groupBy("node").agg((F.sum("times") / F.first("n")).alias("liked")), "liked")
-                rows = rows.join(liked.hint("merge"), "node")
-                chosen = rows.groupBy("token").agg(F.max(F.struct("liked", "node", "n", "comp")).alias("p"))
-                chosen = store(chosen.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.comp").alias("pivot_comp")), "pivots")
-                led = rows.join(chosen.hint("merge"), "token").where("comp <> pivot_comp").select("node", "n", "pivot", "pivot_n")
-            led = led.where(_size_ok("n", "pivot_n")).groupBy("node", "n", "pivot").agg(F.count(F.lit(1)).alias("m"))
-            best = led.where(F.col("m") * 10 >= F.col("n")).groupBy("node").agg(F.max(F.struct("m", "pivot")).alias("x"))
+        for _ in range(STAR_ROUNDS):
+            rows = self.prefixes().select("token", "node", "n", "comp", "liked")
+            chosen = rows.groupBy("token").agg(F.max(F.struct("liked", "node", "n", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+            led = rows.drop("liked").join(chosen.select("token", "p").hint("merge"), "token").where((F.col("comp") != F.col("p.comp")) & _size_ok("n", "p.n"))
+            led = led.groupBy("node", F.col("p.node").alias("pivot")).agg(F.count(F.lit(1)).alias("m"))
+            best = led.groupBy("node").agg(F.max(F.struct("m", "pivot")).alias("x"))
             pairs = store(best.select(F.col("node").alias("a"), F.col("x.pivot").alias("b")), "pairs")
-            found = self.verify(pairs)
-            if not found.isEmpty():
-                self.add(found)
-            elif k:
+            if not self.add(pairs):
                 break
+            self.profiles = self.narrowed(self.entries(self.profiles), self.size)
 
     def candidates(self) -> DataFrame:
         """All pairs that could link two components."""
-        rows = self.labelled(self.shared.select("token", "node", "n"))
-        kinds = rows.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        kinds = store(kinds.select("token", "times"), "kinds")
-        rows = store(rows.join(kinds.hint("merge"), "token"), "mixed")
-        frequent = F.col("times") > RARE
-        # every other token of the extended prefix comes before the frequent ones
-        most = store(rows.where(frequent).groupBy("node", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("q")), "frequent")
-        sizes = F.udf(lambda n: [extended_length(n), needed(n)], "array<int>")
-        most = most.join(store(most.select("n").distinct().withColumn("en", sizes("n")), "sizes"), "n")
-        rare = rows.where(~frequent).groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("r"))
-        most = store(most.join(rare, "node", "left").withColumn("r", F.coalesce("r", F.lit(0))), "most")
-        free = rows.where(~frequent).join(most.select("node", F.size("q").alias("f")), "node", "left").withColumn("f", F.coalesce("f", F.lit(0)))
-        names = ("node", "comp", "n", "f")
-
-        def met(left: DataFrame, on: str) -> DataFrame:
-            x = left.select(on, *[F.col(c).alias(f"{c}_a") for c in names])
-            y = left.select(on, *[F.col(c).alias(f"{c}_b") for c in names])
-            return x.join(y, on).where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _size_ok("n_a", "n_b"))
-
-        single = met(free, "token").groupBy("node_a", "node_b", "n_a", "n_b", "f_a", "f_b").agg(F.count(F.lit(1)).alias("m"))
-        need = F.ceil(THRESHOLD * (F.col("n_a") + F.col("n_b")) / (SCALE + THRESHOLD))
-
-        def rest(n: str) -> Column:
-            plain = F.col(n) - F.ceil(THRESHOLD * F.col(n) / SCALE) + 1
-            return F.col(n) - F.least(F.col(n), F.greatest(F.lit(SHORT), plain + F.floor(F.col(n) / EXTRA) + 12))
-
-        single = single.where(F.col("m") + F.least("f_a", "f_b") + F.greatest(rest("n_a"), rest("n_b")) >= need)
-        # frequent tokens among the first size - needed + 1, which lead nodes into groups of bounded size
-        into = F.greatest(F.lit(0), F.size("q") - F.element_at("en", 2) + 1)
-        tokens = F.transform("q", lambda t: t["token"])
-        led = most.select("node", "comp", "n", "r", (F.col("n") - F.element_at("en", 1)).alias("beyond"), tokens.alias("tokens"), F.posexplode(F.transform(F.slice("q", 1, into), lambda t: t["token"])).alias("rank", "token"))
-        led = store(led, "led")
-        groups = led.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        groups = store(groups.select("token", F.ceil(F.col("size") / GROUP).cast("int").alias("blocks")), "groups")
-        led = led.join(groups.hint("merge"), "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        led = led.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        led = led.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp", "n", "r", "beyond", "rank", "tokens")
-        double = led.groupBy("token", "lo", "hi").applyInArrow(_close_pairs, "node_a long, node_b long")
-        found = single.select("node_a", "node_b").unionByName(double)
-        return store(found.distinct().select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "candidates")
+        rows = self.prefixes()
+        kinds = rows.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.avg("behind").alias("behind")).where("low <> high")
+        combined = (F.col("holders") > RARE) & (F.col("behind") <= COMBINE)
+        rows = store(rows.drop("liked", "behind").join(kinds.select("token", combined.alias("combined")).hint("merge"), "token"), "keys")
+        keys = rows.where("not combined").select("token", F.lit(0).cast("long").alias("second"), "node", "n", "comp", "before")
+        chosen = rows.where("combined").groupBy("node").agg(F.collect_list("pos").alias("chosen"))
+        lists = self.profiles.join(chosen.hint("merge"), "node").select("node", "n", "need", "comp", "q", "chosen")
+        double = lists.mapInArrow(_combinations, "node long, n int, comp long, token long, second long, before array<long>")
+        keys = keys.unionByName(store(double, "combinations").select(*keys.columns))
+
+        def side(mark: str) -> DataFrame:
+            return keys.select("token", "second", *[F.col(c).alias(f"{c}_{mark}") for c in ("node", "n", "comp", "before")])
+
+        met = side("a").join(side("b").hint("merge"), ["token", "second"])
+        met = met.where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _size_ok("n_a", "n_b"))
+        met = met.where(~F.arrays_overlap("before_a", "before_b"))
+        return store(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "candidates")
 
     def result(self) -> DataFrame:
         """``(doc_id, tie, n_shingles, component_id)``; ``tie`` is a hash of the text."""
         self.stars()
-        self.add_exact()
+        self.add(self.candidates())
         nodes = self.nodes.select("node", "first_id")
         if self.labels is not None:
             merged = store(self.labels.join(nodes, "node").groupBy("comp").agg(F.min("first_id").alias("component_id")), "named")
@@ -363,13 +419,6 @@ class Join:
         out = self.rows.join(node_ids.hint("merge"), "node", "left")
         return out.select("doc_id", "tie", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
-    def add_exact(self) -> None:
-        pairs = self.candidates()
-        if not pairs.isEmpty():
-            found = self.verify(pairs)
-            if not found.isEmpty():
-                self.add(found)
-
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per input row."""
