@@ -73,7 +73,7 @@ def test_ngram_join_on_families(spark, monkeypatch):
     rng.shuffle(rows)
     rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
     want = brute_components(rows)
-    for rare, rounds, combine, before in ((32, 2, 24, 4), (3, 0, 24, 4), (1, 1, 1000, 2), (1, 0, 1000, 4), (2, 0, 0, 1)):
+    for rare, rounds, combine, before in ((32, 2, 8, 4), (3, 0, 24, 4), (1, 1, 1000, 2), (1, 0, 1000, 4), (2, 0, 0, 1)):
         monkeypatch.setattr(ngram_join, "RARE", rare)
         monkeypatch.setattr(ngram_join, "STAR_ROUNDS", rounds)
         monkeypatch.setattr(ngram_join, "COMBINE", combine)
@@ -92,6 +92,15 @@ def test_common_at_most():
         assert ngram_join.common_at_most(x, y) == sum((Counter(x.tolist()) & Counter(y.tolist())).values())
 
 
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (3, 200, 3000):
+        x, y = (rng.integers(0, 1 << 63, n).astype(np.uint64) for _ in range(2))
+        y[: n // 2] = x[: n // 2]
+        bits = [int.from_bytes(ngram_join.parity_bits(np.unique(s)), "big") for s in (x, y)]
+        assert 0 < (bits[0] ^ bits[1]).bit_count() <= len(np.setxor1d(x, y))
+
+
 def test_ngram_join_of_one_hot_row(spark):
     """A row repeated very often, a boilerplate page with a changing word, and a page that only looks like it."""
     words = [f"w{k}" for k in range(60)]

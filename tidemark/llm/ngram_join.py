@@ -19,7 +19,9 @@ share a token among the first ``size - needed + 1`` of both, and ``k`` tokens am
 
 Each entry carries the ``BEFORE`` tokens in front of its key's tokens.  If two entries have one of those in
 common, then the pair has an earlier common token and meets there, so a pair is listed about once and not once
-for each common token or combination.
+for each common token or combination.  Entries of frequent tokens also carry ``64 * WORDS_OF_BITS`` parity bits of
+the whole set: two sets differ in as many tokens as bits, at least, so the join itself leaves out most pairs of a
+family that are not similar enough, and its output does not grow with the square of the family.
 
 *Verification* goes in two steps: a bound from 16-bit values of all tokens of both sets, which is never below
 the true intersection, and the whole 64-bit tokens for the pairs that the bound lets through.
@@ -57,7 +59,8 @@ RARE = 32
 SHORT = 128
 EXTRA = 16  # an extended prefix has a sixteenth of the set more, and twelve tokens
 STAR_ROUNDS = 2
-COMBINE = 24
+COMBINE = 8
+WORDS_OF_BITS = 16
 BEFORE = 4
 ENTRIES = 1 << 17  # tokens of profiles that a worker expands at a time
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -151,11 +154,18 @@ def _build_full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
 
 
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """For each value of some bits of a token, whether an odd number of tokens has it."""
+    places = 64 * WORDS_OF_BITS
+    return np.packbits(np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (places - 1), minlength=places) & 1).tobytes()
+
+
 def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The low 16 bits of each token, sorted; equal ones stay."""
+    """The low 16 bits of each token, sorted; equal ones stay.  And parity bits."""
     for batch in batches:
-        low = [np.sort(np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint16)).tobytes() for x in batch["tokens"]]
-        yield pa.RecordBatch.from_arrays([batch["node"], pa.array(low, pa.binary())], names=["node", "tokens"])
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch["tokens"]]
+        low = [np.sort(s.astype(np.uint16)).tobytes() for s in sets]
+        yield pa.RecordBatch.from_arrays([batch["node"], pa.array(low, pa.binary()), pa.array([parity_bits(s) for s in sets], pa.binary())], names=["node", "tokens", "bits"])
 
 
 def common_at_most(x: np.ndarray, y: np.ndarray) -> int:
@@ -248,31 +258,33 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "comp", "liked", "token", "pos", "behind", "before"])
 
 
-def _combinations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each chosen token of a node and each token that follows it in the longer prefix."""
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of a node's frequent tokens: one for a ``single`` token, for others one with each token that follows in the longer prefix."""
+    words = [f"w{k}" for k in range(WORDS_OF_BITS)]
     for batch in batches:
         for some, tokens, starts, into in _some_lists(batch):
-            chosen = pc.list_value_length(some["chosen"]).to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(len(into)), chosen)
-            pos = some["chosen"].flatten().to_numpy().astype(np.int64)
-            # (row, first, second) for each second one, in pieces
-            lengths = into[row] - pos
+            row = np.repeat(np.arange(len(into)), pc.list_value_length(some["chosen"]).to_numpy().astype(np.int64))
+            chosen = some["chosen"].flatten().to_numpy().astype(np.int64)
+            pos, single = chosen >> 1, (chosen & 1).astype(bool)
+            lengths = np.where(single, 1, into[row] - pos)
+            bits = np.frombuffer(b"".join(some["bits"].to_pylist()), np.int64).reshape(-1, WORDS_OF_BITS)
             for lo in range(0, len(row), ENTRIES // 16):
-                r, p, k = row[lo : lo + ENTRIES // 16], pos[lo : lo + ENTRIES // 16], lengths[lo : lo + ENTRIES // 16]
+                piece = slice(lo, lo + ENTRIES // 16)
+                r, p, k = row[piece], pos[piece], lengths[piece]
                 first = np.repeat(np.arange(len(r)), k)
-                gap = _spread(np.zeros(len(r), np.int64), k)
+                gap, alone = _spread(np.zeros(len(r), np.int64), k), single[piece][first]
                 at = (starts[r] + p)[first]
-                second = at + 1 + gap
-                front, between = np.minimum(p[first], BEFORE), np.minimum(gap, BEFORE)
-                place = np.empty(2 * len(at), np.int64)
-                place[0::2], place[1::2] = at - front, second - between
+                second = np.where(alone, at, at + 1 + gap)
                 width = np.empty(2 * len(at), np.int64)
-                width[0::2], width[1::2] = front, between
-                bounds = np.concatenate([[0], np.cumsum(front + between)]).astype(np.int32)
+                width[0::2], width[1::2] = np.minimum(p[first], BEFORE), np.where(alone, 0, np.minimum(gap, BEFORE))
+                place = np.empty(2 * len(at), np.int64)
+                place[0::2], place[1::2] = at - width[0::2], second - width[1::2]
+                bounds = np.concatenate([[0], np.cumsum(width[0::2] + width[1::2])]).astype(np.int32)
                 before = pa.ListArray.from_arrays(pa.array(bounds), pa.array(tokens[_spread(place, width)], pa.int64()))
                 columns = [some[c].take(pa.array(r[first])) for c in ("node", "n", "comp")]
-                columns += [pa.array(tokens[at], pa.int64()), pa.array(tokens[second], pa.int64()), before]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "comp", "token", "second", "before"])
+                columns += [pa.array(tokens[at], pa.int64()), pa.array(np.where(alone, 0, tokens[second]), pa.int64()), before]
+                held = bits[r[first]]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(held[:, j]) for j in range(WORDS_OF_BITS)]], names=["node", "n", "comp", "token", "second", "before", *words])
 
 
 def _size_ok(a: str, b: str) -> Column:
@@ -301,7 +313,7 @@ class Join:
         self.profiles = self.narrowed(KeyFilter(alive, "node").keep(shared, F.col("node")))
         drop_stored(shared)
         self.sets = self.whole_sets()
-        self.coarse = store(self.sets.mapInArrow(_coarse, "node long, tokens binary"), "coarse")
+        self.coarse = store(self.sets.mapInArrow(_coarse, "node long, tokens binary, bits binary"), "coarse")
         release(self.bodies.sparkSession)
 
     def narrowed(self, rows: DataFrame, size: int | None = None) -> DataFrame:
@@ -388,21 +400,27 @@ class Join:
         """All pairs that could link two components."""
         rows = self.prefixes()
         kinds = rows.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.avg("behind").alias("behind")).where("low <> high")
-        combined = (F.col("holders") > RARE) & (F.col("behind") <= COMBINE)
-        rows = store(rows.drop("liked", "behind").join(kinds.select("token", combined.alias("combined")).hint("merge"), "token"), "keys")
-        keys = rows.where("not combined").select("token", F.lit(0).cast("long").alias("second"), "node", "n", "comp", "before")
-        chosen = rows.where("combined").groupBy("node").agg(F.collect_list("pos").alias("chosen"))
-        lists = self.profiles.join(chosen.hint("merge"), "node").select("node", "n", "need", "comp", "q", "chosen")
-        double = lists.mapInArrow(_combinations, "node long, n int, comp long, token long, second long, before array<long>")
-        keys = keys.unionByName(store(double, "combinations").select(*keys.columns))
-
-        def side(mark: str) -> DataFrame:
-            return keys.select("token", "second", *[F.col(c).alias(f"{c}_{mark}") for c in ("node", "n", "comp", "before")])
-
-        met = side("a").join(side("b").hint("merge"), ["token", "second"])
-        met = met.where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _size_ok("n_a", "n_b"))
-        met = met.where(~F.arrays_overlap("before_a", "before_b"))
-        return store(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "candidates")
+        frequent, single = F.col("holders") > RARE, F.col("behind") > COMBINE
+        kinds = kinds.select("token", frequent.alias("frequent"), single.alias("single"))
+        rows = store(rows.drop("liked", "behind").join(kinds.hint("merge"), "token"), "keys")
+
+        def met(keys: DataFrame, on: list[str], words: list[str]) -> DataFrame:
+            x, y = (keys.select(*on, *[F.col(c).alias(f"{c}_{mark}") for c in ("node", "n", "comp", "before", *words)]) for mark in "ab")
+            ok = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _size_ok("n_a", "n_b")
+            if words:
+                differ = functools.reduce(Column.__add__, [F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words])
+                total = F.col("n_a") + F.col("n_b")
+                ok &= (SCALE + THRESHOLD) * (total - differ) >= 2 * THRESHOLD * total
+            out = x.join(y.hint("merge"), on).where(ok & ~F.arrays_overlap("before_a", "before_b"))
+            return out.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+        words = [f"w{k}" for k in range(WORDS_OF_BITS)]
+        chosen = rows.where("frequent").groupBy("node").agg(F.collect_list(F.col("pos") * 2 + F.col("single").cast("int")).alias("chosen"))
+        lists = self.profiles.join(chosen.hint("merge"), "node").join(self.coarse.select("node", "bits").hint("merge"), "node").select("node", "n", "need", "comp", "q", "chosen", "bits")
+        fields = "node long, n int, comp long, token long, second long, before array<long>, " + ", ".join(f"{w} long" for w in words)
+        entries = store(lists.mapInArrow(_frequent, fields), "entries")
+        found = met(rows.where("not frequent"), ["token"], []).unionByName(met(entries, ["token", "second"], words))
+        return store(found.distinct(), "candidates")
 
     def result(self) -> DataFrame:
         """``(doc_id, tie, n_shingles, component_id)``; ``tie`` is a hash of the text."""
