@@ -1,26 +1,31 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words map to symbols: INSULT, THREAT, TARGET, NEGATION, REPORT, STOP (a clause ends) or OTHER.  Small
-transducers read the symbols: negation and target each remember a scope of a few words, reported speech
-lasts to the end of its sentence, and recognizers of insults and threats emit their word's weight.  Their
-composition is one transducer whose arcs name the pattern of a match: plain, aimed, negated or reported,
-of an insult or of a threat.  A text's score is a logistic function of the weights that its matched
-clauses emit, by pattern.
+Words map to symbols: INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK (a clause ends, at a semicolon), STOP (a
+sentence ends, at a full stop, exclamation mark, question mark or line feed) or OTHER.  Small transducers read
+letters, a symbol with its marks so far, and write the same letters with further marks: negation marks the three
+words after it and a target the four words after it, both within the clause; reported speech lasts to the end of
+its sentence.  Composed, each one reading what the one before wrote, they are one transducer; a second one reads
+its output from right to left and marks what stands before a target.  A match's marks decide its pattern: plain,
+aimed, negated or reported, of an insult or of a threat.  Each pattern has a weight, which multiplies the
+weights of its matches.
+
+A text is scored by its matched clauses: the weights by pattern, and of what is said outright, neither negated
+nor reported, the two heaviest clauses, the number, share and variety of matches.  A word adds nothing but
+through the pattern of its clause, and a negated or reported match weighs half of a plain one at most.
 
 Word weights (whole words, and beginnings of words for languages that inflect them) and pattern weights
 are learned from labelled rows that are not held out: at most ``MAX_TOXIC`` and ``MAX_CLEAN`` documents,
 those with the smallest hash of their id; this is the only bound.  Whole texts are scored.  Labels,
 language, source and id are never inputs of a score.
 
-Defined results: a null text counts as empty; a text without matches has the score of no match; rows that
-repeat an id are scored one by one; labels that repeat an id count once (the largest); without labels of
+Defined results: a null text counts as empty; a text without matches has the score of no match; very long texts
+are read whole; rows that repeat an id are scored one by one; labels that repeat an id count once (the largest); without labels of
 both kinds all weights but the prior are zero; an empty table gives an empty result; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -34,11 +39,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 from tidemark.llm.quality import held_out
 from tidemark.llm.tokens import slices
+from tidemark.session import ship_package
 
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
 PREFIXES = (4, 5, 6, 7, 8)
 CUTOFF = 0.3
-INSULT, THREAT, TARGET, NEGATION, REPORT, STOP, OTHER = range(7)
+INSULT, THREAT, TARGET, NEGATION, REPORT, STOP, OTHER, BREAK = range(8)
 #: Fixed word lists of the grammar; insults are learned.
 THREAT_WORDS = "kill killed hurt destroy beat burn shoot stab murder attack die töten umbringen schlagen verletzen tuer frapper brûler matar golpear quemar".split()
 TARGET_WORDS = "you your yours u ya they them he she him her du dich dir dein sie ihr tu te toi ton vous votre tú te ti tu usted ustedes vosotros".split()
@@ -46,58 +52,79 @@ NEGATION_WORDS = "not never no none don't isn't aren't wasn't nicht nie kein kei
 REPORT_WORDS = "said says wrote writes quoted claimed reported allegedly sagte schrieb dit écrit dijo escribió".split()
 _FIXED = {w: s for s, words in ((REPORT, REPORT_WORDS), (NEGATION, NEGATION_WORDS), (TARGET, TARGET_WORDS), (THREAT, THREAT_WORDS)) for w in words}
 _EDGE = " \n\t\r.,;:!?\"'()[]{}<>|*#$%&@-_=+/\\~`^"
-_STOPS = ".!?;\n"
+_ENDS = {".": STOP, "!": STOP, "?": STOP, ";": BREAK}
 
 PLAIN, AIMED, NEGATED, REPORTED = range(4)
 NEGATION_SCOPE, TARGET_SCOPE = 3, 4
 
 
+#: What a match may be marked with, and the letters: a symbol and a set of marks.
+MARKS = {AIMED: 1, NEGATED: 2, REPORTED: 4}
+N_LETTERS = 8 * 8
+
+
 class Transducer:
-    """A deterministic transducer over symbols, ``arcs[state][symbol] = (next state, output)``."""
+    """A deterministic transducer over letters, ``arcs[state][letter] = (next state, letter)``; a letter is ``8 * symbol + marks``."""
 
-    def __init__(self, arcs: list[list[tuple[int, frozenset]]]):
+    def __init__(self, arcs: list[list[tuple[int, int]]]):
         self.arcs = arcs
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both read the same symbols; an arc's output is the union of theirs."""
-        n = len(other.arcs)
-        return Transducer([
-            [(a[s][0] * n + b[s][0], a[s][1] | b[s][1]) for s in range(OTHER + 1)]
-            for a, b in itertools.product(self.arcs, other.arcs)
-        ])
-
-
-def scope(opener: int, length: int, mark: int) -> Transducer:
-    """Marks matches in the ``length`` words after ``opener``, up to the end of the clause."""
+        """The transducer that does what ``other`` does with this one's output."""
+        n, arcs = len(other.arcs), []
+        for own in self.arcs:
+            for its in other.arcs:
+                row = []
+                for letter in range(N_LETTERS):
+                    state, between = own[letter]
+                    last, out = its[between]
+                    row.append((state * n + last, out))
+                arcs.append(row)
+        return Transducer(arcs)
+
+    def run(self, letters: list[int]) -> list[int]:
+        state, out = 0, []
+        for letter in letters:
+            state, written = self.arcs[state][letter]
+            out.append(written)
+        return out
+
+
+def scope(opener: int, length: int, pattern: int) -> Transducer:
+    """Marks the ``length`` words after ``opener``, up to the end of the clause."""
     arcs = []
     for left in range(length + 1):
-        out = frozenset([mark]) if left else frozenset()
-        arcs.append([(length if s == opener else 0 if s == STOP else max(0, left - 1), out) for s in range(OTHER + 1)])
+        mark = MARKS[pattern] if left else 0
+        arcs.append([(length if x // 8 == opener else 0 if x // 8 in (STOP, BREAK) else max(0, left - 1), x | mark) for x in range(N_LETTERS)])
     return Transducer(arcs)
 
 
-def sentence(opener: int, mark: int) -> Transducer:
-    """Marks matches from ``opener`` to the end of the clause."""
-    return Transducer([[(1 if s == opener or state and s != STOP else 0, frozenset([mark]) if state else frozenset()) for s in range(OTHER + 1)] for state in (0, 1)])
+def sentence(opener: int, pattern: int) -> Transducer:
+    """Marks what follows ``opener`` up to the end of the sentence."""
+    return Transducer([[(int(x // 8 == opener or bool(inside) and x // 8 != STOP), x | (MARKS[pattern] if inside else 0)) for x in range(N_LETTERS)] for inside in (0, 1)])
 
 
-def recognizer(symbol: int) -> Transducer:
-    return Transducer([[(0, frozenset([("match", symbol)]) if s == symbol else frozenset()) for s in range(OTHER + 1)]])
+FORWARD = scope(NEGATION, NEGATION_SCOPE, NEGATED).compose(scope(TARGET, TARGET_SCOPE, AIMED)).compose(sentence(REPORT, REPORTED))
+BACKWARD = scope(TARGET, TARGET_SCOPE, AIMED)
 
 
-def grammar() -> list[list[tuple[int, int]]]:
-    """The composition as ``table[state][symbol] = (next state, pattern or -1)``."""
-    whole = recognizer(INSULT).compose(recognizer(THREAT)).compose(scope(NEGATION, NEGATION_SCOPE, NEGATED)).compose(scope(TARGET, TARGET_SCOPE, AIMED)).compose(sentence(REPORT, REPORTED))
+def pattern_of(letter: int) -> int:
+    """The pattern of a match, 0 to 7, or -1."""
+    symbol, marks = divmod(letter, 8)
+    if symbol not in (INSULT, THREAT):
+        return -1
+    own = next((p for p in (REPORTED, NEGATED, AIMED) if marks & MARKS[p]), PLAIN)
+    return (0 if symbol == INSULT else 4) + own
 
-    def pattern(out: frozenset) -> int:
-        kind = next((k for k, s in enumerate((INSULT, THREAT)) if ("match", s) in out), None)
-        return -1 if kind is None else 4 * kind + (REPORTED if REPORTED in out else NEGATED if NEGATED in out else AIMED if AIMED in out else PLAIN)
 
-    return [[(nxt, pattern(out)) for nxt, out in row] for row in whole.arcs]
+PATTERN = [pattern_of(x) for x in range(N_LETTERS)]
+N_FEATURES = 8 + 6
 
 
-GRAMMAR = grammar()
-N_FEATURES = 8 + 6
+def patterns(symbols: list[int]) -> list[int]:
+    """The pattern of each symbol's match, or -1: the text is read from left to right, what that writes from right to left."""
+    marked = BACKWARD.run(FORWARD.run([8 * s for s in symbols])[::-1])[::-1]
+    return [PATTERN[x] for x in marked]
 
 
 def normal(word: str) -> str:
@@ -121,23 +148,26 @@ class Lexicon:
         return kind, 1.0 if kind == THREAT else 0.0
 
 
+def symbols_of(raw: str, lexicon: Lexicon) -> list[tuple[int, float]]:
+    """Symbols and weights of a text without blanks."""
+    out: list[tuple[int, float]] = []
+    for k, part in enumerate(raw.split("\n")):
+        if k:
+            out.append((STOP, 0.0))
+        if core := normal(part):
+            out.append(lexicon.symbol(core))
+            if part[-1] in _ENDS:
+                out.append((_ENDS[part[-1]], 0.0))
+    return out
+
+
 def match_features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """What the grammar emits for each text: weights by pattern, the two largest, their number, length."""
+    """What the grammar emits for each text: weights by pattern; of what is said outright, the two heaviest clauses, number, share and variety; length."""
     words = pc.split_pattern(texts, " ")
     offsets = words.offsets.to_numpy()
     coded = words.values.dictionary_encode()
     index = coded.indices.to_numpy()
-    read: list[list[tuple[int, float]]] = []  # the symbols of each distinct word; line feeds may join two
-    for raw in coded.dictionary.to_pylist():
-        symbols = []
-        for k, part in enumerate(raw.split("\n")):
-            if k:
-                symbols.append((STOP, 0.0))
-            if core := normal(part):
-                symbols.append(lexicon.symbol(core))
-                if part[-1] in _STOPS:
-                    symbols.append((STOP, 0.0))
-        read.append(symbols)
+    read = [symbols_of(raw, lexicon) for raw in coded.dictionary.to_pylist()]  # line feeds may join two words
     hot = np.array([any(s in (INSULT, THREAT) for s, _ in symbols) for symbols in read], bool)
     out = np.zeros((len(texts), N_FEATURES))
     n_words = np.diff(offsets)
@@ -145,16 +175,21 @@ def match_features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     hits = hot[index] if len(index) else np.zeros(0, bool)
     some = np.add.reduceat(hits, offsets[:-1]) if len(texts) else np.zeros(0)
     for t in np.flatnonzero(some):
-        state, emitted, distinct = 0, [], set()
-        for i in index[offsets[t] : offsets[t + 1]].tolist():
-            for symbol, weight in read[i]:
-                state, pattern = GRAMMAR[state][symbol]
-                if pattern >= 0:
-                    out[t, pattern] += weight
-                    emitted.append(weight)
-                    distinct.add(i)
-        emitted.sort(reverse=True)
-        out[t, 8:13] = emitted[0], emitted[1] if len(emitted) > 1 else 0, math.log1p(len(emitted)), 30 * sum(emitted) / (30 + n_words[t]), math.log1p(len(distinct))
+        found = [(symbol, weight, i) for i in index[offsets[t] : offsets[t + 1]].tolist() for symbol, weight in read[i]]
+        clause, clauses, number, distinct = 0.0, [0.0, 0.0], 0, set()
+        for (symbol, weight, i), pattern in zip(found, patterns([s for s, _, _ in found]), strict=True):
+            if pattern >= 0:
+                out[t, pattern] += weight
+            if pattern % 4 in (PLAIN, AIMED) and pattern >= 0:
+                clause += weight
+                number += 1
+                distinct.add(i)
+            elif symbol in (STOP, BREAK) and clause:
+                clauses.append(clause)
+                clause = 0.0
+        first, second = sorted([*clauses, clause], reverse=True)[:2]
+        outright = sum(out[t, p] for p in (PLAIN, AIMED, 4 + PLAIN, 4 + AIMED))
+        out[t, 8:13] = math.log1p(first), math.log1p(second), math.log1p(number), 30 * outright / (30 + n_words[t]), math.log1p(len(distinct))
     out[:, :8] = np.log1p(out[:, :8])
     return out
 
@@ -196,7 +231,17 @@ def fit_logistic(rows: np.ndarray, labels: np.ndarray, weights: np.ndarray, ridg
     return beta
 
 
+def grammar_weights(beta: np.ndarray) -> np.ndarray:
+    """Pattern weights as the grammar allows them: negated and reported matches weigh half of plain ones at most."""
+    beta = beta.copy()
+    for kind in (0, 4):
+        most = max(0.0, beta[kind + PLAIN]) / 2
+        beta[kind + NEGATED], beta[kind + REPORTED] = min(beta[kind + NEGATED], most), min(beta[kind + REPORTED], most)
+    return beta
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, part: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[Lexicon, np.ndarray]:
+    ship_package(docs.sparkSession)
     usable = labels.select(F.col(id_col).alias("l_id"), F.col(label).cast("int").alias("label")).where(F.col("l_id").isNotNull() & F.col("label").isNotNull() & ~held_out("l_id", parts, part))
     usable = usable.groupBy("l_id").agg(F.max("label").alias("label"))
     of = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -252,7 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     sample.unpersist()
     y = np.array([r[0] for r in rows], float)
     share = np.where(y == 1, of[1] / toxic, of[0] / clean)
-    return lexicon, fit_logistic(np.array([r[1] for r in rows]), y, share / share.mean())
+    return lexicon, grammar_weights(fit_logistic(np.array([r[1] for r in rows]), y, share / share.mean()))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
