@@ -4,14 +4,15 @@ A document is a bag of passages of 50 words.  Each passage is encoded from chara
 and length of its words; a gated attention, learned from document labels alone, weighs the passages, and
 the document's score is that of the weighted representation.
 
-Training reads at most ``MAX_DOCS`` labelled documents (those with the smallest hash of their id) and at
-most ``MAX_PASSAGES`` evenly spaced passages of each; this is the only bound.  Every document is scored on
-all its passages.  Labels are read only from rows that are not held out; labels, language, source and id
+Training reads at most ``MAX_DOCS`` labelled documents (those with the smallest hash of their id), each with
+all its passages, and leaves out those with which the passages would be more than ``MAX_PASSAGES`` together;
+this bound on labelled rows is the only one.  Every document is scored on all its passages.  Labels are read only from rows that are not held out; labels, language, source and id
 are never inputs of a score.
 
 Defined results: a null text counts as empty and is scored as one passage without words; rows that repeat
 an id are scored one by one; labels that repeat an id count once (the largest); without any usable label
-every score is 0.5; an empty table gives an empty result; other columns are ignored.
+every score is 0.5; very long texts are read whole; ties need no order; an empty table gives an empty result;
+other columns are kept, but for one with the name of the result.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table
+from tidemark.llm.common import table, whole_rows
 from tidemark.llm.tokens import slices
+from tidemark.session import ship_package
 
 PASSAGE_WORDS = 50
 MAX_DOCS = 4000
-MAX_PASSAGES = 64
+MAX_PASSAGES = 100_000
 HIDDEN, GATES = 16, 8
 CUTOFF = 0.3
 SLICE = 1 << 21  # bytes of text whose features are made at a time
@@ -147,15 +149,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
         for batch in batches:
             for some in slices(batch, "body", SLICE):
                 rows, counts = passages(some["body"])
-                at, bags = 0, []
-                for n in counts.tolist():
-                    take = np.unique(np.linspace(0, n - 1, min(n, MAX_PASSAGES)).astype(int))
-                    bags.append(rows[at + take].tobytes())
-                    at += n
+                ends = np.cumsum(counts).tolist()
+                bags = [rows[lo:hi].tobytes() for lo, hi in zip([0, *ends], ends, strict=False)]
                 yield pa.RecordBatch.from_arrays([some["l_id"].cast(pa.int64()), some["label"], pa.array(bags, pa.binary())], names=["l_id", "label", "bag"])
 
-    sample = labelled(docs, labels, label, parts, part, MAX_DOCS, id_col, text_col).mapInArrow(featurize, "l_id long, label int, bag binary")
-    found = sorted({(r["l_id"], r["label"], bytes(r["bag"])) for r in sample.collect()})  # MAX_DOCS bags of at most 4.5 KB
+    ship_package(docs.sparkSession)
+    sample = labelled(docs, labels, label, parts, part, MAX_DOCS, id_col, text_col)
+    size = F.ceil(F.size(F.split("body", " ", -1)) / PASSAGE_WORDS)
+    sizes = sample.groupBy("l_id").agg(F.sum(size).alias("n"), F.xxhash64(F.first("l_id")).alias("h")).collect()  # MAX_DOCS rows
+    left, fitting = MAX_PASSAGES, []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["l_id"])):
+        if r["n"] <= left:
+            left -= r["n"]
+            fitting.append(r["l_id"])
+    if len(fitting) < len(sizes):
+        sample = sample.where(F.col("l_id").isin(fitting))
+    sample = sample.select(F.col("l_id").cast("long").alias("l_id"), "label", "body").mapInArrow(featurize, "l_id long, label int, bag binary")
+    found = sorted({(r["l_id"], r["label"], bytes(r["bag"])) for r in sample.collect()})  # MAX_PASSAGES rows of 72 bytes
     if not found:
         return None
     bags = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for _, _, b in found]
@@ -164,36 +174,40 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
     return AttentionModel(rows.mean(axis=0), rows.std(axis=0) + 1e-3).fit(rows, counts, wanted)
 
 
-def quality_scores(docs: DataFrame, model: AttentionModel | None, text_col: str = "text") -> DataFrame:
-    """The input with ``q_score double`` (which replaces a column of that name)."""
-    names = [c for c in docs.columns if c != "q_score"]
-    fields = T.StructType([*(docs.schema[c] for c in names), T.StructField("q_score", T.DoubleType())])
+def _scored(rows: DataFrame, model: AttentionModel | None) -> DataFrame:
+    """``rows (row, body)`` as ``(row, score)``."""
+    fields = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body = pc.fill_null(pc.cast(batch[text_col], pa.string()), "")
-            for some in slices(batch.append_column("q_body", body), "q_body", SLICE):
+            for some in slices(batch, "body", SLICE):
                 if model is None:
                     chance = np.full(some.num_rows, 0.5)
                 else:
-                    rows, counts = passages(some["q_body"])
-                    chance = model.forward(rows.astype(np.float64), counts)["chance"]
-                yield pa.RecordBatch.from_arrays([*(some[c] for c in names), pa.array(chance)], names=[*names, "q_score"])
+                    features, counts = passages(some["body"])
+                    chance = model.forward(features.astype(np.float64), counts)["chance"]
+                yield pa.RecordBatch.from_arrays([some["row"], pa.array(chance)], names=["row", "score"])
+
+    return rows.mapInArrow(score, fields)
 
-    return docs.select(*names).mapInArrow(score, fields)
+
+def quality_scores(docs: DataFrame, model: AttentionModel | None, text_col: str = "text") -> DataFrame:
+    """The input with ``q_score double`` (which replaces a column of that name)."""
+    scored = _scored(whole_rows(docs, text_col), model)
+    return scored.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "q_score"], F.col("score").alias("q_score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input without the documents that the classifier rejects."""
-    scored = quality_scores(docs, train(docs, labels, id_col=id_col, text_col=text_col), text_col)
-    return scored.where(F.col("q_score") >= CUTOFF).drop("q_score")
+    """The input without the documents that the classifier rejects; all columns stay."""
+    scored = _scored(whole_rows(docs, text_col), train(docs, labels, id_col=id_col, text_col=text_col))
+    return scored.where(F.col("score") >= CUTOFF).select("row.*")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, score, predicted)``, one row per input row."""
     model = train(docs, labels, id_col=id_col, text_col=text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("body"))
-    scored = quality_scores(rows, model, "body").withColumnRenamed("q_score", "score")
+    rows = docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+    scored = _scored(rows, model).select("row.*", "score")
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
 
 
