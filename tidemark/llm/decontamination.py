@@ -11,13 +11,14 @@ little as templates; they are looked up word for word, and count if their words
 
 A document is contaminated by an item if matched windows cover at least ``COVERAGE`` of the item's words.
 
-The benchmark is read in blocks of at most ``BLOCK_BYTES`` of text, each matched against all documents, so
-what is shipped to the workers is bounded whatever the benchmark's size.
-
-Defined results: a null text counts as empty and is clean; items with fewer than ``LEAST_WORDS`` words
-match nothing; items between that and a window are matched whole; a null item id is skipped; rows that
-repeat an id are judged one by one; ties between items go to the smallest id; an empty table or benchmark
-gives no contamination; other columns are kept as they are.
+The benchmark is read in blocks of about ``BLOCK_BYTES`` of text, each matched against all documents; the result
+of a block is written before the next one is read, so one plan, and one worker, never holds two blocks.
+
+Defined results: a null text counts as empty and is clean; items shorter than a window are matched whole, those
+with fewer than ``LEAST_FIXED`` words outside slots word for word; items without words match nothing; a null
+item id is skipped; rows that repeat an id are judged one by one; very long texts are read whole; ties between
+items go to the smallest id; an empty table or benchmark gives no contamination; other columns are kept, but for
+those with the names of results.
 """
 
 from __future__ import annotations
@@ -34,10 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table
+from tidemark.llm.common import drop_stored, store, table, whole_rows
 from tidemark.llm.tokens import slices
 
-WINDOW, LEAST_WORDS, LEAST_FIXED, COVERAGE = 8, 5, 4, 0.5
+WINDOW, LEAST_FIXED, COVERAGE = 8, 4, 0.5
 BLOCK_BYTES = 1 << 25
 NUMBER, UNIT, NAME, NOTHING = 1, 2, 3, 0
 #: Fixed word list.
@@ -113,7 +114,7 @@ class Benchmark:
     """The window table of one block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(item, codes, words, exact) for item, codes, words, exact in self._read(items) if len(codes) >= LEAST_WORDS]
+        self.items = [(item, codes, words, exact) for item, codes, words, exact in self._read(items) if len(codes)]
         self.by_size = self._tables(lambda codes, _, size: (window_hashes(codes, size), _fixed(codes, size) >= LEAST_FIXED))
         #: Windows of few fixed words, which are looked up word for word.
         self.exact_by_size = self._tables(lambda codes, exact, size: (window_hashes(exact, size), _fixed(codes, size) < LEAST_FIXED))
@@ -183,41 +184,56 @@ class Benchmark:
         return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
-    """``docs`` with ``dc_items array<bigint>``, ``dc_item bigint``, ``dc_coverage double`` and ``dc_changed boolean``.
-
-    ``dc_items`` lists the items that contaminate the row; the others describe the best match, if any.
-    """
+def _judged(rows: DataFrame, benchmark: DataFrame, item_col: str, coverage: float) -> DataFrame:
+    """``rows (row, body)`` as ``(row, items, item, coverage, changed)``.  Each block of the benchmark but the last ends in a written table."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body")).where("item is not null")
     n_bytes = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = 1 + n_bytes // BLOCK_BYTES
-    extra = [T.StructField("dc_items", T.ArrayType(T.LongType())), T.StructField("dc_item", T.LongType()), T.StructField("dc_coverage", T.DoubleType()), T.StructField("dc_changed", T.BooleanType())]
-    out = docs
+    extra = [T.StructField("items", T.ArrayType(T.LongType())), T.StructField("item", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("changed", T.BooleanType())]
+    none = [F.array().cast("array<bigint>"), F.lit(None).cast("bigint"), F.lit(0.0), F.lit(False)]
+    out = rows.select("row", "body", *[c.alias(f.name) for c, f in zip(none, extra, strict=True)])
+    fields = T.StructType([rows.schema["row"], rows.schema["body"], *extra])
     for block in range(blocks):
         held = sorted((r["item"], r["body"]) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect())  # one block, bounded
-        names = [c for c in out.columns if not c.startswith("dc_")]
-        fields = T.StructType([*(out.schema[c] for c in names), *extra])
-        out = out.mapInArrow(_matcher(held, names, text_col, coverage), fields)
-    return out
+        before = out
+        out = before.mapInArrow(_matcher(held, coverage), fields)
+        if block < blocks - 1:  # so that a plan, and a worker, holds one block only
+            out = store(out, "judged")
+        if block > 0 and block < blocks - 1:
+            drop_stored(before)
+    return out.drop("body")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
+    """``docs`` with ``dc_items array<bigint>``, ``dc_item bigint``, ``dc_coverage double`` and ``dc_changed boolean``.
+
+    ``dc_items`` lists the items that contaminate the row; the others describe the best match, if any.  They
+    replace columns of these names.
+    """
+    results = ("items", "item", "coverage", "changed")
+    out = _judged(whole_rows(docs, text_col), benchmark, item_col, coverage)
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in {f"dc_{r}" for r in results}], *[F.col(r).alias(f"dc_{r}") for r in results])
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
+    """The input without the rows that a benchmark item contaminates; all columns stay."""
+    return _judged(whole_rows(docs, text_col), benchmark, item_col, coverage).where(F.size("items") == 0).select("row.*")
 
 
-def _matcher(held: list[tuple[int, str]], names: list[str], text_col: str, coverage: float):
+def _matcher(held: list[tuple[int, str]], coverage: float):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, templates = Benchmark(held), Templates()
         for batch in batches:
-            texts = pc.fill_null(pc.cast(batch[text_col], pa.string()), "")
-            for some in slices(batch.append_column("dc_body", texts), "dc_body", 1 << 21):
-                found = index.matches(templates, some["dc_body"])
-                columns = [[[] for _ in range(some.num_rows)], [None] * some.num_rows, [0.0] * some.num_rows, [False] * some.num_rows]
-                if "dc_item" in some.schema.names:  # an earlier block's results
-                    columns = [some[c].to_pylist() for c in ("dc_items", "dc_item", "dc_coverage", "dc_changed")]
+            for some in slices(batch, "body", 1 << 21):
+                found = index.matches(templates, some["body"])
+                columns = [some[c].to_pylist() for c in ("items", "item", "coverage", "changed")]  # of earlier blocks
                 for t, matches in found.items():
                     columns[0][t] = sorted({*columns[0][t], *(item for item, share, _ in matches if share >= coverage)})
                     item, share, changed = min(matches, key=lambda m: (-m[1], m[0]))
                     if (-share, item) < (-columns[2][t], columns[1][t] if columns[1][t] is not None else 1 << 63):
                         columns[1][t], columns[2][t], columns[3][t] = item, share, changed
                 arrays = [pa.array(columns[0], pa.list_(pa.int64())), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*(some[c] for c in names), *arrays], names=[*names, "dc_items", "dc_item", "dc_coverage", "dc_changed"])
+                yield pa.RecordBatch.from_arrays([some["row"], some["body"], *arrays], names=["row", "body", "items", "item", "coverage", "changed"])
 
     return match
 
