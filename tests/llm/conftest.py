@@ -2,12 +2,14 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, body string, key string, node long, dc_items string, q_score string, ld_text string"
+#: Names that the operators use themselves.
+TAKEN = "body key node dc_items dc_item dc_body dc_coverage items item coverage changed q_body q_score score row f_slot f_page f_bits nj_key ld_body ld_id ld_gone ld_late ld_text ld_exact ld_near id exact near late gone n token label l_id digest slot".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{name} string" for name in TAKEN)
 
 
 def frame(spark, rows):
     """A documents table with further columns whose names the operators use themselves."""
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", "y", 7, "z", "w", "v") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *[f"own {name}" for name in TAKEN]) for i, t in rows], SCHEMA)
 
 
 @pytest.fixture(scope="session")

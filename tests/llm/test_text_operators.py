@@ -8,7 +8,7 @@ import zlib
 
 import corpus_pipeline
 from tests.compare import duck, same
-from tests.llm.conftest import frame
+from tests.llm.conftest import TAKEN, frame
 from tidemark.llm import decontamination, line_dedup, ngram_join, quality, toxicity
 from tidemark.llm.components import components
 
@@ -314,6 +314,102 @@ def test_grammar_patterns():
     assert not row("nothing to see").any()
 
 
+def brute_patterns(text, lexicon):
+    """Weights by pattern, each match looked at by itself: what stands before and after it in its clause and sentence."""
+    flat = [x for raw in text.split(" ") for x in toxicity.symbols_of(raw, lexicon)]
+    out = [0.0] * 8
+    for k, (symbol, weight) in enumerate(flat):
+        if symbol not in (toxicity.INSULT, toxicity.THREAT):
+            continue
+
+        def near(wanted, step, most, k=k):
+            for n in range(1, most + 1):
+                if not 0 <= k + step * n < len(flat) or flat[k + step * n][0] in (toxicity.STOP, toxicity.BREAK):
+                    return False
+                if flat[k + step * n][0] == wanted:
+                    return True
+            return False
+
+        stop = max([n for n in range(k) if flat[n][0] == toxicity.STOP], default=-1)
+        reported = any(s == toxicity.REPORT for s, _ in flat[stop + 1 : k])
+        own = 3 if reported else 2 if near(toxicity.NEGATION, -1, 3) else 1 if near(toxicity.TARGET, -1, 4) or near(toxicity.TARGET, 1, 4) else 0
+        out[own + (4 if symbol == toxicity.THREAT else 0)] += weight
+    return out
+
+
+def test_grammar_against_brute_force():
+    rng = random.Random(2)
+    lexicon = toxicity.Lexicon({"fool": 2.0, "twit": 1.5}, {"dolt": 3.0})
+    words = "fool twit dolts kill you they not never said wrote a the tree stone Fool, you; said. kill! not? fool\nyou one two three four".split(" ")
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    got = np.expm1(toxicity.match_features(pa.array(texts), lexicon)[:, :8])
+    assert np.allclose(got, [brute_patterns(t, lexicon) for t in texts])
+    assert np.count_nonzero(got.sum(axis=0)) == 8
+
+
+def test_negated_and_reported_insults_score_less(spark):
+    rng = random.Random(4)
+    plain = lambda: " ".join(rng.choice("the tree river stone house walks over green hill bread you are a what came by he is".split()) for _ in range(rng.randint(3, 30)))
+    rows = [(i, f"{plain()}. {rng.choice(['you are a', 'what a', 'the'])} zorgle {plain()}" if i % 3 == 0 else plain()) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    cases = ["he is a zorgle", "zorgle you are", "he is not a zorgle", "they said a zorgle came", "a bread came by"]
+    found = {r.doc_id: r.score for r in toxicity.score_toxicity(frame(spark, rows + [(1000 + k, t) for k, t in enumerate(cases)]), labels).collect()}
+    said, aimed, negated, reported, none = (found[1000 + k] for k in range(5))
+    assert min(said, aimed) > 0.5 > 0.3 > max(negated, reported) and none < 0.3
+    lexicon = toxicity.Lexicon({"fool": 2.0}, {})
+    rows = toxicity.match_features(pa.array(["fool you are", "he is not a fool", "they said a fool"]), lexicon)
+    assert rows[0, 1] > 0 and not rows[1:, 8:13].any()
+
+
+def test_columns_with_the_names_of_ours_stay(spark, odd, odd_rows, nothing):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(17)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, "a row without an id, with words enough to count"), (2, "one two")], "item_id long, text string")
+    own = {name: f"own {name}" for name in TAKEN}
+    for docs in (odd, nothing):
+        kept = [quality.keep_good(docs, labels), line_dedup.without_repeated_lines(docs), ngram_join.one_of_each(docs), decontamination.without_contaminated(docs, benchmark)]
+        for out in kept:
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            rows = out.collect()
+            assert all(r[name] == value for r in rows for name, value in own.items())
+            assert bool(rows) == (docs is odd)
+        results = [({"q_score"}, quality.quality_scores(docs, None)), ({"ld_text", "ld_exact", "ld_near"}, line_dedup.dedup_lines(docs)), ({"dc_items", "dc_item", "dc_coverage", "dc_changed"}, decontamination.contamination(docs, benchmark))]
+        for names, out in results:
+            assert set(out.columns) == set(docs.columns) | names
+            rows = out.collect()
+            assert len(rows) == (len(odd_rows) if docs is odd else 0)
+            assert all(r[name] == value for r in rows for name, value in own.items() if name not in names)
+
+
+def test_short_items_match_word_for_word(spark):
+    found = judged(spark, [(1, "he said one two and went"), (2, "one, then two"), (3, "In 1999 it fell"), (4, "Zug")], [(1, "One two"), (2, "1998"), (3, "zug"), (4, " ?! ")])
+    assert {i: list(r.dc_items) for i, r in found.items() if r.dc_items} == {1: [1], 4: [3]}
+
+
+def test_all_passages_of_labelled_texts_are_read(spark):
+    """A label that only shows after the former 64 passages, and a bound on passages that leaves rows out."""
+    rng = random.Random(8)
+    words = "the tree river stone house walks over green hill bread".split()
+    long = lambda tail: " ".join([*(rng.choice(words) for _ in range(6000)), *tail])
+    rows = [(i, long(["||||", "####"] * 300 if i % 2 else ["hill"] * 600)) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, quality int")
+    scored = {r.doc_id: r for r in quality.score_quality(frame(spark, rows), labels).collect()}
+    assert all((r.score >= 0.5) == (i % 2 == 0) for i, r in scored.items() if r.held_out)
+
+
+def test_long_paths_of_links(spark):
+    path = [(k, k + 1) for k in range(1500)]
+    assert {r.comp for r in components(spark.createDataFrame(path, "a long, b long")).collect()} == {0}
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stages_on_odd_and_empty_tables(spark, odd, nothing, number):
+    """Each stage by itself; ``labels`` and ``benchmark`` are those of the small tables."""
+    stage = corpus_pipeline.STAGES[number][1]
+    assert stage(spark, nothing, SMALL).count() == 0
+    out = stage(spark, odd, SMALL)
+    assert out.count() > 0 and (number == 4 or out.columns == odd.columns)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     scores = {r.doc_id: r.predicted for r in quality.op10_quality(spark, SMALL).collect()}

@@ -68,6 +68,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, or a longer one that no column in ``taken`` has."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def whole_rows(df: DataFrame, text_col: str) -> DataFrame:
+    """``(row, body)``: all columns as one struct, so that no name in it meets a name of ours, and the text, empty for null."""
+    ship_package(df.sparkSession)
+    return df.select(F.struct(*df.columns).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+
+
 def _slot(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(bits)), F.lit(1 << bits))
 
@@ -120,8 +133,10 @@ class KeyFilter:
         return self._join(df, key, "left_anti")
 
     def _join(self, df: DataFrame, key: Column, how: str) -> DataFrame:
-        rows = df.withColumn("f_slot", _slot(key, self.bits))
-        byte = "cast(conv(hex(substring(f_bits, cast(bitmap_bit_position(f_slot) / 8 as int) + 1, 1)), 16, 10) as int)"
-        is_set = F.expr(f"({byte} & shiftleft(1, cast(bitmap_bit_position(f_slot) % 8 as int))) <> 0")
-        on = (F.expr("bitmap_bucket_number(f_slot)") == F.col("f_page")) & is_set
-        return rows.join(F.broadcast(self.pages), on, how).drop("f_slot")
+        slot, page, bits = (fresh(df.columns, c) for c in ("f_slot", "f_page", "f_bits"))
+        rows = df.withColumn(slot, _slot(key, self.bits))
+        pages = self.pages.select(F.col("f_page").alias(page), F.col("f_bits").alias(bits))
+        byte = f"cast(conv(hex(substring({bits}, cast(bitmap_bit_position({slot}) / 8 as int) + 1, 1)), 16, 10) as int)"
+        is_set = F.expr(f"({byte} & shiftleft(1, cast(bitmap_bit_position({slot}) % 8 as int))) <> 0")
+        on = (F.expr(f"bitmap_bucket_number({slot})") == F.col(page)) & is_set
+        return rows.join(F.broadcast(pages), on, how).drop(slot)

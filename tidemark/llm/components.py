@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import drop_stored, store
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``(node, comp)`` for every node in ``links (a, b)``; ``comp`` is the smallest node reachable.
 
     Each round links every node to the smallest neighbour of its neighbours (large and small stars), which
     shortens paths at least by half, so the number of rounds grows with the logarithm of the longest path.
+    Rounds go on until nothing changes.
     No node gathers its neighbours: only minima and distinct pairs are taken.
     """
     edges = store(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(most):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: larger neighbours of a node go to its smallest neighbour or itself

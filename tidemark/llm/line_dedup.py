@@ -22,7 +22,7 @@ of those few lines that share block variants.
 
 Defined results: a null text counts as empty, has no lines and stays null; null ids come last; rows that
 repeat an id share one place in the order, so a line that only they have stays in each; an empty table
-gives an empty result; other columns are kept, but ``ld_`` names are replaced.
+gives an empty result; very long texts count whole; other columns are kept, but for those with the names of results.
 """
 
 from __future__ import annotations
@@ -30,14 +30,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import KeyFilter, bits_of, store, table
+from tidemark.llm.common import KeyFilter, bits_of, store, table, whole_rows
 from tidemark.llm.tokens import slices
+from tidemark.session import ship_package
 
 MIN_NEAR = 24
 BLOCKS = 16
@@ -189,57 +189,61 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return exact.unionByName(near)
 
 
-def _without(names: list[str], text_col: str):
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            body = pc.fill_null(pc.cast(batch[text_col], pa.string()), "")
-            for some in slices(batch.append_column("ld_body", body), "ld_body"):
-                texts, exact, near = [], [], []
-                for original, text, gone, gone_near in zip(some[text_col].to_pylist(), some["ld_body"].to_pylist(), some["ld_gone"].to_pylist(), some["ld_late"].to_pylist(), strict=True):
-                    gone, gone_near, seen, kept, n_exact, n_near = set(gone or ()), set(gone_near or ()), set(), [], 0, 0
-                    for raw in text.split("\n"):
-                        line = raw.strip(" ")
-                        if line and line in seen:
-                            n_exact += 1
-                            continue
-                        if line:
-                            seen.add(line)
-                            if gone or gone_near:
-                                key = line_key(line)
-                                if key in gone:
-                                    n_exact += 1
-                                    continue
-                                if key in gone_near:
-                                    n_near += 1
-                                    continue
-                        kept.append(raw)
-                    texts.append("\n".join(kept) if n_exact + n_near else original)
-                    exact.append(n_exact)
-                    near.append(n_near)
-                yield pa.RecordBatch.from_arrays([*(some[c] for c in names), pa.array(texts, pa.string()), pa.array(exact, pa.int64()), pa.array(near, pa.int64())], names=[*names, "ld_text", "ld_exact", "ld_near"])
-
-    return build
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for some in slices(batch, "body"):
+            texts, exact, near = [], [], []
+            for text, gone, gone_near in zip(some["body"].to_pylist(), some["gone"].to_pylist(), some["late"].to_pylist(), strict=True):
+                gone, gone_near, seen, kept, n_exact, n_near = set(gone or ()), set(gone_near or ()), set(), [], 0, 0
+                for raw in text.split("\n"):
+                    line = raw.strip(" ")
+                    if line and line in seen:
+                        n_exact += 1
+                        continue
+                    if line:
+                        seen.add(line)
+                        if gone or gone_near:
+                            key = line_key(line)
+                            if key in gone:
+                                n_exact += 1
+                                continue
+                            if key in gone_near:
+                                n_near += 1
+                                continue
+                    kept.append(raw)
+                texts.append("\n".join(kept) if n_exact + n_near else None)
+                exact.append(n_exact)
+                near.append(n_near)
+            yield pa.RecordBatch.from_arrays([some["row"], pa.array(texts, pa.string()), pa.array(exact, pa.int64()), pa.array(near, pa.int64())], names=["row", "text", "exact", "near"])
+
+
+def _deduped(docs: DataFrame, id_col: str, text_col: str, min_near: int) -> DataFrame:
+    """``(row, text, exact, near)``: the input's rows with the text without repeated lines and the numbers of those."""
+    ship_package(docs.sparkSession)
+    gone = repeated_lines(docs, id_col, text_col, min_near)
+    gone = gone.groupBy("id").agg(F.collect_set(F.when(~F.col("near"), F.col("key"))).alias("gone"), F.collect_set(F.when(F.col("near"), F.col("key"))).alias("late"))
+    gone = store(gone, "gone")  # a row for each document with repeated lines, no longer than its lines
+    none = F.lit(None).cast("array<binary>")
+    rows, touched = whole_rows(docs, text_col).withColumn("id", F.coalesce(F.col("row")[id_col].cast("long"), F.lit(LAST))), KeyFilter(gone, "id")
+    same = touched.drop(rows, F.col("id")).select("row", "body", none.alias("gone"), none.alias("late"))
+    other = touched.keep(rows, F.col("id")).join(gone, "id", "left").select("row", "body", "gone", "late")
+    fields = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("exact", T.LongType()), T.StructField("near", T.LongType())])
+    out = same.unionByName(other).mapInArrow(_without, fields)
+    return out.withColumn("text", F.coalesce("text", F.col("row")[text_col].cast("string")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near: int = MIN_NEAR) -> DataFrame:
     """The input with ``ld_text``, the text without repeated lines, and ``ld_exact`` and ``ld_near``, their numbers."""
-    names = [c for c in docs.columns if not c.startswith("ld_")]
-    gone = repeated_lines(docs, id_col, text_col, min_near)
-    gone = gone.groupBy(F.col("id").alias("ld_id")).agg(F.collect_set(F.when(~F.col("near"), F.col("key"))).alias("ld_gone"), F.collect_set(F.when(F.col("near"), F.col("key"))).alias("ld_late"))
-    gone = store(gone, "gone")  # a row for each document with repeated lines, no longer than its lines
-    none = F.lit(None).cast("array<binary>")
-    rows, touched = docs.select(*names).withColumn("ld_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))), KeyFilter(gone, "ld_id")
-    same = touched.drop(rows, F.col("ld_id")).select(*names, none.alias("ld_gone"), none.alias("ld_late"))
-    other = touched.keep(rows, F.col("ld_id")).join(gone, "ld_id", "left").select(*names, "ld_gone", "ld_late")
-    fields = T.StructType([*(docs.schema[c] for c in names), T.StructField("ld_text", T.StringType()), T.StructField("ld_exact", T.LongType()), T.StructField("ld_near", T.LongType())])
-    return same.unionByName(other).mapInArrow(_without(names, text_col), fields)
+    results = {"ld_text": "text", "ld_exact": "exact", "ld_near": "near"}
+    out = _deduped(docs, id_col, text_col, min_near)
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in results], *[F.col(c).alias(name) for name, c in results.items()])
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input with repeated lines taken out; a document that loses all its lines goes."""
-    out = dedup_lines(docs, id_col, text_col)
-    emptied = (F.col("ld_exact") + F.col("ld_near") > 0) & (F.trim(F.regexp_replace("ld_text", r"\s+", "")) == "")
-    return out.where(~emptied).withColumn(text_col, F.col("ld_text")).drop("ld_exact", "ld_near", "ld_text")
+    """The input with repeated lines taken out; a document that loses all its lines goes.  All columns stay."""
+    out = _deduped(docs, id_col, text_col, MIN_NEAR)
+    emptied = (F.col("exact") + F.col("near") > 0) & (F.trim(F.regexp_replace("text", r"\s+", "")) == "")
+    return out.where(~emptied).select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

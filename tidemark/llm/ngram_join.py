@@ -49,9 +49,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import KeyFilter, drop_stored, release, store, table
+from tidemark.llm.common import KeyFilter, drop_stored, fresh, release, store, table
 from tidemark.llm.components import components
 from tidemark.llm.tokens import slices
+from tidemark.session import ship_package
 
 WORDS = 5
 THRESHOLD, SCALE = 75, 100
@@ -295,6 +296,7 @@ class Join:
     """One run over a table of documents; intermediate tables are in scratch."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+        ship_package(docs.sparkSession)
         self.bodies = _bodies(docs, id_col, text_col)
         sets = store(self.bodies.mapInArrow(_build_sets, SETS), "sets")
         self.rows = store(sets.select("doc_id", "tie", "node", "n"), "rows")
@@ -454,12 +456,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ties = found.where(stays & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.min("tie").alias("low"), F.max("tie").alias("high")).where("low <> high")
     later = found.where(stays & (F.col("n_shingles") > 0)).join(ties, "doc_id").where("tie <> low")
     key = F.struct(F.coalesce(F.col("doc_id"), F.lit(0).cast("long")).alias("i"), F.col("doc_id").isNull().alias("z"), F.col("tie").alias("t"))
-    gone = store(found.where(~stays).select(key.alias("nj_key")).unionByName(later.select(key.alias("nj_key"))).distinct(), "gone")
+    name = fresh(docs.columns, "nj_key")
+    gone = store(found.where(~stays).select(key.alias(name)).unionByName(later.select(key.alias(name))).distinct(), "gone")
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")).alias("i"), F.col(id_col).isNull().alias("z"), F.xxhash64(body).alias("t"))
-    rows, some = docs.withColumn("nj_key", own), KeyFilter(gone, "nj_key")
-    suspects = some.keep(rows, F.col("nj_key")).join(gone, "nj_key", "left_anti")
-    return some.drop(rows, F.col("nj_key")).unionByName(suspects.select(*rows.columns)).drop("nj_key")
+    rows, some = docs.withColumn(name, own), KeyFilter(gone, name)
+    suspects = some.keep(rows, F.col(name)).join(gone, name, "left_anti")
+    return some.drop(rows, F.col(name)).unionByName(suspects.select(*rows.columns)).drop(name)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

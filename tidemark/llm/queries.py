@@ -6,9 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
-from tidemark.llm import decontamination, exact_dedup, line_dedup, ngram_join, packing, quality, secrets, token_counts, token_files, toxicity
+from tidemark.llm import decontamination, exact_dedup, line_dedup, ngram_join, packing, pipeline, quality, secrets, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -21,8 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_quality": quality.op10_quality,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLES: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_secret_scan": secrets.ORACLE}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+if pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = pipeline.ORACLE_SQL
