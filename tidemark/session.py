@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 
 #: Rows that pass to Python workers at a time; Spark's default is too many for long texts.
 ARROW_ROWS = 512
+#: Bytes that pass to Python workers at a time, for tables of very long texts.
+ARROW_BYTES = 32 << 20
 _shipped: set[str] = set()
 
 
@@ -17,6 +19,7 @@ def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once for each application."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
