@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import ship_package
 
@@ -76,9 +77,15 @@ def fresh(taken: list[str], name: str) -> str:
 
 
 def whole_rows(df: DataFrame, text_col: str) -> DataFrame:
-    """``(row, body)``: all columns as one struct, so that no name in it meets a name of ours, and the text, empty for null."""
+    """``(row, body)``: the text, and all other columns as one struct, so that no name in it meets a name of ours."""
     ship_package(df.sparkSession)
-    return df.select(F.struct(*df.columns).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+    others = [c for c in df.columns if c != text_col or df.schema[c].dataType != T.StringType()]
+    return df.select(F.struct(*others or [F.lit(0).alias("nothing")]).alias("row"), F.col(text_col).cast("string").alias("body"))
+
+
+def columns_of(df: DataFrame, text_col: str, but: tuple[str, ...] = (), text: str = "body") -> list[Column]:
+    """The columns of ``df`` from a table that kept its ``row``; the text from the column ``text``."""
+    return [(F.col(text) if c == text_col and (text != "body" or df.schema[c].dataType == T.StringType()) else F.col("row")[c]).alias(c) for c in df.columns if c not in but]
 
 
 def _slot(key: Column, bits: int) -> Column:

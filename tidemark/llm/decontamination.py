@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import drop_stored, store, table, whole_rows
+from tidemark.llm.common import columns_of, drop_stored, store, table, whole_rows
 from tidemark.llm.tokens import slices
 
 WINDOW, LEAST_FIXED, COVERAGE = 8, 4, 0.5
@@ -185,7 +185,7 @@ class Benchmark:
 
 
 def _judged(rows: DataFrame, benchmark: DataFrame, item_col: str, coverage: float) -> DataFrame:
-    """``rows (row, body)`` as ``(row, items, item, coverage, changed)``.  Each block of the benchmark but the last ends in a written table."""
+    """``rows (row, body)`` with ``items, item, coverage, changed``.  Each block of the benchmark but the last ends in a written table."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body")).where("item is not null")
     n_bytes = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = 1 + n_bytes // BLOCK_BYTES
@@ -201,7 +201,7 @@ def _judged(rows: DataFrame, benchmark: DataFrame, item_col: str, coverage: floa
             out = store(out, "judged")
         if block > 0 and block < blocks - 1:
             drop_stored(before)
-    return out.drop("body")
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
@@ -212,12 +212,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """
     results = ("items", "item", "coverage", "changed")
     out = _judged(whole_rows(docs, text_col), benchmark, item_col, coverage)
-    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in {f"dc_{r}" for r in results}], *[F.col(r).alias(f"dc_{r}") for r in results])
+    return out.select(*columns_of(docs, text_col, tuple(f"dc_{r}" for r in results)), *[F.col(r).alias(f"dc_{r}") for r in results])
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
     """The input without the rows that a benchmark item contaminates; all columns stay."""
-    return _judged(whole_rows(docs, text_col), benchmark, item_col, coverage).where(F.size("items") == 0).select("row.*")
+    return _judged(whole_rows(docs, text_col), benchmark, item_col, coverage).where(F.size("items") == 0).select(*columns_of(docs, text_col))
 
 
 def _matcher(held: list[tuple[int, str]], coverage: float):
@@ -225,7 +225,7 @@ def _matcher(held: list[tuple[int, str]], coverage: float):
         index, templates = Benchmark(held), Templates()
         for batch in batches:
             for some in slices(batch, "body", 1 << 21):
-                found = index.matches(templates, some["body"])
+                found = index.matches(templates, pc.fill_null(some["body"], ""))
                 columns = [some[c].to_pylist() for c in ("items", "item", "coverage", "changed")]  # of earlier blocks
                 for t, matches in found.items():
                     columns[0][t] = sorted({*columns[0][t], *(item for item, share, _ in matches if share >= coverage)})

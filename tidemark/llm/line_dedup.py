@@ -30,12 +30,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import KeyFilter, bits_of, store, table, whole_rows
+from tidemark.llm.common import KeyFilter, bits_of, columns_of, store, table, whole_rows
 from tidemark.llm.tokens import slices
 from tidemark.session import ship_package
 
@@ -193,7 +194,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for some in slices(batch, "body"):
             texts, exact, near = [], [], []
-            for text, gone, gone_near in zip(some["body"].to_pylist(), some["gone"].to_pylist(), some["late"].to_pylist(), strict=True):
+            for text, gone, gone_near in zip(pc.fill_null(some["body"], "").to_pylist(), some["gone"].to_pylist(), some["late"].to_pylist(), strict=True):
                 gone, gone_near, seen, kept, n_exact, n_near = set(gone or ()), set(gone_near or ()), set(), [], 0, 0
                 for raw in text.split("\n"):
                     line = raw.strip(" ")
@@ -211,14 +212,15 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                 n_near += 1
                                 continue
                     kept.append(raw)
-                texts.append("\n".join(kept) if n_exact + n_near else None)
+                texts.append("\n".join(kept) if n_exact + n_near else text)
                 exact.append(n_exact)
                 near.append(n_near)
-            yield pa.RecordBatch.from_arrays([some["row"], pa.array(texts, pa.string()), pa.array(exact, pa.int64()), pa.array(near, pa.int64())], names=["row", "text", "exact", "near"])
+            texts = pc.if_else(pc.is_null(some["body"]), pa.scalar(None, pa.string()), pa.array(texts, pa.string()))
+            yield pa.RecordBatch.from_arrays([some["row"], some["body"], texts, pa.array(exact, pa.int64()), pa.array(near, pa.int64())], names=["row", "body", "text", "exact", "near"])
 
 
 def _deduped(docs: DataFrame, id_col: str, text_col: str, min_near: int) -> DataFrame:
-    """``(row, text, exact, near)``: the input's rows with the text without repeated lines and the numbers of those."""
+    """``(row, body, text, exact, near)``: the input's rows with the text without repeated lines and the numbers of those."""
     ship_package(docs.sparkSession)
     gone = repeated_lines(docs, id_col, text_col, min_near)
     gone = gone.groupBy("id").agg(F.collect_set(F.when(~F.col("near"), F.col("key"))).alias("gone"), F.collect_set(F.when(F.col("near"), F.col("key"))).alias("late"))
@@ -227,23 +229,22 @@ def _deduped(docs: DataFrame, id_col: str, text_col: str, min_near: int) -> Data
     rows, touched = whole_rows(docs, text_col).withColumn("id", F.coalesce(F.col("row")[id_col].cast("long"), F.lit(LAST))), KeyFilter(gone, "id")
     same = touched.drop(rows, F.col("id")).select("row", "body", none.alias("gone"), none.alias("late"))
     other = touched.keep(rows, F.col("id")).join(gone, "id", "left").select("row", "body", "gone", "late")
-    fields = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("exact", T.LongType()), T.StructField("near", T.LongType())])
-    out = same.unionByName(other).mapInArrow(_without, fields)
-    return out.withColumn("text", F.coalesce("text", F.col("row")[text_col].cast("string")))
+    fields = T.StructType([rows.schema["row"], rows.schema["body"], T.StructField("text", T.StringType()), T.StructField("exact", T.LongType()), T.StructField("near", T.LongType())])
+    return same.unionByName(other).mapInArrow(_without, fields)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near: int = MIN_NEAR) -> DataFrame:
     """The input with ``ld_text``, the text without repeated lines, and ``ld_exact`` and ``ld_near``, their numbers."""
     results = {"ld_text": "text", "ld_exact": "exact", "ld_near": "near"}
     out = _deduped(docs, id_col, text_col, min_near)
-    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in results], *[F.col(c).alias(name) for name, c in results.items()])
+    return out.select(*columns_of(docs, text_col, tuple(results)), *[F.col(c).alias(name) for name, c in results.items()])
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input with repeated lines taken out; a document that loses all its lines goes.  All columns stay."""
     out = _deduped(docs, id_col, text_col, MIN_NEAR)
     emptied = (F.col("exact") + F.col("near") > 0) & (F.trim(F.regexp_replace("text", r"\s+", "")) == "")
-    return out.where(~emptied).select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    return out.where(~emptied).select(*columns_of(docs, text_col, text="text"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table, whole_rows
+from tidemark.llm.common import columns_of, table, whole_rows
 from tidemark.llm.tokens import slices
 from tidemark.session import ship_package
 
@@ -175,8 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
 
 
 def _scored(rows: DataFrame, model: AttentionModel | None) -> DataFrame:
-    """``rows (row, body)`` as ``(row, score)``."""
-    fields = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
+    """``rows (row, body)`` with ``score``."""
+    fields = T.StructType([rows.schema["row"], rows.schema["body"], T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,9 +184,9 @@ def _scored(rows: DataFrame, model: AttentionModel | None) -> DataFrame:
                 if model is None:
                     chance = np.full(some.num_rows, 0.5)
                 else:
-                    features, counts = passages(some["body"])
+                    features, counts = passages(pc.fill_null(some["body"], ""))
                     chance = model.forward(features.astype(np.float64), counts)["chance"]
-                yield pa.RecordBatch.from_arrays([some["row"], pa.array(chance)], names=["row", "score"])
+                yield pa.RecordBatch.from_arrays([some["row"], some["body"], pa.array(chance)], names=["row", "body", "score"])
 
     return rows.mapInArrow(score, fields)
 
@@ -194,13 +194,13 @@ def _scored(rows: DataFrame, model: AttentionModel | None) -> DataFrame:
 def quality_scores(docs: DataFrame, model: AttentionModel | None, text_col: str = "text") -> DataFrame:
     """The input with ``q_score double`` (which replaces a column of that name)."""
     scored = _scored(whole_rows(docs, text_col), model)
-    return scored.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "q_score"], F.col("score").alias("q_score"))
+    return scored.select(*columns_of(docs, text_col, ("q_score",)), F.col("score").alias("q_score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input without the documents that the classifier rejects; all columns stay."""
     scored = _scored(whole_rows(docs, text_col), train(docs, labels, id_col=id_col, text_col=text_col))
-    return scored.where(F.col("score") >= CUTOFF).select("row.*")
+    return scored.where(F.col("score") >= CUTOFF).select(*columns_of(docs, text_col))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

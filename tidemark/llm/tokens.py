@@ -160,7 +160,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22, keep: bool =
     """
     if not keep:
         _held.clear()
-    size = np.cumsum(pc.binary_length(batch[column]).to_numpy(zero_copy_only=False))
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False))
     lo = 0
     while lo < batch.num_rows:
         hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, side="right")))
