@@ -2,7 +2,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.compare import same
-from tidemark import catalog
+from tidemark import catalog, catalog_storage  # noqa: F401
 from tidemark.operators import topk
 
 FOLDER = "/root/testdata/sf0.001"

@@ -2,10 +2,12 @@ import threading
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.client import Client
 from tidemark.errors import DimensionMismatch, DistanceMetricConflict, IndexNotBuilt, InvalidRequest, NamespaceExists, NamespaceNotFound
 from tidemark.functions import names, vectors
+from tidemark.operators import ann
 from tidemark.operators.ann import AnnConfig
 from tidemark.plans import query as plans
 from tidemark.sources import log
@@ -270,3 +272,75 @@ def test_stream_equals_batch(client, spark, tmp_path):
     assert key(space) == key(same)
     ingest(records, space, str(tmp_path / "checkpoint"), interval=None).awaitTermination()  # nothing new
     assert len(space.manifest().wal) == 3
+
+
+def test_batcher(client):
+    space = client.create_namespace("batched")
+    with space.batcher(max_rows=3, max_age_ms=60_000) as batch:
+        batch.upsert([{"id": "a", "vector": [1.0, 0.0], "attributes": {"k": 1}}], timestamp=1)
+        batch.patch([{"id": "a", "attributes": {"k": 2}}], timestamp=1)
+        assert not space.manifest().wal
+        batch.upsert([{"id": "b", "vector": [0.0, 1.0]}], timestamp=1)
+        assert [w.records for w in space.manifest().wal] == [3] and not batch.held
+        batch.delete(["b"], timestamp=1)
+    assert [w.records for w in space.manifest().wal] == [3, 1]
+    assert space.get("a")["attributes"] == {"k": 2} and space.get("b") is None
+    aged = space.batcher(max_age_ms=0)
+    aged.upsert([{"id": "c", "vector": [1.0, 1.0]}])
+    sized = space.batcher(max_bytes=8, max_age_ms=60_000)
+    sized.upsert([{"id": "d", "vector": [1.0, 1.0]}])
+    assert len(space.manifest().wal) == 4 and aged.flush() == 0
+    with pytest.raises(InvalidRequest):
+        aged.upsert([{"id": "e"}])
+
+
+def test_batches_of_a_stream_count_once(client, spark):
+    space = client.create_namespace("numbered")
+    rows = spark.createDataFrame([(0, "U", (b"x", 1), [1.0], None, 5)], log.schema(log.RECORD))
+    assert [space.write_frame(rows, batch=("s", n)) for n in (0, 0, 1, 0)] == [1, 0, 1, 0]
+    assert space.write_frame(rows, batch=("t", 0)) == 1 and len(space.manifest().wal) == 3
+    assert space.metadata()["approx_row_count"] == 3 and Manifest.from_json(space.manifest().to_json()) == space.manifest()
+
+
+def test_round_trips_and_manifest_cache(client):
+    space = client.create_namespace("counted")
+    before = client.round_trips()
+    space.upsert([{"id": 1, "vector": [1.0]}])
+    wrote = {k: v - before.get(k, 0) for k, v in client.round_trips().items()}
+    assert wrote["put"] == 1 and wrote.get("get", 0) <= 1
+    before = client.round_trips()
+    for _ in range(3):
+        space.manifest()
+    assert client.round_trips().get("get", 0) - before.get("get", 0) <= 1
+
+
+def test_lookup_reads_one_id(client, spark):
+    space = client.create_namespace("looked")
+    space.upsert([{"id": i, "vector": [float(i), 1.0]} for i in range(300)], timestamp=1)
+    space.compact(force=True)
+    space.delete([7], timestamp=2)
+    space.patch([{"id": 8, "attributes": {"k": "v"}}], timestamp=2)
+    assert space.get(7) is None and space.get(8)["attributes"] == {"k": "v"} and space.get(9)["id"] == "9" and space.get(1000) is None
+    plan = plans.lookup(spark, client.files, space.manifest(), (9).to_bytes(8, "little"), 2)._jdf.queryExecution().toString()
+    assert plan.count("EqualTo(id.bytes") >= 2  # pushed into the scans of the postings and of the log
+
+
+def test_contains_and_count(client, spark):
+    space = client.create_namespace("held")
+    space.upsert([{"id": i, "vector": [float(i), 1.0]} for i in range(40)])
+    space.compact(force=True)
+    held = plans.read_snapshot(spark, client.files, space.manifest())
+    wanted = spark.createDataFrame([((int(i).to_bytes(8, "little"), 2),) for i in (3, 39, 40)], "id struct<bytes:binary,id_type:tinyint>")
+    assert sorted((int.from_bytes(r.id.bytes, "little"), r.held) for r in ann.contains(held.postings, wanted).collect()) == [(3, True), (39, True), (40, False)]
+    assert ann.count(held.centroids) == 40
+
+
+def test_each_split_has_its_own_neighbours(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, [float(x), float(y)], p) for p in range(12) for k, (x, y) in enumerate(rng.normal((10 * p, 0), 1, (30, 2)), 100 * p)]
+    postings = spark.createDataFrame(rows, "id long, vector array<float>, posting_id int").withColumn("posting_id", F.when((F.col("posting_id") == 1) & (F.col("id") % 2 == 0), 0).when((F.col("posting_id") == 10) & (F.col("id") % 2 == 0), 11).otherwise(F.col("posting_id")).cast("int"))
+    config = AnnConfig(max_posting_size=200, min_posting_size=1, neighbor_fanout=1, gain=0.01)
+    moves = ann.lire_moves(postings, ann.means(postings), [(1, 20), (9, 21)], config, vectors.EUCLIDEAN)
+    assert {r.posting_id for r in moves.collect()} <= {0, 2, 8, 10}
+    both = ann.lire_moves(postings, ann.means(postings), [(1,), (10,)], config, vectors.EUCLIDEAN).select("posting_id").distinct().collect()
+    assert {r.posting_id for r in both} == {0, 11}

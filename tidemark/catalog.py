@@ -67,32 +67,6 @@ def knn_l2sq_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk(embedded(spark, sf_dir), query_vector(spark, sf_dir), 10, vectors.EUCLIDEAN).select("id", "dist")
 
 
-@register("""
-with q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id < 20),
-d as (select query_id, vec_id as id, 1 - list_dot_product(embedding::double[], q) as dist from embeddings, q)
-select query_id, id, dist, rank from (
-    select *, cast(row_number() over (partition by query_id order by dist, id) as integer) as rank from d
-) where rank <= 5
-""")
-def knn_batch_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = embedded(spark, sf_dir)
-    queries = rows.where("id < 20").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-    return topk.batch_topk(rows, queries, 5)
-
-
-@register(f"""
-with q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id < 10),
-d as (select query_id, vec_id as id, {_EUCLIDEAN} as dist from embeddings, q)
-select query_id, id, dist, rank from (
-    select *, cast(row_number() over (partition by query_id order by dist, id) as integer) as rank from d
-) where rank <= 7
-""")
-def knn_batch_l2sq_top7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = embedded(spark, sf_dir)
-    queries = rows.where("id < 10").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-    return topk.batch_topk(rows, queries, 7, vectors.EUCLIDEAN)
-
-
 @register("""
 with q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 50 = 0),
 d as (select query_id, vec_id as id, 1 - list_dot_product(embedding::double[], q) as dist from embeddings, q)
@@ -101,7 +75,7 @@ select query_id, id, dist, rank from (
 ) where rank <= 5
 """)
 def knn_batch_top5_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``knn_batch_top5``, for every row whose id is divisible by 50."""
+    """For every row whose id is divisible by 50."""
     rows = embedded(spark, sf_dir)
     queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
     return topk.batch_topk(rows, queries, 5)
@@ -115,7 +89,7 @@ select query_id, id, dist, rank from (
 ) where rank <= 7
 """)
 def knn_batch_l2sq_top7_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``knn_batch_l2sq_top7``, for every row whose id is divisible by 50."""
+    """For every row whose id is divisible by 50."""
     rows = embedded(spark, sf_dir)
     queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
     return topk.batch_topk(rows, queries, 7, vectors.EUCLIDEAN)
@@ -204,29 +178,13 @@ def inverted_filter_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inverted.matching(inverted.build(event_rows(spark, sf_dir)), {"event_type": "click", "nothing": "1"})
 
 
-@register("""
-with h as (select *, event_id % 2 as half from events),
-old as (select event_id, event_type as key from h where half = 0),
-kept as (select * from old where event_id % 10 <> 0),
-new as (select event_id, event_type || '!' as key from h where half = 0 and event_id % 10 = 0 and event_id % 20 <> 0)
-select 'event_type' as field, key, count(*) as n from (select * from kept union all select * from new) group by key
-""")
-def inverted_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read(spark, sf_dir, "events").where("event_id % 2 = 0")
-    base = inverted.build(events.select(F.col("event_id").alias("id"), attrs.keyed(events, ["event_type"]).alias("attributes")))
-    touched = events.where("event_id % 10 = 0").withColumn("event_type", F.concat("event_type", F.lit("!")))
-    live = touched.where("event_id % 20 <> 0")
-    live = live.select(F.col("event_id").alias("id"), attrs.keyed(live, ["event_type"]).alias("attributes"))
-    return inverted.postings(inverted.maintain(base, touched.select(F.col("event_id").alias("id")), live))
-
-
 @register("""
 with kept as (select event_id, event_type as key from events where event_id % 10 <> 0),
 new as (select event_id, event_type || '!' as key from events where event_id % 10 = 0 and event_id % 20 <> 0)
 select 'event_type' as field, key, count(*) as n from (select * from kept union all select * from new) group by key
 """)
 def inverted_maintenance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``inverted_maintenance``, over all events; ``event_id`` only chooses which rows are touched and which of them live."""
+    """Over all events; ``event_id`` only chooses which rows are touched and which of them live."""
     events = read(spark, sf_dir, "events")
     base = inverted.build(events.select(F.col("event_id").alias("id"), attrs.keyed(events, ["event_type"]).alias("attributes")))
     touched = events.where("event_id % 10 = 0").withColumn("event_type", F.concat("event_type", F.lit("!")))
@@ -326,17 +284,6 @@ def wal_scan_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_log(spark, sf_dir).orderBy(F.desc("wal_seq"), F.desc("offset")).limit(100).select("wal_seq", "id", "op")
 
 
-@register(f"""
-with {_LOG},
-live as (select distinct id from log where op = 'U' and seq % 2 = 0), dead as (select distinct id from log where op = 'D')
-select 'touched' as kind, count(*) as n from (select id from live union select id from dead)
-union all select 'deleted', count(*) from (select id from dead except select id from live)
-union all select 'both', count(*) from (select id from dead intersect select id from live)
-""")
-def touched_and_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kinds(event_log(spark, sf_dir), "op = 'U' and wal_seq % 2 = 0")
-
-
 def _kinds(log: DataFrame, upserts: str) -> DataFrame:
     live, dead = log.where(upserts).select("id"), log.where("op = 'D'").select("id")
 
@@ -354,7 +301,7 @@ union all select 'deleted', count(*) from (select id from dead except select id
 union all select 'both', count(*) from (select id from dead intersect select id from live)
 """)
 def touched_and_deleted_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``touched_and_deleted``, with all upserts of the log."""
+    """With all upserts of the log."""
     return _kinds(event_log(spark, sf_dir), "op = 'U'")
 
 
@@ -395,33 +342,15 @@ def merge_newest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(merge.newest_wins(base, tail))
 
 
-@register(_BASE + " select id, timestamp, src, -1::bigint as pat from base where not exists (select 1 from dead where dead.id = base.id and del_ts >= timestamp)")
-def mask_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, _, dead, _ = _halves(spark, sf_dir)
-    return _shown(merge.mask_tombstones(base, dead))
-
-
 @register(_BASE + " select base.id, case when pend_ts >= timestamp then pend_ts else timestamp end as timestamp, src, case when pend_ts >= timestamp then pat else -1 end as pat from base left join late on late.id = base.id")
 def overlay_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, _, _, late = _halves(spark, sf_dir)
     return _shown(merge.overlay_patches(base, late))
 
 
-@register(_BASE + """
-, b as (select base.id, case when pend_ts >= timestamp then pend_ts else timestamp end as timestamp, src, case when pend_ts >= timestamp then pat else -1 end as pat
-    from base left join late on late.id = base.id where not exists (select 1 from dead where dead.id = base.id and del_ts >= base.timestamp)),
-u as (select *, 1 as o from b union all select id, timestamp, src, -1, 0 from tail)
-select id, timestamp, src, pat from (select *, row_number() over (partition by id order by timestamp desc, o) as rn from u) where rn = 1
-""")
-def merge_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, tail, dead, late = _halves(spark, sf_dir)
-    state = tail.join(dead, "id", "full_outer").join(late, "id", "full_outer")
-    return _shown(merge.merge(base, state))
-
-
 @register(_WHOLE + " select id, timestamp, src, -1::bigint as pat from base where not exists (select 1 from dead where dead.id = base.id and del_ts >= timestamp)")
 def mask_tombstones_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``mask_tombstones``, with every delete of the tail."""
+    """With every delete of the tail."""
     base, _, dead, _ = _halves(spark, sf_dir, "op = 'D'", (19, 20))
     return _shown(merge.mask_tombstones(base, dead))
 
@@ -433,7 +362,7 @@ u as (select *, 1 as o from b union all select id, timestamp, src, -1, 0 from ta
 select id, timestamp, src, pat from (select *, row_number() over (partition by id order by timestamp desc, o) as rn from u) where rn = 1
 """)
 def merge_on_read_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``merge_on_read``, with every delete of the tail."""
+    """With every delete of the tail."""
     base, tail, dead, late = _halves(spark, sf_dir, "op = 'D'", (19, 20))
     state = tail.join(dead, "id", "full_outer").join(late, "id", "full_outer")
     return _shown(merge.merge(base, state))
@@ -520,7 +449,7 @@ where best.target <> best.posting_id and case when cur <> 0 then (cur - best.d)
 """)
 def lire_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     postings = _postings(spark, sf_dir)
-    moves = ann.lire_moves(postings, ann.means(postings), [0, 1], _LIRE)
+    moves = ann.lire_moves(postings, ann.means(postings), [(0, 1)], _LIRE)
     return moves.select("id", "posting_id", "target", F.round("cur", 9).alias("cur"), F.round("tgt", 9).alias("tgt"))
 
 
@@ -537,11 +466,11 @@ def two_means_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _postings(spark, sf_dir).select("posting_id", "id", "vector").groupBy("posting_id").applyInArrow(split, "posting_id int, id long, half int")
 
 
-@register()
+@register("select count(*) as rows, true as within from embeddings")
 def ann_build_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A built index: no posting above its limit, and every row in one posting."""
-    postings, _ = ann.build(embedded(spark, sf_dir).select("id", "vector"), ann.AnnConfig(max_posting_size=100))
-    return ann.posting_sizes(postings)
+    postings, _ = ann.build(embedded(spark, sf_dir).select("id", "vector"), ann.AnnConfig(max_posting_size=100), settle=settled)
+    return ann.posting_sizes(postings).agg(F.sum("n").alias("rows"), (F.max("n") <= 100).alias("within"))
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from tidemark.plans import compact as compaction
 from tidemark.plans import query as plans
 from tidemark.session import ship_package
 from tidemark.sources import log
-from tidemark.sources.files import open_files
+from tidemark.sources.files import Counted, open_files
 from tidemark.sources.manifest import Manifest, Manifests, WalFile
 
 MAX_TOP_K, DEFAULT_TOP_K = 1000, 10
@@ -31,7 +31,8 @@ class Client:
     """All namespaces under one folder."""
 
     def __init__(self, spark: SparkSession, root: str, config: ann.AnnConfig = ann.AnnConfig(), max_top_k: int = MAX_TOP_K, auto_compact: bool = False):
-        self.spark, self.files, self.config, self.max_top_k, self.auto_compact = spark, open_files(spark, root), config, max_top_k, auto_compact
+        self.files = Counted(open_files(spark, root))
+        self.spark, self.config, self.max_top_k, self.auto_compact = spark, config, max_top_k, auto_compact
         ship_package(spark)
         self.snapshots = plans.SnapshotCache(spark, self.files)
 
@@ -47,6 +48,10 @@ class Client:
         space.manifest()
         return space
 
+    def round_trips(self) -> dict[str, int]:
+        """Requests to the store so far, by kind; Spark's own reads and writes of tables are not among them."""
+        return dict(self.files.counts)
+
     def namespaces(self) -> list[str]:
         return [n for n in self.files.list("") if self.files.list(f"{n}/manifest")]
 
@@ -66,41 +71,43 @@ class Namespace:
         if not rows:
             raise InvalidRequest("no rows")
         now = _now(timestamp)
-        records = []
-        for k, row in enumerate(rows):
-            vector = [float(x) for x in row.get("vector") or ()]
-            if not vector:
-                raise InvalidRequest("a row needs a vector")
-            records.append((k, UPSERT, ids.encode(row["id"]), vector, _attributes(row.get("attributes")), now))
-        return self._write(self._records(records), metric)
+        return self._write(self._records(_upserts(rows, now)), metric)
 
     def delete(self, doc_ids: Sequence[Any], timestamp: int | None = None) -> int:
         """Tombstones; the count is of tombstones, not of matches."""
         if not doc_ids:
             raise InvalidRequest("no ids")
         now = _now(timestamp)
-        return self._write(self._records([(k, DELETE, ids.encode(i), None, None, now) for k, i in enumerate(doc_ids)]))
+        return self._write(self._records(_deletes(doc_ids, now)))
 
     def patch(self, rows: Sequence[Mapping[str, Any]], timestamp: int | None = None) -> int:
         """Attributes ``{"id", "attributes"}`` laid over those of a row; vectors can't be patched."""
         if not rows:
             raise InvalidRequest("no rows")
-        if any("vector" in row for row in rows):
-            raise InvalidRequest("a patch has no vector")
         now = _now(timestamp)
-        return self._write(self._records([(k, PATCH, ids.encode(r["id"]), None, _attributes(r.get("attributes")), now) for k, r in enumerate(rows)]))
+        return self._write(self._records(_patches(rows, now)))
+
+    def write_frame(self, records: DataFrame, metric: str | None = None, batch: tuple[str, int] | None = None) -> int:
+        """A table of log records (see ``sources.log.RECORD``): the way in for large loads and for streams.
+
+        ``batch`` names a stream and the number of its batch: the number is part of the commit, so a batch
+        that was committed before is not written again, and 0 is returned.
+        """
+        return self._write(records.select(*[f.name for f in log.schema(log.RECORD)]), metric, batch)
 
-    def write_frame(self, records: DataFrame, metric: str | None = None) -> int:
-        """A table of log records (see ``sources.log.RECORD``): the way in for large loads and for streams."""
-        return self._write(records.select(*[f.name for f in log.schema(log.RECORD)]), metric)
+    def batcher(self, **limits: int) -> Batcher:
+        """A buffer of writes that become one commit."""
+        return Batcher(self, **limits)
 
     def _records(self, records: list[tuple]) -> DataFrame:
-        return self.spark.createDataFrame(records, log.schema(log.RECORD))
+        return self.spark.createDataFrame([(k, *r) for k, r in enumerate(records)], log.schema(log.RECORD))
 
-    def _write(self, records: DataFrame, metric: str | None = None) -> int:
+    def _write(self, records: DataFrame, metric: str | None = None, batch: tuple[str, int] | None = None) -> int:
         if metric is not None and metric not in vectors.METRICS:
             raise InvalidRequest(f"unknown metric {metric!r}")
         base = self.manifest()
+        if batch and dict(base.streams).get(batch[0], -1) >= batch[1]:
+            return 0
         wanted = metric or base.metric
         _check_metric(base, metric)
         if wanted == vectors.COSINE:
@@ -117,15 +124,20 @@ class Namespace:
 
         def add(now: Manifest) -> Manifest:
             _check_metric(now, metric)
+            if batch and dict(now.streams).get(batch[0], -1) >= batch[1]:
+                raise _Committed
             if seen["low"] is not None and now.dimensions not in (None, seen["low"]):
                 raise DimensionMismatch(f"{self.name} holds {now.dimensions} dimensions, not {seen['low']}")
             if wanted != (metric or now.metric):
                 raise DistanceMetricConflict("the metric changed while this was written")
             file = WalFile(now.next_seq, key, seen["n"], size)
-            return with_values(now, wal=(*now.wal, file), next_seq=now.next_seq + 1, approx_rows=now.approx_rows + seen["upserts"], dimensions=now.dimensions if seen["low"] is None else seen["low"], metric=wanted)
+            return with_values(now, wal=(*now.wal, file), next_seq=now.next_seq + 1, approx_rows=now.approx_rows + seen["upserts"], dimensions=now.dimensions if seen["low"] is None else seen["low"], metric=wanted, streams=tuple(sorted((dict(now.streams) | dict([batch])).items())) if batch else now.streams)
 
         try:
             manifest = self.manifests.commit(add)
+        except _Committed:
+            self.client.files.delete(key)
+            return 0
         except Exception:
             self.client.files.delete(key)
             raise
@@ -160,7 +172,7 @@ class Namespace:
     def get(self, doc_id: Any) -> dict[str, Any] | None:
         """One live row."""
         raw, kind = ids.encode(doc_id)
-        found = self.rows().where((F.col("id.bytes") == F.lit(raw)) & (F.col("id.id_type") == kind)).withColumn("dist", F.lit(None).cast("double"))
+        found = plans.lookup(self.spark, self.client.files, self.manifest(), raw, kind).withColumn("dist", F.lit(None).cast("double"))
         return next(iter(self.results(found)), None)
 
     def metadata(self) -> dict[str, Any]:
@@ -187,6 +199,76 @@ class Namespace:
         return compaction.sweep(self.client.files, self.manifests)
 
 
+class Batcher:
+    """Writes of one namespace, committed together in their order: by number, bytes of vectors and attributes, or age.
+
+    Ages are looked at with each write and by ``poll``; leaving the ``with`` block commits what is left.
+    """
+
+    def __init__(self, space: Namespace, max_rows: int = 1000, max_bytes: int = 8 << 20, max_age_ms: int = 200):
+        self.space, self.max_rows, self.max_bytes, self.max_age_ms = space, max_rows, max_bytes, max_age_ms
+        self.held: list[tuple] = []
+        self.bytes, self.since = 0, 0.0
+
+    def upsert(self, rows: Sequence[Mapping[str, Any]], timestamp: int | None = None) -> None:
+        self._hold(_upserts(rows, _now(timestamp)))
+
+    def delete(self, doc_ids: Sequence[Any], timestamp: int | None = None) -> None:
+        self._hold(_deletes(doc_ids, _now(timestamp)))
+
+    def patch(self, rows: Sequence[Mapping[str, Any]], timestamp: int | None = None) -> None:
+        self._hold(_patches(rows, _now(timestamp)))
+
+    def _hold(self, records: list[tuple]) -> None:
+        self.since = self.since if self.held else time.monotonic()
+        self.held += records
+        self.bytes += sum(len(i[0]) + 4 * len(vector or ()) + sum(len(x["json"]) for x in (attributes or {}).values()) for _, i, vector, attributes, _ in records)
+        self.poll()
+
+    def poll(self) -> int:
+        """Commits if a limit is reached; the number of records committed."""
+        old = self.held and (time.monotonic() - self.since) * 1000 >= self.max_age_ms
+        return self.flush() if len(self.held) >= self.max_rows or self.bytes >= self.max_bytes or old else 0
+
+    def flush(self) -> int:
+        if not self.held:
+            return 0
+        n = self.space._write(self.space._records(self.held))
+        self.held, self.bytes = [], 0
+        return n
+
+    def __enter__(self) -> Batcher:
+        return self
+
+    def __exit__(self, kind: type | None, *_: object) -> None:
+        if kind is None:
+            self.flush()
+
+
+class _Committed(Exception):
+    """A stream's batch is in the manifest already."""
+
+
+def _upserts(rows: Sequence[Mapping[str, Any]], now: int) -> list[tuple]:
+    out = []
+    for row in rows:
+        vector = [float(x) for x in row.get("vector") or ()]
+        if not vector:
+            raise InvalidRequest("a row needs a vector")
+        out.append((UPSERT, ids.encode(row["id"]), vector, _attributes(row.get("attributes")), now))
+    return out
+
+
+def _deletes(doc_ids: Sequence[Any], now: int) -> list[tuple]:
+    return [(DELETE, ids.encode(i), None, None, now) for i in doc_ids]
+
+
+def _patches(rows: Sequence[Mapping[str, Any]], now: int) -> list[tuple]:
+    if any("vector" in row for row in rows):
+        raise InvalidRequest("a patch has no vector")
+    return [(PATCH, ids.encode(r["id"]), None, _attributes(r.get("attributes")), now) for r in rows]
+
+
 def _now(timestamp: int | None) -> int:
     return int(time.time() * 1000) if timestamp is None else timestamp
 

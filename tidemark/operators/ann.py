@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.vectors import COSINE, EUCLIDEAN, distance, literal, wide
+from tidemark.functions.vectors import COSINE, EUCLIDEAN, wide
 from tidemark.operators.topk import batch_topk, topk
 
 #: Centroids that are shipped to every task; above this a two-level build is needed: 100,000 x 128 dimensions is 100 MB.
@@ -126,31 +126,47 @@ def split_oversize(postings: DataFrame, config: AnnConfig, first_new_id: int) ->
     return postings.where(~F.col("posting_id").isin(large)).unionByName(changed.select(*names)), pairs
 
 
-def lire_moves(postings: DataFrame, centroids: DataFrame, targets: Sequence[int], config: AnnConfig, metric: str = COSINE) -> DataFrame:
-    """Rows of the neighbours of split postings that a target posting suits better: ``(id, posting_id, target, cur, tgt)``.
+def lire_moves(postings: DataFrame, centroids: DataFrame, splits: Sequence[Sequence[int]], config: AnnConfig, metric: str = COSINE) -> DataFrame:
+    """Rows of the neighbours of split postings that another of them suits better: ``(id, posting_id, target, cur, tgt)``.
 
-    A row moves if its distance falls by at least the gain, the target has room (80 % of the limit) and its
-    own posting stays above the minimum by more than one row.
+    Each split, the postings that came of one, has its own nearest neighbours.  A row moves if its distance
+    falls by at least the gain, the target has room (80 % of the limit) and its own posting stays above the
+    minimum by more than one row.
     """
-    held = {r["posting_id"]: (r["centroid"], r["n"]) for r in centroids.collect()}  # centroids are bounded
-    split = [t for t in targets if t in held]
-    if not split:
-        return postings.limit(0).select("id", "posting_id", F.col("posting_id").alias("target"), F.lit(0.0).alias("cur"), F.lit(0.0).alias("tgt"))
-    metric_of = lambda a, b: float(_distances(np.array([a]), np.array([b]), metric)[0, 0])
-    near = sorted((min(metric_of(c, held[t][0]) for t in split), p) for p, (c, _) in held.items() if p not in split)[: config.neighbor_fanout]
-    neighbours = [p for _, p in near]
-    options = [*split, *neighbours]
-    rows = postings.where(F.col("posting_id").isin(neighbours)) if neighbours else postings.limit(0)
-
-    def expr(p: int) -> Column:
-        return distance(metric, F.col("vector"), literal(held[p][0]))
-
-    choices = F.array(*[F.struct(expr(p).alias("d"), F.lit(p).cast("int").alias("p")) for p in options])
-    scored = rows.select("id", "posting_id", choices.alias("choices"))
-    own = F.element_at(F.filter("choices", lambda c: c["p"] == F.col("posting_id")), 1)["d"]
-    best = F.array_min("choices")
-    scored = scored.select("id", "posting_id", best["p"].alias("target"), own.alias("cur"), best["d"].alias("tgt"))
-    size = F.create_map(*[F.lit(x) for p in options for x in (p, held[p][1])])
+    held, matrix = _matrix(centroids)
+    sizes = {r["posting_id"]: r["n"] for r in centroids.select("posting_id", "n").collect()}  # MAX_CENTROIDS at most
+    at = {p: k for k, p in enumerate(held)}
+    split = [p for group in splits for p in group if p in at]
+    fields = T.StructType([postings.schema["id"], postings.schema["posting_id"], T.StructField("target", T.IntegerType()), T.StructField("cur", T.DoubleType()), T.StructField("tgt", T.DoubleType())])
+    others = [p for p in held if p not in set(split)]
+    neighbours: set[int] = set()
+    for group in splits:
+        own = [at[p] for p in group if p in at]
+        if own and others:
+            gap = _distances(matrix[own], matrix[[at[p] for p in others]], metric).min(axis=0)
+            neighbours.update(others[k] for k in np.lexsort((others, gap))[: config.neighbor_fanout].tolist())
+    options = sorted({*split, *neighbours})
+    rows = postings.where(F.col("posting_id").isin(sorted(neighbours))) if split and neighbours else postings.limit(0)
+    choices = matrix[[at[p] for p in options]] if options else np.zeros((0, 0))
+    step = max(1, (1 << 21) // max(1, len(options)))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(options)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                some = batch.slice(lo, step)
+                x = some["vector"].flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1)
+                dist = _distances(x, choices, metric)
+                first, line = dist.argmin(axis=1), np.arange(some.num_rows)  # of equal ones the smallest id
+                own = np.searchsorted(names, some["posting_id"].to_numpy())
+                columns = [some["id"], some["posting_id"], pa.array(names[first].astype(np.int32)), pa.array(dist[line, own]), pa.array(dist[line, first])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "posting_id", "target", "cur", "tgt"])
+
+    wide_rows = rows.select("id", "posting_id", F.col("vector").cast("array<double>").alias("vector"))
+    scored = wide_rows.mapInArrow(best, fields)
+    if not options:
+        return scored
+    size = F.create_map(*[F.lit(x) for p in options for x in (p, sizes[p])])
     ok = move_guard(F.col("cur"), F.col("tgt"), F.element_at(size, F.col("target")), F.element_at(size, F.col("posting_id")), config)
     return scored.where((F.col("target") != F.col("posting_id")) & ok)
 
@@ -181,7 +197,7 @@ def settle_sizes(postings: DataFrame, config: AnnConfig, metric: str, settle: Ca
             return postings, settle(means(postings))
         postings = settle(postings)
         centroids = means(postings)
-        moves = lire_moves(postings, centroids, [p for pair in pairs for p in pair], config, metric).select("id", "target")
+        moves = lire_moves(postings, centroids, pairs, config, metric).select("id", "target")
         postings = settle(postings.join(moves, "id", "left").withColumn("posting_id", F.coalesce("target", "posting_id")).select(*postings.columns))
 
 
@@ -194,6 +210,16 @@ def update(postings: DataFrame, centroids: DataFrame, removed: DataFrame, added:
     return settle_sizes(settle(kept.unionByName(placed.select(*kept.columns))), config, metric, settle)
 
 
+def contains(postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted (id)`` with ``held boolean``: whether the index has the id."""
+    return wanted.select("id").distinct().join(postings.select("id", F.lit(True).alias("held")), "id", "left").select("id", F.coalesce("held", F.lit(False)).alias("held"))
+
+
+def count(centroids: DataFrame) -> int:
+    """Rows of the index, from the counts that its centroids carry."""
+    return centroids.agg(F.sum("n")).first()[0] or 0
+
+
 def probe_ids(centroids: DataFrame, query: Sequence[float], fanout: int, metric: str = COSINE) -> list[int]:
     """Ids of the nearest postings."""
     return [r["posting_id"] for r in topk(centroids, query, fanout, metric, "posting_id", "centroid").collect()]

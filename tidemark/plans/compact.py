@@ -51,7 +51,8 @@ def compact(spark: SparkSession, files: LocalFiles | HadoopFiles, manifests: Man
         index = inverted.maintain(snapshot.inverted, touched, changed, manifest.index_attributes)
     _write(postings.repartitionByRange("posting_id").sortWithinPartitions("posting_id"), f"{at}/postings")
     _write(centroids, f"{at}/centroids")
-    _write(index.repartitionByRange("field", "key").sortWithinPartitions("field", "key").select("key", "id", "field"), f"{at}/inverted")
+    # the id is part of the range, so a value that very many rows have is spread over files
+    _write(index.repartitionByRange("field", "key", "id").sortWithinPartitions("field", "key", "id").select("key", "id", "field"), f"{at}/inverted")
     rows = spark.read.parquet(f"{at}/postings").agg(F.count(F.lit(1))).first()[0]
     fanouts = measured_fanouts(spark.read.schema(postings.schema).parquet(f"{at}/postings"), spark.read.schema(centroids.schema).parquet(f"{at}/centroids"), rows, manifest.metric, settle) if rows > EXACT_ROWS else ()
     files.delete(f"{run}/work")

@@ -84,6 +84,14 @@ def live_rows(spark: SparkSession, files: LocalFiles | HadoopFiles, manifest: Ma
     return merge.merge(base, tail_state(spark, files, manifest)) if manifest.wal else base
 
 
+def lookup(spark: SparkSession, files: LocalFiles | HadoopFiles, manifest: Manifest, raw: bytes, id_type: int) -> DataFrame:
+    """The live row of one id: the id is compared in the scans of the postings and of the log, so nothing else is merged."""
+    own = (F.col("id.bytes") == F.lit(raw)) & (F.col("id.id_type") == F.lit(id_type).cast("tinyint"))
+    snapshot = read_snapshot(spark, files, manifest)
+    base = snapshot.postings.where(own).drop("posting_id") if snapshot else empty(spark, ROW)
+    return merge.merge(base, replay(log.scan(spark, files, manifest.wal).where(own))) if manifest.wal else base
+
+
 def search(spark: SparkSession, files: LocalFiles | HadoopFiles, manifest: Manifest, query: Sequence[float], k: int, filters: Mapping[str, str] | None = None, config: ann.AnnConfig = ann.AnnConfig(), exact: bool = False, cache: SnapshotCache | None = None) -> DataFrame:
     """The nearest live rows ``(id, vector, attributes, timestamp, dist)``.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import shutil
 import uuid
+from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -105,5 +106,35 @@ class HadoopFiles:
         return self.fs.getContentSummary(where).getLength() if self.fs.exists(where) else 0
 
 
+class Counted:
+    """A store that counts its requests by kind."""
+
+    def __init__(self, files: LocalFiles | HadoopFiles):
+        self.files, self.counts = files, Counter()
+
+    def path(self, key: str) -> str:
+        return self.files.path(key)
+
+    def get(self, key: str) -> bytes | None:
+        self.counts["get"] += 1
+        return self.files.get(key)
+
+    def put_new(self, key: str, data: bytes) -> None:
+        self.counts["put"] += 1
+        self.files.put_new(key, data)
+
+    def list(self, prefix: str) -> list[str]:
+        self.counts["list"] += 1
+        return self.files.list(prefix)
+
+    def delete(self, key: str) -> None:
+        self.counts["delete"] += 1
+        self.files.delete(key)
+
+    def size(self, key: str) -> int:
+        self.counts["size"] += 1
+        return self.files.size(key)
+
+
 def open_files(spark: SparkSession, root: str) -> LocalFiles | HadoopFiles:
     return LocalFiles(root) if root.startswith(("/", "file://")) else HadoopFiles(spark, root)

@@ -41,6 +41,7 @@ class Manifest:
     index_attributes: tuple[str, ...] = ()
     fanouts: tuple[tuple[int, int], ...] = ()  #: ``(k, postings to probe)`` as measured on the snapshot, k ascending
     retired: tuple[str, ...] = field(default=())  #: keys that the next sweep may delete
+    streams: tuple[tuple[str, int], ...] = ()  #: ``(stream, number of its last batch)`` of what streams have committed
 
     @property
     def pending_wal_files(self) -> int:
@@ -64,7 +65,7 @@ class Manifest:
     @staticmethod
     def from_json(raw: bytes) -> Manifest:
         values = json.loads(raw)
-        return Manifest(**values | {"wal": tuple(WalFile(**w) for w in values["wal"]), "index_attributes": tuple(values["index_attributes"]), "retired": tuple(values["retired"]), "fanouts": tuple(tuple(f) for f in values.get("fanouts", ()))})
+        return Manifest(**values | {"wal": tuple(WalFile(**w) for w in values["wal"]), "index_attributes": tuple(values["index_attributes"]), "retired": tuple(values["retired"]), "fanouts": tuple(tuple(f) for f in values.get("fanouts", ())), "streams": tuple(tuple(s) for s in values.get("streams", ()))})
 
 
 class Manifests:
@@ -72,6 +73,7 @@ class Manifests:
 
     def __init__(self, files: LocalFiles | HadoopFiles, namespace: str):
         self.files, self.namespace = files, namespace
+        self._read: tuple[str, Manifest] | None = None  #: the version read last; versions never change
 
     def _key(self, version: int) -> str:
         return f"{self.namespace}/manifest/v{version:012d}.json"
@@ -80,8 +82,9 @@ class Manifests:
         names = [n for n in self.files.list(f"{self.namespace}/manifest") if n.endswith(".json")]
         if not names:
             raise NamespaceNotFound(self.namespace)
-        raw = self.files.get(f"{self.namespace}/manifest/{names[-1]}")
-        return Manifest.from_json(raw)
+        if self._read is None or self._read[0] != names[-1]:
+            self._read = names[-1], Manifest.from_json(self.files.get(f"{self.namespace}/manifest/{names[-1]}"))
+        return self._read[1]
 
     def create(self, **values: object) -> Manifest:
         now = int(time.time())

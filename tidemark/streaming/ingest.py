@@ -1,7 +1,7 @@
 """Streaming ingest: micro-batches of log records are committed once each, in order.
 
 No watermark: no record is ever too late, the replay rules alone decide.  A batch that is tried again after
-a failure is recognized by its number, kept in the checkpoint folder beside the stream's own files.
+a failure is recognized by its number, which is part of the commit to the manifest.
 """
 
 from __future__ import annotations
@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemark.client import Namespace
-from tidemark.errors import CommitConflict
 from tidemark.sources import log
-from tidemark.sources.files import open_files
 
 
 def read_records(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -27,16 +25,9 @@ def ingest(records: DataFrame, namespace: Namespace, checkpoint: str, interval:
 
     Records keep the order of their ``offset`` within a batch; batches follow one another.
     """
-    files = open_files(namespace.spark, checkpoint)
-
     def commit(batch: DataFrame, number: int) -> None:
-        if files.get(f"committed/{number}") is not None or batch.isEmpty():
-            return
-        namespace.write_frame(batch)
-        try:
-            files.put_new(f"committed/{number}", b"done")
-        except CommitConflict:
-            pass  # another run of the same batch noted it
+        if not batch.isEmpty():
+            namespace.write_frame(batch, batch=(checkpoint, number))
         if compact_every and number % compact_every == compact_every - 1:
             namespace.compact()
 
