@@ -98,3 +98,50 @@ def test_ledger_scans_unseen_blobs_only(spark):
     assert {r.doc_id: r.n_assign for r in secrets.report(paths, grown).collect()} == {3: 1, 4: 1, 5: 0}
     _, both = secrets.update_ledger(new, grown, (1, 2))
     assert sorted(r.rule_version for r in both.collect()) == [1, 1, 1, 2, 2, 2]
+
+
+def test_index_of_batches(spark, odd_rows):
+    """Levels fill up and merge; a batch is answered through the filters, then by bytes."""
+    earlier = [(i, t) for i, t in odd_rows if i is not None]
+    index = exact_dedup.MergeIndex(fan_in=2)
+    assert index.lookup(frame(spark, earlier), frame(spark, earlier)).count() == 0
+    shape = []
+    for k in range(5):
+        index.add(frame(spark, earlier[k::5]))
+        shape.append([len(level) for level in index.levels])
+    assert shape == [[1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1]]
+    least = {}
+    for i, t in earlier:
+        least[t or ""] = min(i, least.get(t or "", i))
+    batch = [(5000, odd_rows[5][1]), (5001, "nobody has this text"), (5002, None), *[(6000 + k, f"new {k}") for k in range(300)]]
+    got = {tuple(r) for r in index.lookup(frame(spark, batch), frame(spark, earlier)).collect()}
+    assert got == {(5000, least[odd_rows[5][1]]), (5002, least[""])}
+    assert index.suspects(frame(spark, batch)).count() < 30  # the others meet no entry
+    whole = {(bytes(r.digest), r.keep_id, r.group_size) for r in exact_dedup.compact([exact_dedup.flush(frame(spark, earlier))], "min").collect()}
+    held = [t for t, _ in index.tables()]
+    assert {(bytes(r.digest), r.keep_id, r.group_size) for r in exact_dedup.compact(held, "min").collect()} == whole
+
+
+def test_index_verifies_bytes(spark):
+    weak = lambda text: F.sha2(text, 256).substr(1, 1).cast("binary")
+    index = exact_dedup.MergeIndex(weak)
+    earlier = frame(spark, [(1, "one")])
+    index.add(earlier)
+    batch = [(k, f"text {k}") for k in range(100, 200)] + [(7, "one")]
+    assert index.suspects(frame(spark, batch)).count() > 1
+    assert [tuple(r) for r in index.lookup(frame(spark, batch), earlier).collect()] == [(7, 1)]
+
+
+def test_ledger_kept_at_a_path(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    first = [(1, "token=abcdefgh"), (2, "clean"), (3, "-----BEGIN RSA PRIVATE KEY-----")]
+    second = [(4, "token=abcdefgh"), (5, "secret=12345678"), (6, "clean"), (5, "secret=12345678")]
+    rows = lambda df: {(r.doc_id, r.n_assign, r.spans) for r in df.collect()}
+    assert rows(secrets.scan_into(frame(spark, first), path, (1,))) == {(1, 1, "assign:0:14"), (2, 0, ""), (3, 0, "")}
+    size = lambda: sorted((r.rule_version, bytes(r.digest)) for r in spark.read.parquet(path).collect())
+    before = size()
+    assert len(before) == 3
+    assert rows(secrets.scan_into(frame(spark, second), path, (1,))) == {(4, 1, "assign:0:14"), (5, 1, "assign:0:15"), (6, 0, "")}
+    assert len(size()) == 4 and set(before) < set(size())  # one blob was new
+    again = rows(secrets.scan_into(frame(spark, first), path, (1, 2)))
+    assert again == {(1, 1, "assign:0:14"), (2, 0, ""), (3, 0, "pem:0:31")} and len(size()) == len(set(size())) == 7

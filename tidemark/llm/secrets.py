@@ -11,8 +11,10 @@ filter of bounded size finds them) are shuffled, to pick one text for each, with
 Spans come from ``split`` and ``regexp_extract_all`` on one pattern: their pieces alternate, so running
 lengths give code point offsets without leaving the JVM.
 
+``scan_into`` keeps the ledger at a path, so a later run scans what is new and no more.
+
 Defined results: a null text counts as empty; a text without findings has counts of 0, the digest of the
-empty string and an empty ``spans``; rows that repeat an id or a text each get their own result row; an
+empty string and an empty ``spans``; very long texts are scanned whole; ties have an order, that of the kinds; rows that repeat an id or a text each get their own result row; an
 empty table gives an empty result; other columns of the input are ignored.
 """
 
@@ -89,14 +91,17 @@ def addressed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("digest"), body.alias("body"))
 
 
-def unseen_blobs(versions: DataFrame, paths: DataFrame, ledger: DataFrame | None, version: int) -> DataFrame:
-    """One ``(digest, body)`` for each blob that the ledger lacks under this rule version."""
+def unseen_digests(paths: DataFrame, ledger: DataFrame, version: int) -> DataFrame:
+    """Digests that the ledger lacks under this rule version; only digests move."""
+    seen = ledger.where(F.col("rule_version") == version).select("digest")
+    return store(paths.select("digest").distinct().join(seen, "digest", "left_anti"), "unseen")
+
+
+def one_of_each_blob(blobs: DataFrame, paths: DataFrame) -> DataFrame:
+    """One ``(digest, body)`` for each blob; texts that occur once stay where they are."""
     counts = paths.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
     repeated = store(counts.where("n > 1").select("digest"), "repeated")
-    blobs = versions.select("digest", "body")
-    if ledger is not None:
-        seen = ledger.where(F.col("rule_version") == version).select("digest")
-        blobs = blobs.join(seen, "digest", "left_anti")
+    blobs = blobs.select("digest", "body")
     filter_ = KeyFilter(repeated, "digest")
     again = filter_.keep(blobs, F.col("digest")).groupBy("digest").agg(F.min("body").alias("body"))
     return filter_.drop(blobs, F.col("digest")).unionByName(again)
@@ -108,12 +113,34 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, versions: tu
     paths = store(texts.select("doc_id", "digest"), "paths")
     same = ledger is None  # nothing seen yet: one pass serves all versions
     if same:
-        blobs = unseen_blobs(texts, paths, None, versions[0])
+        blobs = one_of_each_blob(texts, paths)
         found = F.array(*[F.struct(F.lit(v).alias("rule_version"), F.flatten(F.array(*[spans_of(F.col("body"), r) for r in RULES[v]])).alias("found")) for v in versions])
         new = blobs.select("digest", F.inline(found))
         return paths, store(new, "ledger")
-    new = reduce(DataFrame.unionByName, [scan(unseen_blobs(texts, paths, ledger, v), v) for v in versions])
-    return paths, ledger.unionByName(store(new, "ledger"))
+    parts = []
+    for v in versions:
+        unseen = unseen_digests(paths, ledger, v)
+        # a filter of bounded size says which texts to scan; what it lets through besides is left out of the findings
+        some = one_of_each_blob(KeyFilter(unseen, "digest").keep(texts, F.col("digest")), paths)
+        parts.append(scan(some, v).join(unseen, "digest", "left_semi"))
+    return paths, ledger.unionByName(store(reduce(DataFrame.unionByName, parts), "ledger"))
+
+
+def scan_into(docs: DataFrame, ledger_path: str, versions: tuple[int, ...] = tuple(sorted(RULES)), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The report on ``docs`` with the ledger that is kept at a path, for any number of runs; new findings are added to it.
+
+    A run that ends before its findings are committed leaves the ledger as it was.
+    """
+    spark = docs.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{ledger_path}/_SUCCESS")
+    known = None
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        known = spark.read.parquet(ledger_path)
+    paths, grown = update_ledger(docs, known, versions, id_col, text_col)
+    old = None if known is None else known.select("digest", "rule_version")
+    new = grown if old is None else grown.join(old, ["digest", "rule_version"], "left_anti")
+    store(new, "added").write.mode("append").parquet(ledger_path)
+    return report(paths, spark.read.parquet(ledger_path).where(F.col("rule_version").isin(*versions)))
 
 
 def _is_kind(kind: str):
