@@ -380,6 +380,42 @@ def test_columns_with_the_names_of_ours_stay(spark, odd, odd_rows, nothing):
             assert all(r[name] == value for r in rows for name, value in own.items() if name not in names)
 
 
+def test_slots_of_spelled_numbers_and_long_or_opening_names(spark):
+    item = "Anna Karen Smith buys twelve red apples at the market and gives half of them to her old neighbour. Bob eats the twelve apples that lie on the table and then walks home"
+    texts = {
+        1: item.replace("Anna Karen Smith", "Otto Braun").replace("twelve", "forty-two").replace("Bob", "Maria"),
+        2: item.replace("Anna Karen Smith", "Otto").replace("twelve", "37"),
+        3: item.lower(), 4: item.upper(),
+        5: item.replace("twelve red", "nine hundred red"),  # the other twelve stays
+        6: "Clara walks home and eats at the market with her old neighbour and twelve red hens that lie on the table",
+    }
+    found = judged(spark, list(texts.items()), [(1, item)])
+    assert {i for i, r in found.items() if r.dc_items} == {1, 2, 3, 4}
+    assert found[1].dc_changed and found[1].dc_coverage == 1 and not found[3].dc_changed
+
+
+def test_recall_of_reparameterised_items(spark):
+    """Every item with numbers or names, with other ones put in consistently, in a random text; texts without items stay clean."""
+    rng = random.Random(9)
+    names, places = ["Anna", "Otto Braun", "Maria", "Chen Wei", "Priya"], ["Paris", "New Delhi", "Oslo", "Lima"]
+    templates = [
+        "{n} has {a} marbles and gives {b} of them to a friend who lives in {p} near the old bridge; how many marbles does {n} keep?",
+        "A train leaves {p} at {a} and travels {b} km in the morning before it stops; how far from {p} is it when it stops at noon?",
+        "When {n} was {a} years old the family moved to {p} and bought a house with {b} rooms; in which room did {n} sleep that year?",
+        "If a shop in {p} sells {a} loaves each day and bakes {b} more on Sundays, how many loaves does {n} have to bake in a week?",
+    ]
+    spelled = ["seven", "twelve", "twenty-one", "ninety"]
+    make = lambda t: t.format(n=rng.choice(names), p=rng.choice(places), a=(x := rng.sample(range(3, 90), 2))[0], b=rng.choice([x[1], rng.choice(spelled)]))
+    items = [(k, make(templates[k % 4])) for k in range(8)]
+    words = [f"w{k}" for k in range(300)]
+    filler = lambda: " ".join(rng.choice(words) for _ in range(40))
+    rows = [(k, f"{filler()}. {make(templates[k % 4])} {filler()}") for k in range(120)] + [(1000 + k, filler()) for k in range(80)]
+    found = judged(spark, rows, items)
+    caught = sum(bool(found[k].dc_items) for k in range(120))
+    assert caught >= 0.9 * 120 and not any(found[1000 + k].dc_items for k in range(80))
+    assert all(i % 4 == k % 4 for k in range(120) for i in found[k].dc_items)
+
+
 def test_short_items_match_word_for_word(spark):
     found = judged(spark, [(1, "he said one two and went"), (2, "one, then two"), (3, "In 1999 it fell"), (4, "Zug")], [(1, "One two"), (2, "1998"), (3, "zug"), (4, " ?! ")])
     assert {i: list(r.dc_items) for i, r in found.items() if r.dc_items} == {1: [1], 4: [3]}

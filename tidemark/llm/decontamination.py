@@ -1,13 +1,15 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are reduced to templates: edge marks and case go, numbers become a number slot, units a unit slot,
-and capitalised words inside a sentence a name slot.  Every window of ``WINDOW`` template words of a
-benchmark item is hashed; windows of every whole document are looked up in that table.  Hits are grouped by
+Words are reduced to templates: edge marks and case go, numbers, written in digits or words, become a number
+slot, units a unit slot, and capitalised words a name slot, except for common words that open a sentence.  Numbers
+or names in a row are one slot.  Every window of ``WINDOW`` template words of a benchmark item is hashed; windows
+of every whole document are looked up in that table.  Hits are grouped by
 item and alignment, compared word for word, and kept only if their slots are consistent: within an
 alignment each slot value of the item stands for one value in the document and the other way round.  So a
 question with other numbers and names is found, and text that fills the same template at random is not.
 Slot values are compared without case.  Windows with fewer than ``LEAST_FIXED`` words outside slots say too
-little as templates; they are looked up word for word, and count if their words are equal but for case.
+little as templates; they are looked up word for word, and count if their words are equal but for case.  A copy
+of a whole item, word for word but for case, always counts: names are not to be told in a text without capitals.
 
 A document is contaminated by an item if matched windows cover at least ``COVERAGE`` of the item's words.
 
@@ -43,6 +45,10 @@ BLOCK_BYTES = 1 << 25
 NUMBER, UNIT, NAME, NOTHING = 1, 2, 3, 0
 #: Fixed word list.
 UNITS = frozenset("kg g mg lb lbs oz km m cm mm mi mile miles meter meters metre metres ft feet inch inches l ml liter liters litre litres gallon gallons h hr hrs hour hours min minute minutes s sec second seconds day days week weeks month months year years usd eur gbp dollar dollars euro euros pound pounds cent cents percent % mph kmh kph c f k hz w kw v a".split())
+#: Fixed word list.
+NUMBERS = frozenset("zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
+#: Fixed word list: words that open a sentence and are no names.
+OPENERS = frozenset("a about after all also an and any are as at because before both but by calculate can choose compute consider could determine did do does each every explain find for from given has have he her here his how however i if in into is it its let many more most my no not now of on one only or other our over prove she should show since so solve some state such suppose than that the their them then there these they this those through to under until up use was we were what when where which while who whose why will with would write you your".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?(?:st|nd|rd|th)?")
 _EDGE = " \t\r\n.,;:!?\"'()[]{}<>|*#&@_=+/\\~`^$%-"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -56,18 +62,20 @@ class Templates:
         self.most = most
 
     def code(self, word: str) -> tuple[int, int, bool, int]:
-        """``(code, flags, ends a sentence, verbatim code)``; flags: 1 for a capitalised word."""
+        """``(code, flags, ends a sentence, verbatim code)``; flags: 1 for a capitalised word, 2 for one that often opens a sentence."""
         found = self.known.get(word)
         if found is None:
             core = word.strip(_EDGE)
             exact = xxhash.xxh64_intdigest(core.lower()) | 4
-            if _NUMBER.fullmatch(core):
+            parts = core.lower().split("-")
+            if _NUMBER.fullmatch(core) or all(p in NUMBERS or p == "one" and len(parts) > 1 for p in parts):
                 code = NUMBER
             elif core.lower() in UNITS:
                 code = UNIT
             else:
                 code = exact if core else NOTHING
-            found = self.known[word] = code, int(len(core) > 1 and core[0].isupper() and core[1:].islower()), word.rstrip("\"')]}*#&$%@").endswith((".", "!", "?", ":")), exact
+            capital = len(core) > 1 and core[0].isupper() and core[1:].islower()
+            found = self.known[word] = code, int(capital) + 2 * int(capital and core.lower() in OPENERS), word.rstrip("\"')]}*#&$%@").endswith((".", "!", "?", ":")), exact
         return found
 
     def sequences(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
@@ -80,7 +88,8 @@ class Templates:
         index, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         read = [self.code(w) for w in distinct]
         code = np.array([r[0] for r in read], np.uint64)
-        capital, ends = np.array([r[1] for r in read], bool), np.array([r[2] for r in read], bool)
+        capital, common = np.array([r[1] & 1 for r in read], bool), np.array([r[1] & 2 for r in read], bool)
+        ends = np.array([r[2] for r in read], bool)
         codes = code[index]
         held = codes != NOTHING
         before = np.cumsum(held)
@@ -89,10 +98,19 @@ class Templates:
         opens = np.ones(len(codes), bool)
         opens[1:] = ends[index[:-1]]
         opens[starts[:-1][starts[:-1] < len(codes)]] = True
-        codes = np.where(capital[index] & ~opens & (codes > 3), np.uint64(NAME), codes)
+        codes = np.where(capital[index] & ~(opens & common[index]) & (codes > 3), np.uint64(NAME), codes)
         return codes, index, starts, distinct, np.array([r[3] for r in read], np.uint64)[index]
 
 
+def joined(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(places, starts)`` of the sequences in which numbers in a row, or names, are one slot: the place of each one's first word."""
+    follows = np.zeros(len(codes), bool)
+    follows[1:] = (codes[1:] == codes[:-1]) & ((codes[1:] == NUMBER) | (codes[1:] == NAME))
+    follows[starts[:-1][starts[:-1] < len(codes)]] = False
+    before = np.concatenate([[0], np.cumsum(~follows)])
+    return np.flatnonzero(~follows), before[starts]
+
+
 def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` codes."""
     n = len(codes) - size + 1
@@ -110,21 +128,40 @@ def _fixed(codes: np.ndarray, size: int) -> np.ndarray:
     return np.convolve(codes > 3, np.ones(size, int), "valid")
 
 
+class Item:
+    """The words of an item: their verbatim codes, and its template with each place's first word and value."""
+
+    def __init__(self, number: int, codes: np.ndarray, words: list[str], exact: np.ndarray):
+        self.number, self.exact, self.size = number, exact, len(codes)
+        at, _ = joined(codes, np.array([0, len(codes)]))
+        self.codes, self.first = codes[at], np.append(at, len(codes)).tolist()
+        self.values = [" ".join(words[lo:hi]) for lo, hi in zip(self.first, self.first[1:], strict=False)]
+
+
 class Benchmark:
-    """The window table of one block of items."""
+    """The window tables of one block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(item, codes, words, exact) for item, codes, words, exact in self._read(items) if len(codes)]
-        self.by_size = self._tables(lambda codes, _, size: (window_hashes(codes, size), _fixed(codes, size) >= LEAST_FIXED))
-        #: Windows of few fixed words, which are looked up word for word.
-        self.exact_by_size = self._tables(lambda codes, exact, size: (window_hashes(exact, size), _fixed(codes, size) < LEAST_FIXED))
+        self.items = [Item(*read) for read in self._read(items) if len(read[1])]
+        self.by_size = self._tables(lambda x: x.codes, lambda x, size: _fixed(x.codes, size) >= LEAST_FIXED)
+        #: All windows word for word; those of few fixed words count by themselves.
+        self.exact_by_size = self._tables(lambda x: x.exact, lambda x, size: np.ones(x.size - size + 1, bool))
+        self.weak = [self._weak(x) for x in self.items]
 
-    def _tables(self, windows: Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]) -> dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]]:
+    @staticmethod
+    def _weak(item: Item) -> set[int]:
+        """Places whose windows of the template have few fixed words: all words under them are compared verbatim."""
+        size = min(WINDOW, len(item.codes))
+        words = {w for at in np.flatnonzero(_fixed(item.codes, size) < LEAST_FIXED).tolist() for w in range(item.first[at], item.first[at + size])}
+        span = min(WINDOW, item.size)
+        return {at for at in range(item.size - span + 1) if all(at + j in words for j in range(span))}
+
+    def _tables(self, sequence: Callable[[Item], np.ndarray], wanted: Callable[[Item, int], np.ndarray]) -> dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]]:
         tables: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, (_, codes, _, exact) in enumerate(self.items):
-            size = min(WINDOW, len(codes))
-            hashes, wanted = windows(codes, exact, size)
-            for at in np.flatnonzero(wanted).tolist():
+        for k, item in enumerate(self.items):
+            size = min(WINDOW, len(sequence(item)))
+            hashes = window_hashes(sequence(item), size)
+            for at in np.flatnonzero(wanted(item, size)).tolist():
                 tables[size][int(hashes[at])].append((k, at))
         return {size: (np.array(sorted(held), np.uint64), dict(held)) for size, held in tables.items()}
 
@@ -156,31 +193,39 @@ class Benchmark:
     def matches(self, templates: Templates, texts: pa.Array) -> dict[int, list[tuple[int, float, bool]]]:
         """For each text with matches: ``(item, coverage, re-parameterised)``."""
         codes, index, starts, words, exact = templates.sequences(texts)
-        hits = self._hits(self.by_size, codes, starts)
+        at, begins = joined(codes, starts)
         covered: dict[tuple[int, int], tuple[set[int], bool]] = {}
-        for (t, k, shift), places in hits.items():
-            _, own, own_words, _ = self.items[k]
-            size = min(WINDOW, len(own))
+
+        def value(place: int) -> str:
+            """What stands in a slot of the texts."""
+            end = at[place + 1] if place + 1 < len(at) else len(codes)
+            end = min(end, starts[np.searchsorted(starts, at[place], side="right")])
+            return " ".join(words[i].strip(_EDGE).lower() for i in index[at[place] : end].tolist())
+
+        for (t, k, shift), places in self._hits(self.by_size, codes[at], begins).items():
+            item = self.items[k]
+            size = min(WINDOW, len(item.codes))
             cells = sorted({q + j for q in places for j in range(size)})
-            if not all(codes[c + shift] == own[c] for c in cells):  # two templates under one hash
+            if not all(codes[at[c + shift]] == item.codes[c] for c in cells):  # two templates under one hash
                 continue
-            there = {c: words[index[c + shift]].strip(_EDGE).lower() for c in cells if own[c] <= 3}
+            there = {c: value(c + shift) for c in cells if item.codes[c] <= 3}
             forth, back = {}, {}
-            if not all(forth.setdefault((own[c], own_words[c]), v) == v and back.setdefault((own[c], v), own_words[c]) == own_words[c] for c, v in there.items()):
+            if not all(forth.setdefault((item.codes[c], item.values[c]), v) == v and back.setdefault((item.codes[c], v), item.values[c]) == item.values[c] for c, v in there.items()):
                 continue
-            changed = any(v != own_words[c] for c, v in there.items())
+            changed = any(v != item.values[c] for c, v in there.items())
             seen, other = covered.get((t, k), (set(), False))
-            covered[t, k] = seen | set(cells), other or changed
+            covered[t, k] = seen | {w for c in cells for w in range(item.first[c], item.first[c + 1])}, other or changed
         for (t, k, shift), places in self._hits(self.exact_by_size, exact, starts).items():
-            own = self.items[k][3]
-            size = min(WINDOW, len(own))
-            cells = {q + j for q in places for j in range(size)}
-            if all(exact[c + shift] == own[c] for c in cells):
+            item = self.items[k]
+            size = min(WINDOW, item.size)
+            whole = len({q + j for q in places for j in range(size)}) == item.size
+            cells = {q + j for q in places if whole or q in self.weak[k] for j in range(size)}
+            if cells and all(exact[c + shift] == item.exact[c] for c in cells):
                 seen, other = covered.get((t, k), (set(), False))
                 covered[t, k] = seen | cells, other
         out: dict[int, list[tuple[int, float, bool]]] = defaultdict(list)
         for (t, k), (cells, changed) in covered.items():
-            out[t].append((self.items[k][0], len(cells) / len(self.items[k][1]), changed))
+            out[t].append((self.items[k].number, len(cells) / self.items[k].size, changed))
         return out
 
 
