@@ -42,6 +42,7 @@ from tidemark.llm.tokens import slices
 
 WINDOW, LEAST_FIXED, COVERAGE = 8, 4, 0.5
 BLOCK_BYTES = 1 << 25
+SEEN_BITS = 20  # of a window's hash, for a first look that nearly all windows do not pass
 NUMBER, UNIT, NAME, NOTHING = 1, 2, 3, 0
 #: Fixed word list.
 UNITS = frozenset("kg g mg lb lbs oz km m cm mm mi mile miles meter meters metre metres ft feet inch inches l ml liter liters litre litres gallon gallons h hr hrs hour hours min minute minutes s sec second seconds day days week weeks month months year years usd eur gbp dollar dollars euro euros pound pounds cent cents percent % mph kmh kph c f k hz w kw v a".split())
@@ -116,10 +117,12 @@ def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     n = len(codes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    mixed = codes ^ (codes >> np.uint64(29))
+    out = mixed[:n].copy()
     with np.errstate(over="ignore"):
-        for j in range(size):
-            out = out * _MULTIPLIER + (codes[j : j + n] ^ (codes[j : j + n] >> np.uint64(29)))
+        for j in range(1, size):
+            out *= _MULTIPLIER
+            out += mixed[j : j + n]
     return out
 
 
@@ -156,14 +159,20 @@ class Benchmark:
         span = min(WINDOW, item.size)
         return {at for at in range(item.size - span + 1) if all(at + j in words for j in range(span))}
 
-    def _tables(self, sequence: Callable[[Item], np.ndarray], wanted: Callable[[Item, int], np.ndarray]) -> dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]]:
+    def _tables(self, sequence: Callable[[Item], np.ndarray], wanted: Callable[[Item, int], np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, dict[int, list[tuple[int, int]]]]]:
         tables: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for k, item in enumerate(self.items):
             size = min(WINDOW, len(sequence(item)))
             hashes = window_hashes(sequence(item), size)
             for at in np.flatnonzero(wanted(item, size)).tolist():
                 tables[size][int(hashes[at])].append((k, at))
-        return {size: (np.array(sorted(held), np.uint64), dict(held)) for size, held in tables.items()}
+        out = {}
+        for size, held in tables.items():
+            known = np.array(sorted(held), np.uint64)
+            seen = np.zeros(1 << SEEN_BITS, bool)
+            seen[known >> np.uint64(64 - SEEN_BITS)] = True
+            out[size] = known, seen, dict(held)
+        return out
 
     @staticmethod
     def _read(items: list[tuple[int, str]]) -> Iterator[tuple[int, np.ndarray, list[str], np.ndarray]]:
@@ -174,15 +183,16 @@ class Benchmark:
             yield item, codes[lo:hi], [words[i].strip(_EDGE).lower() for i in index[lo:hi].tolist()], exact[lo:hi]
 
     @staticmethod
-    def _hits(tables: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]], codes: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int, int], list[int]]:
+    def _hits(tables: dict[int, tuple[np.ndarray, np.ndarray, dict[int, list[tuple[int, int]]]]], codes: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int, int], list[int]]:
         """Places in the item by ``(text, item, alignment)``."""
         hits: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        for size, (known, held) in tables.items():
+        for size, (known, seen, held) in tables.items():
             hashes = window_hashes(codes, size)
             if not len(hashes):
                 continue
-            place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            at = np.flatnonzero(known[place] == hashes)
+            at = np.flatnonzero(seen[hashes >> np.uint64(64 - SEEN_BITS)])
+            place = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
+            at = at[known[place] == hashes[at]]
             text = np.searchsorted(starts, at, side="right") - 1
             inside = at + size <= starts[text + 1]
             for t, p in zip(text[inside].tolist(), at[inside].tolist(), strict=True):

@@ -119,8 +119,9 @@ def _texts(bodies: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _build_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [block_variants(line, BLOCKS) for line in batch["line"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["k"], pa.array(rows, pa.list_(pa.int64()))], names=["k", "vs"])
+        for some in slices(batch, "line", 1 << 20):
+            rows = [block_variants(line, BLOCKS) for line in some["line"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([some["k"], pa.array(rows, pa.list_(pa.int64()))], names=["k", "vs"])
 
 
 def char_variants(line: str, shared: list[int]) -> list[tuple[int, int]]:
@@ -146,9 +147,9 @@ def char_variants(line: str, shared: list[int]) -> list[tuple[int, int]]:
 
 
 def _build_chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for some in (part for batch in batches for part in slices(batch, "line", 1 << 14)):
         ks, ids, ns, roles, hs = [], [], [], [], []
-        for k, doc, n, line, shared in zip(batch["k"].to_pylist(), batch["id"].to_pylist(), batch["n"].to_pylist(), batch["line"].to_pylist(), batch["shared"].to_pylist(), strict=True):
+        for k, doc, n, line, shared in zip(some["k"].to_pylist(), some["id"].to_pylist(), some["n"].to_pylist(), some["line"].to_pylist(), some["shared"].to_pylist(), strict=True):
             found = char_variants(line, shared)
             ks += [k] * len(found)
             ids += [doc] * len(found)

@@ -136,7 +136,7 @@ def _bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _build_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for some in slices(batch, "body"):
+        for some in slices(batch, "body", 1 << 20):
             sets = shingle_sets(some["body"])
             sizes = [len(s) for s in sets]
             ext = [s[: extended_length(len(s))] for s in sets]
@@ -150,7 +150,7 @@ def _build_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _build_full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole sets: sorted 64-bit tokens."""
     for batch in batches:
-        for some in slices(batch, "body"):
+        for some in slices(batch, "body", 1 << 20):
             sets = shingle_sets(some["body"])
             yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
 
