@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.client import Client
-from tidemark.errors import DimensionMismatch, DistanceMetricConflict, IndexNotBuilt, InvalidRequest, NamespaceExists, NamespaceNotFound
+from tidemark.errors import DimensionMismatch, DistanceMetricConflict, IndexNotBuilt, InvalidRequest, ManifestUnreadable, NamespaceExists, NamespaceNotFound
 from tidemark.functions import names, vectors
-from tidemark.operators import ann
+from tidemark.operators import ann, merge
 from tidemark.operators.ann import AnnConfig
 from tidemark.plans import query as plans
 from tidemark.sources import log
@@ -344,3 +344,68 @@ def test_each_split_has_its_own_neighbours(spark):
     assert {r.posting_id for r in moves.collect()} <= {0, 2, 8, 10}
     both = ann.lire_moves(postings, ann.means(postings), [(1,), (10,)], config, vectors.EUCLIDEAN).select("posting_id").distinct().collect()
     assert {r.posting_id for r in both} == {0, 11}
+
+
+def test_repair_from_the_listing_of_the_log(client):
+    space = client.create_namespace("broken")
+    space.upsert(rows(20))
+    space.compact(force=True)
+    space.upsert(rows(5, seed=3, start=100))
+    before = space.manifest()
+    space.delete([100])
+    space.upsert(rows(1, seed=4, start=101))
+    want = sorted(map(str, space.rows().collect()))
+    assert space.repair() == 0 and space.manifest().version == before.version + 2  # nothing is broken
+    for version in (before.version + 1, before.version + 2):
+        (client.files.files.root / space.manifests._key(version)).write_bytes(b"{")
+    whole = client.files.files.root / "broken" / "wal"
+    (whole / "cut0short").mkdir()
+    again = Client(space.spark, str(client.files.files.root), SMALL)
+    with pytest.raises(ManifestUnreadable):
+        again.namespace("broken")
+    from tidemark.client import Namespace
+
+    broken = Namespace(again, "broken")
+    assert broken.repair() == 2 and sorted(map(str, broken.rows().collect())) == want
+    now = broken.manifest()
+    assert now.version == before.version + 3 and [w.seq for w in now.wal] == [1, 2, 3] and now.next_seq == 4 and now.approx_rows == 26
+    broken.upsert(rows(1, seed=5, start=200))
+    broken.compact(force=True)
+    assert broken.get(200) is not None and broken.get(100) is None
+    (client.files.files.root / broken.manifests._key(broken.manifest().version)).write_bytes(b"")
+    for w in now.wal:
+        client.files.delete(w.key)
+    with pytest.raises(ManifestUnreadable):  # what the readable version needs is gone
+        Namespace(Client(space.spark, str(client.files.files.root), SMALL), "broken").repair()
+
+
+def test_short_logs_merge_beside_the_base(client, spark, monkeypatch):
+    space = client.create_namespace("beside")
+    space.upsert(rows(60), timestamp=100)
+    space.compact(force=True)
+    space.upsert(rows(10, seed=5, start=50), timestamp=200)
+    space.upsert(rows(3, seed=6, start=0), timestamp=50)  # older than the rows of the index
+    space.delete([7, 59, 70], timestamp=300)
+    space.patch([{"id": 8, "attributes": {"tag": "C"}}, {"id": 9, "attributes": {"tag": "D"}}], timestamp=90)
+    space.patch([{"id": 10, "attributes": {"tag": "E"}}], timestamp=150)
+    plan = space.rows()._jdf.queryExecution().toString()
+    beside = sorted(map(str, space.rows().collect()))
+    assert "BroadcastHashJoin" in plan and len(beside) == 58
+    monkeypatch.setattr(merge, "BROADCAST_RECORDS", 0)
+    assert beside == sorted(map(str, space.rows().collect()))
+
+
+@pytest.mark.parametrize("records", [0, 100_000])
+def test_probed_postings_and_a_log(client, monkeypatch, records):
+    monkeypatch.setattr(plans, "EXACT_ROWS", 100)
+    monkeypatch.setattr("tidemark.plans.compact.EXACT_ROWS", 100)
+    monkeypatch.setattr(merge, "BROADCAST_RECORDS", records)
+    space = client.create_namespace("probes", metric=vectors.EUCLIDEAN)
+    data = [{"id": i, "vector": [float(i // 20 * 100 + i % 20), 0.0]} for i in range(400)]
+    space.upsert(data, timestamp=100)
+    space.compact(force=True)
+    assert space.manifest().fanout(10) is not None
+    space.upsert([{"id": 399, "vector": [0.25, 0.0]}], timestamp=50)  # older than its row in a posting far away
+    space.upsert([{"id": 398, "vector": [0.5, 0.0]}], timestamp=200)
+    space.delete([1], timestamp=200)
+    assert found(space, [0.0, 0.0], 4) == ["0", "398", "2", "3"]

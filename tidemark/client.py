@@ -9,10 +9,10 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import replace as with_values
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.errors import DimensionMismatch, DistanceMetricConflict, InvalidRequest
+from tidemark.errors import DimensionMismatch, DistanceMetricConflict, InvalidRequest, ManifestUnreadable
 from tidemark.functions import attrs, ids, names, vectors
 from tidemark.operators import ann
 from tidemark.operators.replay import DELETE, PATCH, UPSERT
@@ -114,9 +114,7 @@ class Namespace:
             records = records.withColumn("vector", F.when(F.col("vector").isNotNull(), vectors.normalize(F.col("vector"))).cast("array<float>"))
         key = f"{self.name}/wal/{uuid.uuid4().hex}"
         log.append(records, self.client.files, key)
-        written = self.spark.read.schema(log.schema(log.RECORD)).parquet(self.client.files.path(key))
-        upsert = F.col("op") == UPSERT
-        seen = written.agg(F.count(F.lit(1)).alias("n"), F.count_if(upsert).alias("upserts"), F.min(F.when(upsert, F.size("vector"))).alias("low"), F.max(F.when(upsert, F.size("vector"))).alias("high")).first()
+        seen = self._seen(key)
         size = self.client.files.size(key)
         if seen["low"] != seen["high"]:
             self.client.files.delete(key)
@@ -145,6 +143,12 @@ class Namespace:
             self.compact()
         return seen["n"]
 
+    def _seen(self, key: str) -> Row:
+        """What a folder of the log holds: its records, its upserts, and the least and largest dimensions."""
+        written = self.spark.read.schema(log.schema(log.RECORD)).parquet(self.client.files.path(key))
+        upsert = F.col("op") == UPSERT
+        return written.agg(F.count(F.lit(1)).alias("n"), F.count_if(upsert).alias("upserts"), F.min(F.when(upsert, F.size("vector"))).alias("low"), F.max(F.when(upsert, F.size("vector"))).alias("high")).first()
+
     # reading
 
     def query(self, vector: Sequence[float], top_k: int = DEFAULT_TOP_K, filters: Mapping[str, str] | None = None, exact: bool = False) -> DataFrame:
@@ -195,6 +199,35 @@ class Namespace:
     def compact(self, force: bool = False) -> bool:
         return compaction.compact(self.spark, self.client.files, self.manifests, self.client.config, force) is not None
 
+    def repair(self) -> int:
+        """Makes a namespace readable again whose newest manifest is not; the number of commits found in the listing of the log.
+
+        The newest readable version is taken up, with the folders of the log that it does not know, in the order
+        of their writing.  Writes that were never acknowledged may be among them; those that were cut short, or
+        whose vectors have other dimensions, are not.  If a sweep deleted what that version needs, it fails.
+        """
+        base, newest = self.manifests.readable()
+        if base.version == newest:
+            return 0
+        needed = [w.key for w in base.wal] + ([base.snapshot] if base.snapshot else [])
+        if missing := [key for key in needed if not self.client.files.list(key)]:
+            raise ManifestUnreadable(f"{self.name}: version {base.version} needs {', '.join(missing)}")
+        known, dimensions, approx, wal = {w.key for w in base.wal} | set(base.retired), base.dimensions, base.approx_rows, list(base.wal)
+        folders = [f"{self.name}/wal/{name}" for name in self.client.files.list(f"{self.name}/wal")]
+        done = [(self.client.files.modified(f"{key}/_SUCCESS"), key) for key in folders if key not in known]
+        for written, key in sorted(done):
+            if not written:
+                continue
+            seen = self._seen(key)
+            if seen["low"] != seen["high"] or seen["low"] is not None and dimensions not in (None, seen["low"]):
+                continue
+            dimensions = dimensions if seen["low"] is None else seen["low"]
+            approx += seen["upserts"]
+            wal.append(WalFile(base.next_seq + len(wal) - len(base.wal), key, seen["n"], self.client.files.size(key)))
+        found = len(wal) - len(base.wal)
+        self.manifests.put(with_values(base, version=newest + 1, updated_at=int(time.time()), wal=tuple(wal), next_seq=base.next_seq + found, dimensions=dimensions, approx_rows=approx))
+        return found
+
     def sweep(self) -> int:
         return compaction.sweep(self.client.files, self.manifests)
 

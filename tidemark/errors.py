@@ -31,3 +31,7 @@ class IndexNotBuilt(EngineError):
 
 class CommitConflict(EngineError):
     pass
+
+
+class ManifestUnreadable(EngineError):
+    pass

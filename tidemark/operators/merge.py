@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.attrs import overlay
 
+#: Ids of logs with no more records than this are broadcast.
+BROADCAST_RECORDS = 100_000
+
 
 def mask_tombstones(base: DataFrame, tombstones: DataFrame) -> DataFrame:
     """Base rows without those deleted at or after their timestamp."""
@@ -37,6 +40,22 @@ def newest_wins(base: DataFrame, tail: DataFrame) -> DataFrame:
     return both.select("id", F.when(tail_wins, F.col("t")).otherwise(F.col("b")).alias("x")).select("id", *[F.col(f"x.{c}").alias(c) for c in names]).select(*base.columns)
 
 
+def bounded(ids: DataFrame, records: int) -> DataFrame:
+    """``ids`` of a log's state, to be broadcast if the log has few enough records; else joins shuffle as usual."""
+    return F.broadcast(ids) if records <= BROADCAST_RECORDS else ids
+
+
+def merge_tail(base: DataFrame, state: DataFrame, records: int) -> DataFrame:
+    """``merge``, with ``records`` in the log: base rows whose ids a short log does not have are not shuffled.
+
+    Only ids are broadcast.  The base is read twice instead, once without the ids of the log and once with no others.
+    """
+    if records > BROADCAST_RECORDS:
+        return merge(base, state)
+    touched = bounded(state.select("id"), records)
+    return base.join(touched, "id", "left_anti").select(*base.columns).unionByName(merge(base.join(touched, "id", "left_semi").select(*base.columns), state))
+
+
 def merge(base: DataFrame, state: DataFrame) -> DataFrame:
     """The rows that are live: ``base`` under the state of the log after it (see ``replay``).
 

@@ -38,9 +38,9 @@ def compact(spark: SparkSession, files: LocalFiles | HadoopFiles, manifests: Man
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    state = replay(log.scan(spark, files, taken), max_folded=MAX_FOLDED if sum(w.records for w in taken) > MAX_FOLDED else None)
-    state = settle(state)
-    touched = state.select("id")
+    records = sum(w.records for w in taken)
+    state = settle(replay(log.scan(spark, files, taken), max_folded=MAX_FOLDED if records > MAX_FOLDED else None))
+    touched = merge.bounded(state.select("id"), records)
     # the same rules as a query's: the newest wins, a tombstone or patch may not reach a newer row
     changed = settle(merge.merge(base.join(touched, "id", "left_semi").select(*base.columns), state))
     if snapshot is None or manifest.indexed_rows == 0:

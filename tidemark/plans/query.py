@@ -73,15 +73,14 @@ def empty(spark: SparkSession, spec: str) -> DataFrame:
 
 def tail_state(spark: SparkSession, files: LocalFiles | HadoopFiles, manifest: Manifest) -> DataFrame:
     """The state of the log that no snapshot holds."""
-    records = sum(w.records for w in manifest.wal)
-    return replay(log.scan(spark, files, manifest.wal), max_folded=MAX_FOLDED if records > MAX_FOLDED else None)
+    return replay(log.scan(spark, files, manifest.wal), max_folded=MAX_FOLDED if manifest.pending_records > MAX_FOLDED else None)
 
 
 def live_rows(spark: SparkSession, files: LocalFiles | HadoopFiles, manifest: Manifest) -> DataFrame:
     """All rows, as a reader of this version sees them."""
     snapshot = read_snapshot(spark, files, manifest)
     base = snapshot.postings.drop("posting_id") if snapshot else empty(spark, ROW)
-    return merge.merge(base, tail_state(spark, files, manifest)) if manifest.wal else base
+    return merge.merge_tail(base, tail_state(spark, files, manifest), manifest.pending_records) if manifest.wal else base
 
 
 def lookup(spark: SparkSession, files: LocalFiles | HadoopFiles, manifest: Manifest, raw: bytes, id_type: int) -> DataFrame:
@@ -130,9 +129,10 @@ def search(spark: SparkSession, files: LocalFiles | HadoopFiles, manifest: Manif
                 base = base.join(allowed, "id", "left_semi").select(*base.columns)
         if state is None:
             return base, base
-        rows = merge.merge(base, state)
+        rows = merge.merge_tail(base, state, manifest.pending_records)
         if probed is not None:  # a row of the log may be older than one in a posting that was not probed
-            newer = snapshot.postings.select(F.col("id").alias("base_id"), F.col("timestamp").alias("base_ts"))
+            held = snapshot.postings.select("id", "timestamp").join(merge.bounded(state.select("id"), manifest.pending_records), "id", "left_semi")
+            newer = merge.bounded(held.select(F.col("id").alias("base_id"), F.col("timestamp").alias("base_ts")), manifest.pending_records)
             rows = rows.join(newer, (F.col("id") == F.col("base_id")) & (F.col("base_ts") > F.col("timestamp")), "left_anti")
         return base, rows
 

@@ -59,6 +59,11 @@ class LocalFiles:
         target = self.root / key
         return sum(p.stat().st_size for p in target.rglob("*") if p.is_file()) if target.is_dir() else target.stat().st_size if target.exists() else 0
 
+    def modified(self, key: str) -> int:
+        """Milliseconds of the last change, 0 if there is no such object."""
+        target = self.root / key
+        return target.stat().st_mtime_ns // 1_000_000 if target.exists() else 0
+
 
 class HadoopFiles:
     def __init__(self, spark: SparkSession, root: str):
@@ -105,6 +110,10 @@ class HadoopFiles:
         where = self._path(key)
         return self.fs.getContentSummary(where).getLength() if self.fs.exists(where) else 0
 
+    def modified(self, key: str) -> int:
+        where = self._path(key)
+        return self.fs.getFileStatus(where).getModificationTime() if self.fs.exists(where) else 0
+
 
 class Counted:
     """A store that counts its requests by kind."""
@@ -135,6 +144,10 @@ class Counted:
         self.counts["size"] += 1
         return self.files.size(key)
 
+    def modified(self, key: str) -> int:
+        self.counts["modified"] += 1
+        return self.files.modified(key)
+
 
 def open_files(spark: SparkSession, root: str) -> LocalFiles | HadoopFiles:
     return LocalFiles(root) if root.startswith(("/", "file://")) else HadoopFiles(spark, root)

@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
-from tidemark.errors import CommitConflict, NamespaceExists, NamespaceNotFound
+from tidemark.errors import CommitConflict, ManifestUnreadable, NamespaceExists, NamespaceNotFound
 from tidemark.functions.vectors import COSINE
 from tidemark.sources.files import HadoopFiles, LocalFiles
 
@@ -51,6 +51,10 @@ class Manifest:
     def unindexed_bytes(self) -> int:
         return sum(w.bytes for w in self.wal)
 
+    @property
+    def pending_records(self) -> int:
+        return sum(w.records for w in self.wal)
+
     @property
     def index_status(self) -> str:
         return "updating" if self.wal else "up-to-date"
@@ -83,9 +87,32 @@ class Manifests:
         if not names:
             raise NamespaceNotFound(self.namespace)
         if self._read is None or self._read[0] != names[-1]:
-            self._read = names[-1], Manifest.from_json(self.files.get(f"{self.namespace}/manifest/{names[-1]}"))
+            self._read = names[-1], self._parse(names[-1])
         return self._read[1]
 
+    def _parse(self, name: str) -> Manifest:
+        try:
+            return Manifest.from_json(self.files.get(f"{self.namespace}/manifest/{name}") or b"")
+        except (ValueError, KeyError, TypeError) as e:
+            raise ManifestUnreadable(f"{self.namespace}/manifest/{name}") from e
+
+    def readable(self) -> tuple[Manifest, int]:
+        """The newest version that can be read, and the number of the newest of all."""
+        names = [n for n in self.files.list(f"{self.namespace}/manifest") if n.endswith(".json")]
+        if not names:
+            raise NamespaceNotFound(self.namespace)
+        for name in reversed(names):
+            try:
+                return self._parse(name), int(names[-1][1:-5])
+            except ManifestUnreadable:
+                continue
+        raise ManifestUnreadable(self.namespace)
+
+    def put(self, manifest: Manifest) -> Manifest:
+        """Writes a version that must be new."""
+        self.files.put_new(self._key(manifest.version), manifest.to_json())
+        return manifest
+
     def create(self, **values: object) -> Manifest:
         now = int(time.time())
         first = Manifest(created_at=now, updated_at=now, **values)
