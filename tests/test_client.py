@@ -9,9 +9,10 @@ from tidemark.errors import DimensionMismatch, DistanceMetricConflict, IndexNotB
 from tidemark.functions import names, vectors
 from tidemark.operators import ann, merge
 from tidemark.operators.ann import AnnConfig
+from tidemark.plans import compact
 from tidemark.plans import query as plans
 from tidemark.sources import log
-from tidemark.sources.manifest import Manifest, WalFile
+from tidemark.sources.manifest import Layer, Manifest, WalFile
 from tidemark.streaming.ingest import ingest, read_records
 
 SMALL = AnnConfig(max_posting_size=50, min_posting_size=5, rounds=2)
@@ -222,6 +223,73 @@ def test_compaction_takes_the_oldest_commits():
     assert m.index_status == "updating" and m.unindexed_bytes == 200 and Manifest.from_json(m.to_json()) == m
 
 
+def test_layers_equal_whole_compactions(client, monkeypatch):
+    """Random writes into two namespaces, one compacted in layers and one written anew each time."""
+    for module in ("plans.query", "plans.compact"):
+        monkeypatch.setattr(f"tidemark.{module}.EXACT_ROWS", 40)
+    layers, whole = client.create_namespace("layers", metric=vectors.EUCLIDEAN), client.create_namespace("whole", metric=vectors.EUCLIDEAN)
+    rng, seen = np.random.default_rng(3), []
+    for step in range(5):
+        now = 100 * (step + 1)
+        news = rows(160 if step == 0 else int(rng.integers(2, 9)), seed=step, start=0 if step == 0 else int(rng.integers(0, 180)))
+        for space in (layers, whole):
+            space.upsert(news, timestamp=now)
+        if step:
+            gone, changed = rng.choice(180, 3, replace=False).tolist(), rng.choice(180, 4, replace=False).tolist()
+            for space in (layers, whole):
+                space.delete(gone, timestamp=now + 1 if step % 2 else now - 150)  # also older than the row
+                space.patch([{"id": i, "attributes": {"tag": "C", "extra": step}} for i in changed], timestamp=now + 2)
+        before = layers.manifest()
+        layers.compact(force=True)
+        with monkeypatch.context() as patch:
+            patch.setattr("tidemark.plans.compact.SHARE", 1 << 30)
+            whole.compact(force=True)
+        now = layers.manifest()
+        assert not whole.manifest().layers and Manifest.from_json(now.to_json()) == now
+        seen.append(len(now.layers))
+        if now.layers:
+            assert now.snapshot == before.snapshot and before.snapshot not in now.retired
+        assert layers.rows().count() == now.indexed_rows == whole.manifest().indexed_rows
+        key = lambda s: sorted(map(str, s.rows().collect()))
+        assert key(layers) == key(whole)
+        if step < 3:
+            continue
+        assert found(layers, news[0]["vector"], exact=True) == found(whole, news[0]["vector"], exact=True)
+        for filters in ({"tag": "B", "num": "3"}, {"tag": "C"}):
+            assert found(layers, news[0]["vector"], 300, filters=filters) == found(whole, news[0]["vector"], 300, filters=filters)
+        assert len(found(layers, news[0]["vector"], 20)) == 20
+        assert layers.get(news[0]["id"]) == whole.get(news[0]["id"])
+    assert seen[0] == 0 and max(seen) >= 1 and seen.count(0) < len(seen) - 1
+    old = layers.manifest()
+    layers.sweep()
+    assert layers.manifest().retired == () and layers.rows().count() == old.indexed_rows
+
+
+def test_layers_grow_geometrically():
+    layers, sizes = (), []
+    for n in range(200):
+        older, newer, size = compact._tiers(Manifest(snapshot="s", indexed_rows=1_000_000, layers=layers), 10)
+        layers = (*older, Layer(str(n), size))
+        sizes.append(len(layers))
+        assert all(a.size > compact.TIER * b.size for a, b in zip(layers, layers[1:]))
+    assert sum(x.size for x in layers) == 2000 and max(sizes) <= 7
+    assert compact._tiers(Manifest(snapshot="s", indexed_rows=1_000_000), 250_000)[0] is None
+
+
+def test_conditions_reach_what_layers_hide(client, monkeypatch):
+    for module in ("plans.query", "plans.compact"):
+        monkeypatch.setattr(f"tidemark.{module}.EXACT_ROWS", 40)
+    space = client.create_namespace("pushed", metric=vectors.EUCLIDEAN)
+    space.upsert(rows(160), timestamp=100)
+    space.compact(force=True)
+    space.upsert(rows(5, seed=2), timestamp=200)
+    space.compact(force=True)
+    assert len(space.manifest().layers) == 1
+    held = plans.read_snapshot(space.spark, client.files, space.manifest())
+    plan = held.postings.where(F.col("posting_id").isin([1, 2]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedFilters: [In(posting_id, [1,2])") + plan.count("In(posting_id, [1,2])]") >= 3  # snapshot, layer and mask
+
+
 def test_recall(client):
     space = client.create_namespace("recall")
     data = rows(300, dims=8, seed=4)

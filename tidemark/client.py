@@ -209,7 +209,7 @@ class Namespace:
         base, newest = self.manifests.readable()
         if base.version == newest:
             return 0
-        needed = [w.key for w in base.wal] + ([base.snapshot] if base.snapshot else [])
+        needed = [w.key for w in base.wal] + ([base.snapshot] if base.snapshot else []) + [x.key for x in base.layers]
         if missing := [key for key in needed if not self.client.files.list(key)]:
             raise ManifestUnreadable(f"{self.name}: version {base.version} needs {', '.join(missing)}")
         known, dimensions, approx, wal = {w.key for w in base.wal} | set(base.retired), base.dimensions, base.approx_rows, list(base.wal)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,13 @@ from tidemark.operators import ann, inverted, merge, topk
 from tidemark.operators.replay import MAX_FOLDED, replay
 from tidemark.sources import log
 from tidemark.sources.files import HadoopFiles, LocalFiles
-from tidemark.sources.manifest import Manifest
+from tidemark.sources.manifest import Layer, Manifest
 
 ROW = f"id {ID_TYPE}, vector array<float>, attributes {ATTRS_TYPE}, timestamp long"
 POSTING = f"{ROW}, posting_id int"
 CENTROID = "posting_id int, centroid array<double>, n long"
 INVERTED = f"key string, id {ID_TYPE}, field string"
+MASK = f"id {ID_TYPE}, posting_id int"
 #: Below this many indexed rows an exact scan is as cheap as a probe.
 EXACT_ROWS = 10_000
 #: A filter that leaves no more than this is answered by an exact scan of its ids.
@@ -37,8 +39,35 @@ class Snapshot:
 def read_snapshot(spark: SparkSession, files: LocalFiles | HadoopFiles, manifest: Manifest) -> Snapshot | None:
     if manifest.snapshot is None:
         return None
-    at = files.path(manifest.snapshot)
-    return Snapshot(*(spark.read.schema(log.schema(s)).parquet(f"{at}/{name}") for name, s in (("postings", POSTING), ("centroids", CENTROID), ("inverted", INVERTED))))
+    postings, entries = (layered(spark, files, manifest.layers, name, manifest.snapshot) for name in ("postings", "inverted"))
+    return Snapshot(postings, _table(spark, files, manifest.snapshot, "centroids"), entries)
+
+
+TABLES = {"postings": POSTING, "centroids": CENTROID, "inverted": INVERTED, "mask": MASK, "gone": INVERTED}
+#: What hides rows of a table in older layers, and by which columns; a probe's or filter's conditions reach both sides.
+HIDDEN_BY = {"postings": ("mask", ["id", "posting_id"]), "inverted": ("gone", ["field", "key", "id"])}
+
+
+def _table(spark: SparkSession, files: LocalFiles | HadoopFiles, key: str, name: str) -> DataFrame:
+    return spark.read.schema(log.schema(TABLES[name])).parquet(f"{files.path(key)}/{name}")
+
+
+def hidden(spark: SparkSession, files: LocalFiles | HadoopFiles, layers: Sequence[Layer], name: str) -> DataFrame:
+    """What ``layers`` hide of a table in older ones; bounded by their log records, so that of small ones it is broadcast."""
+    rows = reduce(DataFrame.unionByName, [_table(spark, files, x.key, HIDDEN_BY[name][0]) for x in layers])
+    return merge.bounded(rows, sum(x.size for x in layers)) if name == "postings" else rows
+
+
+def layered(spark: SparkSession, files: LocalFiles | HadoopFiles, layers: Sequence[Layer], name: str, base: str | None = None) -> DataFrame:
+    """A table of the rows of ``base`` and of ``layers`` (oldest first) that no later layer hides."""
+    keys = [*([base] if base else []), *(x.key for x in layers)]
+    parts = []
+    for n, key in enumerate(keys):
+        part = _table(spark, files, key, name)
+        if later := layers[n + (0 if base else 1) :]:
+            part = part.join(hidden(spark, files, later, name), HIDDEN_BY[name][1], "left_anti").select(*part.columns)
+        parts.append(part)
+    return reduce(DataFrame.unionByName, parts)
 
 
 class SnapshotCache:
@@ -49,12 +78,12 @@ class SnapshotCache:
 
     def __init__(self, spark: SparkSession, files: LocalFiles | HadoopFiles, most: int = 10, most_rows: int = 200_000):
         self.spark, self.files, self.most, self.most_rows = spark, files, most, most_rows
-        self.held: dict[str, Snapshot] = {}
+        self.held: dict[tuple[str, ...], Snapshot] = {}
 
     def get(self, manifest: Manifest) -> Snapshot | None:
-        key = manifest.snapshot
-        if key is None:
+        if manifest.snapshot is None:
             return None
+        key = (manifest.snapshot, *(x.key for x in manifest.layers))
         if key not in self.held:
             snapshot = read_snapshot(self.spark, self.files, manifest)
             if manifest.indexed_rows <= self.most_rows:
@@ -138,7 +167,7 @@ def search(spark: SparkSession, files: LocalFiles | HadoopFiles, manifest: Manif
 
     while fanout is not None and fanout < len(order):
         base, rows = merged([p for p, _ in order[:fanout]])
-        if allowed is None and state is None or all(df.limit(k).count() >= k for df in (base, rows)):
+        if allowed is None and state is None and not manifest.layers or all(df.limit(k).count() >= k for df in (base, rows)):
             return topk.topk(rows, query, k, manifest.metric)
-        fanout *= 2  # filters or the log left too few of the probed rows
+        fanout *= 2  # filters, layers or the log left too few of the probed rows
     return topk.topk(merged(None)[1], query, k, manifest.metric)

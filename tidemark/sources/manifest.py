@@ -26,6 +26,14 @@ class WalFile:
     bytes: int
 
 
+@dataclass(frozen=True)
+class Layer:
+    """What compactions laid over the snapshot: new rows, and which rows of older layers they hide."""
+
+    key: str
+    size: int  #: log records, of all compactions that are merged in it
+
+
 @dataclass(frozen=True)
 class Manifest:
     version: int = 0
@@ -34,6 +42,7 @@ class Manifest:
     next_seq: int = 0
     wal: tuple[WalFile, ...] = ()
     snapshot: str | None = None  #: folder of the indexed tables
+    layers: tuple[Layer, ...] = ()  #: over the snapshot, oldest first
     indexed_rows: int = 0
     approx_rows: int = 0  #: upserts ever written
     dimensions: int | None = None
@@ -69,7 +78,7 @@ class Manifest:
     @staticmethod
     def from_json(raw: bytes) -> Manifest:
         values = json.loads(raw)
-        return Manifest(**values | {"wal": tuple(WalFile(**w) for w in values["wal"]), "index_attributes": tuple(values["index_attributes"]), "retired": tuple(values["retired"]), "fanouts": tuple(tuple(f) for f in values.get("fanouts", ())), "streams": tuple(tuple(s) for s in values.get("streams", ()))})
+        return Manifest(**values | {"wal": tuple(WalFile(**w) for w in values["wal"]), "layers": tuple(Layer(**x) for x in values.get("layers", ())), "index_attributes": tuple(values["index_attributes"]), "retired": tuple(values["retired"]), "fanouts": tuple(tuple(f) for f in values.get("fanouts", ())), "streams": tuple(tuple(s) for s in values.get("streams", ()))})
 
 
 class Manifests:
