@@ -1,4 +1,5 @@
 import threading
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -146,6 +147,30 @@ def test_d3_delete_then_patch_stays_deleted(client):
     assert found(space, [1.0]) == []
 
 
+def test_d4_a_patch_of_an_unindexed_row(client):
+    space = client.create_namespace("unindexed")
+    space.patch([{"id": 2, "attributes": {"a": 1}}], timestamp=50)  # of no row at all
+    space.upsert([{"id": 1, "vector": [1.0], "attributes": {"a": 0}}], timestamp=100)
+    space.patch([{"id": 1, "attributes": {"b": 2}}], timestamp=200)
+    space.compact(force=True)
+    assert space.get(1)["attributes"] == {"a": 0, "b": 2} and space.get(2) is None
+
+
+def test_d11_first_writes_of_other_dimensions(client, monkeypatch):
+    space = client.create_namespace("first")
+    other, seen = client.namespace("first"), space._seen
+
+    def late(key):
+        other.upsert([{"id": 2, "vector": [1.0, 2.0, 3.0]}])  # commits while ours is being written
+        return seen(key)
+
+    monkeypatch.setattr(space, "_seen", late)
+    with pytest.raises(DimensionMismatch):
+        space.upsert([{"id": 1, "vector": [1.0, 2.0]}])
+    now = space.manifest()
+    assert now.dimensions == 3 and len(now.wal) == 1 and len(client.files.list("first/wal")) == 1
+
+
 def test_d6_same_millisecond_delete(client):
     space = client.create_namespace("same-ms")
     space.upsert([{"id": 1, "vector": [1.0]}], timestamp=100)
@@ -225,8 +250,9 @@ def test_compaction_takes_the_oldest_commits():
 
 def test_layers_equal_whole_compactions(client, monkeypatch):
     """Random writes into two namespaces, one compacted in layers and one written anew each time."""
-    for module in ("plans.query", "plans.compact"):
-        monkeypatch.setattr(f"tidemark.{module}.EXACT_ROWS", 40)
+    monkeypatch.setattr(plans, "EXACT_ROWS", 40)
+    monkeypatch.setattr("tidemark.plans.compact.EXACT_ROWS", 40)
+    client.config = replace(SMALL, layer_rows=40)
     layers, whole = client.create_namespace("layers", metric=vectors.EUCLIDEAN), client.create_namespace("whole", metric=vectors.EUCLIDEAN)
     rng, seen = np.random.default_rng(3), []
     for step in range(5):
@@ -242,7 +268,7 @@ def test_layers_equal_whole_compactions(client, monkeypatch):
         before = layers.manifest()
         layers.compact(force=True)
         with monkeypatch.context() as patch:
-            patch.setattr("tidemark.plans.compact.SHARE", 1 << 30)
+            patch.setattr(client, "config", SMALL)
             whole.compact(force=True)
         now = layers.manifest()
         assert not whole.manifest().layers and Manifest.from_json(now.to_json()) == now
@@ -268,17 +294,18 @@ def test_layers_equal_whole_compactions(client, monkeypatch):
 def test_layers_grow_geometrically():
     layers, sizes = (), []
     for n in range(200):
-        older, newer, size = compact._tiers(Manifest(snapshot="s", indexed_rows=1_000_000, layers=layers), 10)
+        older, newer, size = compact._tiers(Manifest(snapshot="s", indexed_rows=1_000_000, layers=layers), 10, AnnConfig())
         layers = (*older, Layer(str(n), size))
         sizes.append(len(layers))
         assert all(a.size > compact.TIER * b.size for a, b in zip(layers, layers[1:]))
     assert sum(x.size for x in layers) == 2000 and max(sizes) <= 7
-    assert compact._tiers(Manifest(snapshot="s", indexed_rows=1_000_000), 250_000)[0] is None
+    assert compact._tiers(Manifest(snapshot="s", indexed_rows=1_000_000), 250_000, AnnConfig())[0] is None
 
 
 def test_conditions_reach_what_layers_hide(client, monkeypatch):
-    for module in ("plans.query", "plans.compact"):
-        monkeypatch.setattr(f"tidemark.{module}.EXACT_ROWS", 40)
+    monkeypatch.setattr(plans, "EXACT_ROWS", 40)
+    monkeypatch.setattr("tidemark.plans.compact.EXACT_ROWS", 40)
+    client.config = replace(SMALL, layer_rows=40)
     space = client.create_namespace("pushed", metric=vectors.EUCLIDEAN)
     space.upsert(rows(160), timestamp=100)
     space.compact(force=True)

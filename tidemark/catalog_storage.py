@@ -26,6 +26,7 @@ from tidemark.streaming.ingest import ingest, read_records
 
 COMMITS = 4
 CONFIG = ann.AnnConfig(max_posting_size=20, min_posting_size=2)
+LAYERED = ann.AnnConfig(max_posting_size=20, min_posting_size=2, layer_rows=0, layer_share=0)
 
 
 def folder(spark: SparkSession) -> str:
@@ -47,9 +48,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("wal_seq").alias("offset"), "op", ids.from_long(F.col("user_id")).alias("id"), vector.alias("vector"), fields.alias("attributes"), "timestamp")
 
 
-def filled(spark: SparkSession, sf_dir: str, after: Callable[[Namespace, int], object] = lambda space, commit: None) -> Namespace:
+def filled(spark: SparkSession, sf_dir: str, after: Callable[[Namespace, int], object] = lambda space, commit: None, config: ann.AnnConfig = CONFIG) -> Namespace:
     """A namespace with all events in four commits; ``after`` is called after each."""
-    space = Client(spark, folder(spark), CONFIG).create_namespace("events", EUCLIDEAN, ["kind", "grp"])
+    space = Client(spark, folder(spark), config).create_namespace("events", EUCLIDEAN, ["kind", "grp"])
     rows = records(spark, sf_dir)
     top = rows.agg(F.max("offset")).first()[0]
     for k in range(COMMITS):
@@ -159,6 +160,21 @@ def store_live_two_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(space.rows())
 
 
+def _layered(spark: SparkSession, sf_dir: str) -> Namespace:
+    """A snapshot of the first commits and a layer of the last."""
+    space = filled(spark, sf_dir, _compacted_before_the_last, LAYERED)
+    space.compact(force=True)
+    if len(space.manifest().layers) != 1:
+        raise RuntimeError("the second compaction wrote no layer")
+    return space
+
+
+@register(_CYCLES + " select id, timestamp, src, coalesce(pat, -1) as pat from live")
+def store_live_layered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live rows of a snapshot and a layer over it."""
+    return shown(_layered(spark, sf_dir).rows())
+
+
 def _snapshot(space: Namespace):
     return read_snapshot(space.spark, space.client.files, space.manifest())
 

@@ -20,7 +20,7 @@ from tidemark.plans import compact as compaction
 from tidemark.plans import query as plans
 from tidemark.session import ship_package
 from tidemark.sources import log
-from tidemark.sources.files import Counted, open_files
+from tidemark.sources.files import Cached, Counted, open_files
 from tidemark.sources.manifest import Manifest, Manifests, WalFile
 
 MAX_TOP_K, DEFAULT_TOP_K = 1000, 10
@@ -30,8 +30,11 @@ COMPACT_FILES, COMPACT_BYTES = 8, 32 << 20
 class Client:
     """All namespaces under one folder."""
 
-    def __init__(self, spark: SparkSession, root: str, config: ann.AnnConfig = ann.AnnConfig(), max_top_k: int = MAX_TOP_K, auto_compact: bool = False):
+    def __init__(self, spark: SparkSession, root: str, config: ann.AnnConfig = ann.AnnConfig(), max_top_k: int = MAX_TOP_K, auto_compact: bool = False, cache_folder: str | None = None):
+        """``cache_folder`` on the driver's disk keeps control objects of remote stores; tables are Spark's to cache."""
         self.files = Counted(open_files(spark, root))
+        if cache_folder:
+            self.files = Cached(self.files, cache_folder)
         self.spark, self.config, self.max_top_k, self.auto_compact = spark, config, max_top_k, auto_compact
         ship_package(spark)
         self.snapshots = plans.SnapshotCache(spark, self.files)
@@ -50,7 +53,7 @@ class Client:
 
     def round_trips(self) -> dict[str, int]:
         """Requests to the store so far, by kind; Spark's own reads and writes of tables are not among them."""
-        return dict(self.files.counts)
+        return dict((self.files.files if isinstance(self.files, Cached) else self.files).counts)
 
     def namespaces(self) -> list[str]:
         return [n for n in self.files.list("") if self.files.list(f"{n}/manifest")]

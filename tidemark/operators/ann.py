@@ -37,6 +37,8 @@ class AnnConfig:
     rounds: int = 4
     seed: int = 42
     gain: float = 0.1  #: the least relative improvement for which a row moves
+    layer_rows: int = 10_000  #: an index of no more rows is written anew by each compaction
+    layer_share: int = 4  #: and one that has at most this many times the rows of its newest layer
 
 
 def means(rows: DataFrame, by: str = "posting_id", vector_col: str = "vector") -> DataFrame:

@@ -29,8 +29,6 @@ MEASURED_K = (10, 100)
 MEASURED_QUERIES = 1000
 #: A layer takes in an older one of at most this many times its size.
 TIER = 2
-#: The index is written anew when it has at most this many times the rows of the newest layer, or ``EXACT_ROWS`` in all.
-SHARE = 4
 #: Postings named in the condition of a scan; rows of more are found by a join alone.
 NAMED_POSTINGS = 1000
 
@@ -53,7 +51,7 @@ def compact(spark: SparkSession, files: LocalFiles | HadoopFiles, manifests: Man
     records = sum(w.records for w in taken)
     state = settle(replay(log.scan(spark, files, taken), max_folded=MAX_FOLDED if records > MAX_FOLDED else None))
     touched = merge.bounded(state.select("id"), records)
-    older, newer, size = _tiers(manifest, records)
+    older, newer, size = _tiers(manifest, records, config)
     old = settle(_rows_of(snapshot.postings, touched, records)) if snapshot else None
     # the same rules as a query's: the newest wins, a tombstone or patch may not reach a newer row
     changed = settle(merge.merge(old.drop("posting_id") if snapshot else empty(spark, ROW), state))
@@ -92,13 +90,13 @@ def _swap(files: LocalFiles | HadoopFiles, manifests: Manifests, base: Manifest,
     return manifests.commit(swap)
 
 
-def _tiers(manifest: Manifest, records: int) -> tuple[tuple[Layer, ...] | None, tuple[Layer, ...], int]:
+def _tiers(manifest: Manifest, records: int, config: ann.AnnConfig) -> tuple[tuple[Layer, ...] | None, tuple[Layer, ...], int]:
     """``(layers that stay, layers to be merged, size of the new one)``; None stay if the index is to be written anew."""
     stay, size = len(manifest.layers), records
     while stay and manifest.layers[stay - 1].size <= TIER * size:
         stay -= 1
         size += manifest.layers[stay].size
-    whole = manifest.snapshot is None or manifest.indexed_rows <= max(EXACT_ROWS, SHARE * size)
+    whole = manifest.snapshot is None or manifest.indexed_rows <= max(config.layer_rows, config.layer_share * size)
     return None if whole else manifest.layers[:stay], manifest.layers[stay:], size
 
 

@@ -6,6 +6,7 @@ control objects pass through here; tables are read and written by Spark.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 import uuid
@@ -149,5 +150,69 @@ class Counted:
         return self.files.modified(key)
 
 
+class Cached:
+    """A store whose written and read objects are kept in a folder of the driver's disk, the oldest dropped beyond a size.
+
+    For objects that never change once written, as manifests are.  What a name holds can differ only after a
+    ``delete``, which drops it here as well; deletes by others are not seen, so listings always ask the store.
+    A disk that fails is passed over: the store answers.
+    """
+
+    def __init__(self, files: LocalFiles | HadoopFiles, folder: str, most_bytes: int = 256 << 20):
+        self.files, self.folder, self.most_bytes = files, Path(folder), most_bytes
+        self.folder.mkdir(parents=True, exist_ok=True)
+        self.hits = 0
+
+    def _place(self, key: str) -> Path:
+        return self.folder / hashlib.sha256(key.encode()).hexdigest()
+
+    def _keep(self, key: str, data: bytes) -> None:
+        if len(data) > self.most_bytes:
+            return
+        part = self.folder / f".{uuid.uuid4().hex}"
+        try:
+            part.write_bytes(data)
+            part.replace(self._place(key))  # readers see it whole or not at all
+            held = sorted(((p.stat().st_mtime_ns, p.stat().st_size, p) for p in self.folder.iterdir() if not p.name.startswith(".")), reverse=True)
+            total = 0
+            for _, size, place in held:
+                total += size
+                if total > self.most_bytes:
+                    place.unlink(missing_ok=True)
+        except OSError:
+            part.unlink(missing_ok=True)
+
+    def path(self, key: str) -> str:
+        return self.files.path(key)
+
+    def get(self, key: str) -> bytes | None:
+        try:
+            data = self._place(key).read_bytes()
+            self.hits += 1
+            return data
+        except OSError:
+            data = self.files.get(key)
+        if data is not None:
+            self._keep(key, data)
+        return data
+
+    def put_new(self, key: str, data: bytes) -> None:
+        self.files.put_new(key, data)  # first the store: a lost race must not be cached
+        self._keep(key, data)
+
+    def list(self, prefix: str) -> list[str]:
+        return self.files.list(prefix)
+
+    def delete(self, key: str) -> None:
+        self._place(key).unlink(missing_ok=True)
+        self.files.delete(key)
+
+    def size(self, key: str) -> int:
+        return self.files.size(key)
+
+    def modified(self, key: str) -> int:
+        return self.files.modified(key)
+
+
 def open_files(spark: SparkSession, root: str) -> LocalFiles | HadoopFiles:
     return LocalFiles(root) if root.startswith(("/", "file://")) else HadoopFiles(spark, root)
