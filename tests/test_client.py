@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.client import Client
 from tidemark.errors import DimensionMismatch, DistanceMetricConflict, IndexNotBuilt, InvalidRequest, ManifestUnreadable, NamespaceExists, NamespaceNotFound
 from tidemark.functions import names, vectors
-from tidemark.operators import ann, merge
+from tidemark.operators import ann, inverted, merge
 from tidemark.operators.ann import AnnConfig
 from tidemark.plans import compact
 from tidemark.plans import query as plans
@@ -315,6 +315,8 @@ def test_conditions_reach_what_layers_hide(client, monkeypatch):
     held = plans.read_snapshot(space.spark, client.files, space.manifest())
     plan = held.postings.where(F.col("posting_id").isin([1, 2]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("PushedFilters: [In(posting_id, [1,2])") + plan.count("In(posting_id, [1,2])]") >= 3  # snapshot, layer and mask
+    plan = inverted.matching(held.inverted, {"tag": "A"})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EqualTo(key,") >= 3 and plan.count("EqualTo(field,") >= 3
 
 
 def test_recall(client):
