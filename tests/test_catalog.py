@@ -1,9 +1,12 @@
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from tests.compare import same
 from tidemark import catalog, catalog_storage  # noqa: F401
 from tidemark.operators import topk
+from tidemark.plans import compact
+from tidemark.plans import query as plans
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -53,3 +56,29 @@ def test_every_delete_masks(spark):
     assert dead and shown and all(r.id not in dead or dead[r.id] < r.timestamp for r in shown)
     both = {r.kind: r.n for r in catalog.QUERIES["touched_and_deleted_whole"](spark, FOLDER).collect()}
     assert both["touched"] == len({r.id for r in log if r.op in "UD"})
+
+
+@pytest.fixture
+def ring(tmp_path):
+    """Events of 144 ids on the 12 lattice points that are 5 away from (10, 10): all distances tie, and neighbours in number lie apart."""
+    points = [(x, y) for x in range(5, 16) for y in range(5, 16) if (x - 10) ** 2 + (y - 10) ** 2 == 25]
+    rows = ", ".join(f"({97 * n + points[n % 12][0]}, {89 * n + points[n % 12][1]})" for n in range(144))
+    duckdb.sql(f"copy (select event_id::bigint as event_id, timestamp '2024-01-01' + to_days((event_id // 97)::int) as ts, user_id::bigint as user_id, 'view' as event_type from (values {rows}) t(event_id, user_id)) to '{tmp_path}/events.parquet' (format parquet)")
+    return str(tmp_path)
+
+
+@pytest.fixture
+def probing(monkeypatch):
+    """Small indexes are probed too, with few postings."""
+    monkeypatch.setattr(plans, "EXACT_ROWS", 0)
+    monkeypatch.setattr(plans, "SELECTIVE_IDS", 0)
+    monkeypatch.setattr(compact, "EXACT_ROWS", 0)
+    monkeypatch.setattr(compact, "measured_fanouts", lambda *_: ((10, 1),))
+
+
+def test_search_breaks_ties_by_the_value_of_ids(spark, ring):
+    same(catalog.QUERIES["store_search"](spark, ring), catalog.ORACLES["store_search"], ring)
+
+
+def test_search_is_whole_where_indexes_are_probed(spark, ring, probing):
+    same(catalog.QUERIES["store_search"](spark, ring), catalog.ORACLES["store_search"], ring)

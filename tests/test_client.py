@@ -506,3 +506,13 @@ def test_probed_postings_and_a_log(client, monkeypatch, records):
     space.upsert([{"id": 398, "vector": [0.5, 0.0]}], timestamp=200)
     space.delete([1], timestamp=200)
     assert found(space, [0.0, 0.0], 4) == ["0", "398", "2", "3"]
+
+
+def test_ties_go_by_the_value_of_ids(client):
+    space = client.create_namespace("ties", metric=vectors.EUCLIDEAN)
+    for numbers in ([70_000, 256, 1], [300, 2, (1 << 64) - 1, 255]):
+        space.upsert([{"id": i, "vector": [1.0, 2.0]} for i in numbers])
+        space.compact(force=True)
+    space.upsert([{"id": i, "vector": [1.0, 2.0]} for i in (512, 3, "b", "a")])
+    assert found(space, [0.0, 0.0], 20) == ["a", "b", "1", "2", "3", "255", "256", "300", "512", "70000", str((1 << 64) - 1)]
+    assert found(space, [0.0, 0.0], 6) == ["a", "b", "1", "2", "3", "255"]

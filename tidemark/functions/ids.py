@@ -53,3 +53,9 @@ def display_column(column: Column) -> Column:
     dashed = F.concat_ws("-", *[F.substring(plain, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     kind = column.getField("id_type")
     return F.when(kind == U64, number).when(kind == UUID, dashed).otherwise(F.decode(raw, "UTF-8"))
+
+
+def value_order(name: str) -> Column:
+    """What to sort an id column by: UUIDs, strings, numbers, each by value.  The bytes of numbers are little-endian, so their own order is another."""
+    big = ", ".join(f"substring({name}.bytes, {k}, 1)" for k in range(8, 0, -1))
+    return F.expr(f"struct({name}.id_type, if({name}.id_type = {U64}, concat({big}), {name}.bytes))")

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,9 +16,9 @@ from tidemark.functions.vectors import COSINE, EUCLIDEAN, distance, literal
 QUERY_BLOCK = 4096
 
 
-def topk(rows: DataFrame, query: Sequence[float], k: int, metric: str = COSINE, id_col: str = "id", vector_col: str = "vector", dist_col: str = "dist") -> DataFrame:
-    """The ``k`` nearest rows, ties by id.  Each task keeps k rows; only those are merged."""
-    return rows.withColumn(dist_col, distance(metric, F.col(vector_col), literal(query))).orderBy(dist_col, id_col).limit(k)
+def topk(rows: DataFrame, query: Sequence[float], k: int, metric: str = COSINE, id_col: str = "id", vector_col: str = "vector", dist_col: str = "dist", ties: Column | None = None) -> DataFrame:
+    """The ``k`` nearest rows, ties by id, or by ``ties``.  Each task keeps k rows; only those are merged."""
+    return rows.withColumn(dist_col, distance(metric, F.col(vector_col), literal(query))).orderBy(dist_col, id_col if ties is None else ties).limit(k)
 
 
 def ranked(distances: DataFrame, k: int, by: str = "query_id", id_col: str = "id") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import IndexNotBuilt
 from tidemark.functions.attrs import ATTRS_TYPE
-from tidemark.functions.ids import ID_TYPE
+from tidemark.functions.ids import ID_TYPE, value_order
 from tidemark.operators import ann, inverted, merge, topk
 from tidemark.operators.replay import MAX_FOLDED, replay
 from tidemark.sources import log
@@ -168,6 +168,6 @@ def search(spark: SparkSession, files: LocalFiles | HadoopFiles, manifest: Manif
     while fanout is not None and fanout < len(order):
         base, rows = merged([p for p, _ in order[:fanout]])
         if allowed is None and state is None and not manifest.layers or all(df.limit(k).count() >= k for df in (base, rows)):
-            return topk.topk(rows, query, k, manifest.metric)
+            return topk.topk(rows, query, k, manifest.metric, ties=value_order("id"))
         fanout *= 2  # filters, layers or the log left too few of the probed rows
-    return topk.topk(merged(None)[1], query, k, manifest.metric)
+    return topk.topk(merged(None)[1], query, k, manifest.metric, ties=value_order("id"))
